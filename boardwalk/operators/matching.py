@@ -70,13 +70,20 @@ def location_filter(postings: DataFrame, boards: DataFrame, *, small: bool | Non
     return flag_location(postings, boards, small=small).filter(~F.col("dropped")).drop("dropped")
 
 
-def hit_array(text: Column, keywords: Column) -> Column:
-    """Keywords of an array that occur in the text between word edges. The text is marked once;
-    each keyword is then one literal substring test."""
+def marked_keywords(keywords: Column) -> Column:
+    """Keyword array prepared for ``hit_array``; made once per board, not per posting."""
+    return F.transform(
+        keywords, lambda k: F.struct(k.alias("keyword"), mark_keyword(k).alias("marked"))
+    )
+
+
+def hit_array(text: Column, marked: Column) -> Column:
+    """Keywords of a marked array that occur in the text between word edges. The text is marked
+    once; each keyword is then one literal substring test."""
     return let(
         mark_edges(F.lower(text)),
-        lambda t: F.filter(
-            keywords, lambda k: (F.lower(k) == k) & F.contains(t, mark_keyword(k))
+        lambda t: F.transform(
+            F.filter(marked, lambda k: F.contains(t, k["marked"])), lambda k: k["keyword"]
         ),
     )
 
@@ -177,7 +184,8 @@ def match_in_place(
     """M2 to M4 for boards with short keyword lists, flags instead of filters and no shuffle:
     adds ``dropped`` and ``matched_keywords`` (sorted, empty when dropped or nothing hits)."""
     lists = boards.select(
-        "board_id", "location_filters", keyword_array(universal, F.col("keywords")).alias("_kw")
+        "board_id", "location_filters",
+        marked_keywords(keyword_array(universal, F.col("keywords"))).alias("_kw"),
     )
     rows = lookup_join(postings, lists, ["board_id"], "left", spread_by=["url"], small=small)
     rows = rows.withColumn(

@@ -36,31 +36,41 @@ _SCRAPING = T.StructType([
 ])
 
 
-def read_config(spark: SparkSession, path: str) -> DataFrame:
-    """The configuration document; a missing or blank file is an empty configuration, anything
-    else that is not JSON is an error."""
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], _DOCUMENT)
+def parse_configs(texts: DataFrame) -> DataFrame:
+    """Configuration documents from their text in ``value``; other columns are kept. Blank text
+    gives no document, text that is not JSON is an error."""
+    keys = [c for c in texts.columns if c != "value"]
     document = F.from_json("value", _DOCUMENT, {"mode": "FAILFAST"})
-    return text.filter(F.trim("value", F.lit(" \t\r\n")) != "").select(document.alias("d")).select(
+    filled = texts.filter(F.trim("value", F.lit(" \t\r\n")) != "")
+    return filled.select(*keys, document.alias("d")).select(
+        *keys,
         F.coalesce("d.universal_keywords", F.array().cast(_STRINGS)).alias("universal_keywords"),
         F.coalesce("d.companies", F.array().cast(T.ArrayType(_COMPANY))).alias("companies"),
     )
 
 
 def read_boards(spark: SparkSession, path: str) -> DataFrame:
-    """One row per board in configuration order, defaults applied, with the universal
-    keywords of its document in ``universal_keywords``."""
-    rows = read_config(spark, path).select(
-        "universal_keywords", F.posexplode("companies").alias("board_id", "c")
+    """One row per board of a configuration file; a missing or blank file has no boards."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "value string")
+    return boards_from_configs(parse_configs(text))
+
+
+def boards_from_configs(configs: DataFrame) -> DataFrame:
+    """Boards in configuration order, defaults applied, with the universal keywords of their
+    document in ``universal_keywords``. An empty scraping configuration counts as none."""
+    keys = [c for c in configs.columns if c not in ("universal_keywords", "companies")]
+    rows = configs.select(
+        *keys, "universal_keywords", F.posexplode("companies").alias("board_id", "c")
     )
     none = F.array().cast(_STRINGS)
     scraping = F.from_json("c.scraping_config", _SCRAPING)
     return rows.select(
+        *keys,
         F.col("board_id").cast("long").alias("board_id"),
         F.coalesce("c.name", F.lit("Unknown")).alias("name"),
         F.coalesce("c.job_board_url", F.lit("")).alias("job_board_url"),
@@ -75,7 +85,7 @@ def read_boards(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(scraping["exclude_patterns"]["titles"], none).alias("exclude_titles"),
         scraping["pagination_selectors"].alias("pagination_selectors"),
         "universal_keywords",
-    ).select(*[f.name for f in BOARDS.fields], "universal_keywords")
+    ).select(*keys, *[f.name for f in BOARDS.fields], "universal_keywords")
 
 
 def attach_boards_by_host(
@@ -103,7 +113,11 @@ def read_pages(
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """S3: frame documents without the main document of a page."""
-    return spark.read.parquet(path).filter(F.col("frame_no") > 0)
+    return child_frames(spark.read.parquet(path))
+
+
+def child_frames(frames: DataFrame) -> DataFrame:
+    return frames.filter(F.col("frame_no") > 0)
 
 
 def read_navigations(spark: SparkSession, path: str) -> DataFrame:
