@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,3 +17,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     array element. It also keeps expression trees small where a value is used many times.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep a large expression for the next call with the same arguments in this application.
+
+    An expression is only a description, so the same one can go into any number of plans, while
+    building one costs a round trip to the JVM per operation.
+    """
+    kept: dict[tuple, Column] = {}
+
+    @functools.wraps(make)
+    def cached(*args) -> Column:
+        key = (SparkSession.active().sparkContext.applicationId, *args)
+        if key not in kept:
+            kept[key] = make(*args)
+        return kept[key]
+
+    return cached

@@ -33,7 +33,7 @@ from boardwalk.functions.fixed import (
     RESULT_ITEM_RULES,
     RULE_FIELDS,
 )
-from boardwalk.functions.binding import let
+from boardwalk.functions.binding import built_once, let
 from boardwalk.functions.text import contains_any, first_hit, word_list
 from boardwalk.operators.skew import lookup_join
 from boardwalk.schemas import RULE
@@ -199,8 +199,9 @@ def with_links(page: PageView, candidates: Column) -> Column:
     return F.filter(linked, lambda x: F.coalesce(x["url"] != "", F.lit(False)))
 
 
-def _default_kind(shredded: DataFrame, low: int, high: int) -> DataFrame:
-    found = per_page(
+@built_once
+def _default_kind(low: int, high: int) -> Column:
+    return per_page(
         lambda page: F.transform(
             F.filter(
                 default_candidates(page), lambda c: (c["code"] >= low) & (c["code"] < high)
@@ -212,23 +213,26 @@ def _default_kind(shredded: DataFrame, low: int, high: int) -> DataFrame:
             ),
         )
     )
-    return shredded.select(*page_columns(shredded), F.inline(found))
+
+
+def _containers(shredded: DataFrame, low: int, high: int) -> DataFrame:
+    return shredded.select(*page_columns(shredded), F.inline(_default_kind(low, high)))
 
 
 def keyword_containers(shredded: DataFrame) -> DataFrame:
     """Article, li and div whose class, id, data-qa or data-testid holds a keyword."""
-    return _default_kind(shredded, 0, RESULT_ITEM_CODE)
+    return _containers(shredded, 0, RESULT_ITEM_CODE)
 
 
 def result_item_containers(shredded: DataFrame) -> DataFrame:
     """Data-qa result items that are not talent-community or event cards. Items a keyword
     selects as well are reported by C1."""
-    return _default_kind(shredded, RESULT_ITEM_CODE, ROW_CODE)
+    return _containers(shredded, RESULT_ITEM_CODE, ROW_CODE)
 
 
 def row_containers(shredded: DataFrame) -> DataFrame:
     """Table rows with a usable link and enough text."""
-    return _default_kind(shredded, ROW_CODE, DIRECT_LINK_CODE)
+    return _containers(shredded, ROW_CODE, DIRECT_LINK_CODE)
 
 
 def rules_literal(rows: list[dict]) -> Column:

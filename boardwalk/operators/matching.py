@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from boardwalk.functions.binding import let
 from boardwalk.functions.text import anchor_token, hits_any, mark_edges, mark_keyword, word_tokens
 from boardwalk.operators.boards import keyword_array
-from boardwalk.operators.skew import fits_broadcast, lookup_join
+from boardwalk.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
 
 # up to this many keywords of a board are tried one by one; above it, words are looked up
 SCAN_KEYWORDS = 64
@@ -89,10 +89,25 @@ def hit_array(text: Column, marked: Column) -> Column:
 
 
 def _prepared(board_keywords: DataFrame) -> DataFrame:
+    """Keywords with their marked form, their anchor word, and whether that word is all of them."""
     k = F.lower("keyword")
     return board_keywords.select(
-        "board_id", "keyword", mark_keyword(k).alias("_marked"), anchor_token(k).alias("_token")
+        "board_id", "keyword", mark_keyword(k).alias("marked"), anchor_token(k).alias("token")
+    ).withColumn("whole", F.coalesce(F.col("token") == F.lower("keyword"), F.lit(False)))
+
+
+def _measure(keywords: DataFrame) -> dict:
+    """One aggregate over the keyword table: its size and the longest lists of a board."""
+    row_bytes = F.octet_length("marked") + F.octet_length("keyword") + F.lit(16)
+    per_board = keywords.groupBy("board_id").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("whole")).alias("phrases"),
+        F.count_if(F.col("token").isNull()).alias("loose"), F.sum(row_bytes).alias("bytes"),
     )
+    row = per_board.agg(
+        F.max("n").alias("most"), F.max("phrases").alias("most_phrases"),
+        F.sum("loose").alias("loose"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"),
+    ).first()
+    return {name: row[name] or 0 for name in row.asDict()}
 
 
 def keyword_hits(
@@ -105,61 +120,51 @@ def keyword_hits(
 ) -> DataFrame:
     """M3: one row (key columns, keyword) per posting and keyword that occurs in its text.
 
-    'scan' joins each posting with its board's keywords and tests them one by one. 'token'
-    splits the text into its distinct words once and joins on (board, word), so the work per
-    posting does not grow with the number of keywords; keywords of several words or with other
-    characters are tested only where their longest word occurs, and the few without any word
-    are scanned. Both give the same rows. Unless told, the measured size of the keyword table
-    decides: keywords per board for the strategy, and broadcasting only within bounds.
+    'scan' gives each posting its board's short keyword array and tests one after the other.
+    'token' splits the text into its distinct words and joins on (board, word), so the work per
+    posting does not grow with the number of keywords. Keywords of several words or with other
+    characters are scanned when a board has few of them; otherwise they are looked up by their
+    longest word and tested against the text afterwards. All ways give the same rows. Unless
+    told, the measured shape of the keyword table decides, and it is broadcast only within
+    bounds. Texts are never multiplied by words or keywords.
     """
     key = key or ["board_id", "url"]
-    if strategy is None:
-        most = board_keywords.groupBy("board_id").count().agg(F.max("count")).first()[0] or 0
-        strategy = "scan" if most <= SCAN_KEYWORDS else "token"
+    ids = list(dict.fromkeys(["board_id", *key]))
     keywords = _prepared(board_keywords)
+    shape = _measure(keywords)
+    if strategy is None:
+        strategy = "scan" if shape["most"] <= SCAN_KEYWORDS else "token"
     if small is None:
-        small = fits_broadcast(keywords)
-    texts = postings.select(*dict.fromkeys(["board_id", *key]), posting_text().alias("_text"))
+        small = shape["rows"] <= BROADCAST_ROWS and shape["bytes"] <= BROADCAST_BYTES
     # no text at all matches nothing, not even the empty keyword
-    marked = texts.filter(F.col("_text") != " ").withColumn("_text", F.lower("_text"))
+    texts = postings.select(*ids, posting_text().alias("_text")).filter(F.col("_text") != " ")
 
-    def scan(words: DataFrame) -> DataFrame:
-        rows = marked.withColumn("_text", mark_edges(F.col("_text")))
-        return lookup_join(
-            rows, words.drop("_token"), ["board_id"], "inner", spread_by=key, small=small
-        ).filter(F.contains("_text", F.col("_marked"))).select(*key, "keyword")
+    def scan(some: DataFrame) -> DataFrame:
+        packed = some.groupBy("board_id").agg(
+            F.collect_list(F.struct("keyword", "marked")).alias("_kw")
+        )
+        rows = lookup_join(texts, packed, ["board_id"], "inner", spread_by=key, small=small)
+        return rows.select(*key, F.explode(hit_array(F.col("_text"), F.col("_kw"))).alias("keyword"))
 
     if strategy == "scan":
         return scan(keywords)
-    # the marked text travels only when it has to: words that are the whole keyword need none
-    by_word = keywords.filter(F.col("_token").isNotNull())
-    whole = F.col("_token") == F.lower("keyword")
-    tokens = marked.select(
-        *dict.fromkeys(["board_id", *key]), F.explode(word_tokens(F.col("_text"))).alias("_token")
-    )
-    single = lookup_join(
-        tokens, by_word.filter(whole).select("board_id", "_token", "keyword"),
-        ["board_id", "_token"], "inner", spread_by=key, small=small,
-    ).select(*key, "keyword")
-    longer = by_word.filter(~whole)
-    rows = marked.select(
-        *dict.fromkeys(["board_id", *key]), mark_edges(F.col("_text")).alias("_text"),
-        F.explode(word_tokens(F.col("_text"))).alias("_token"),
+    words = texts.select(*ids, F.explode(word_tokens(F.lower("_text"))).alias("token"))
+
+    def by_word(some: DataFrame) -> DataFrame:
+        return lookup_join(words, some, ["board_id", "token"], "inner", spread_by=key, small=small)
+
+    found = by_word(keywords.filter("whole").drop("marked")).select(*key, "keyword")
+    phrases = keywords.filter(~F.col("whole"))
+    if shape["most_phrases"] <= SCAN_KEYWORDS:
+        return found.unionByName(scan(phrases)) if shape["most_phrases"] else found
+    marked = texts.withColumn("_text", mark_edges(F.lower("_text")))
+    likely = by_word(phrases.filter(F.col("token").isNotNull())).drop("token")
+    found = found.unionByName(
+        likely.join(marked, ids).filter(F.contains("_text", F.col("marked"))).select(*key, "keyword")
     )
-    if not small:  # text must not travel once per word: find the candidates first
-        candidates = lookup_join(
-            tokens, longer, ["board_id", "_token"], "inner", spread_by=key, small=False
-        ).drop("_token")
-        rows = marked.select(
-            *dict.fromkeys(["board_id", *key]), mark_edges(F.col("_text")).alias("_text")
-        )
-        phrases = candidates.join(rows, list(dict.fromkeys(["board_id", *key])))
-    else:
-        phrases = lookup_join(
-            rows, longer, ["board_id", "_token"], "inner", spread_by=key, small=True
-        )
-    several = phrases.filter(F.contains("_text", F.col("_marked"))).select(*key, "keyword")
-    return single.unionByName(several).unionByName(scan(keywords.filter(F.col("_token").isNull())))
+    if shape["loose"]:
+        found = found.unionByName(scan(phrases.filter(F.col("token").isNull())))
+    return found
 
 
 def matches(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardwalk.functions import nodes as N
-from boardwalk.functions.binding import let
+from boardwalk.functions.binding import built_once, let
 from boardwalk.functions import urls
 from boardwalk.functions.fixed import (
     DEFAULT_EXCLUDED_TITLES,
@@ -94,7 +94,13 @@ def titled_candidates(page: C.PageView) -> Column:
     )
 
 
-def _default_found(keep: Callable[[Column], Column]) -> Column:
+@built_once
+def _default_found(phase: str) -> Column:
+    def keep(c: Column) -> Column:
+        if phase == "both":
+            return F.lit(True)
+        return C.is_direct(c) if phase == "direct" else ~C.is_direct(c)
+
     def found(page: C.PageView) -> Column:
         valid = F.filter(
             titled_candidates(page),
@@ -116,10 +122,9 @@ def _default_found(keep: Callable[[Column], Column]) -> Column:
     return _first_per(C.per_page(found), "url")
 
 
-def container_titles(shredded: DataFrame) -> DataFrame:
-    """T1 and T2 as a table: title of every container and direct link with an acceptable URL,
-    before titles are judged."""
-    found = C.per_page(
+@built_once
+def _titles_found() -> Column:
+    return C.per_page(
         lambda page: F.transform(
             titled_candidates(page),
             lambda x: F.struct(
@@ -128,35 +133,34 @@ def container_titles(shredded: DataFrame) -> DataFrame:
             ),
         )
     )
-    return shredded.select(*C.page_columns(shredded), F.inline(found))
+
+
+def container_titles(shredded: DataFrame) -> DataFrame:
+    """T1 and T2 as a table: title of every container and direct link with an acceptable URL,
+    before titles are judged."""
+    return shredded.select(*C.page_columns(shredded), F.inline(_titles_found()))
 
 
 def container_postings(shredded: DataFrame) -> DataFrame:
     """Postings from containers, first valid one per page and URL."""
-    return _rows(shredded, _default_found(lambda c: ~C.is_direct(c)))
+    return _rows(shredded, _default_found("containers"))
 
 
 def direct_link_postings(shredded: DataFrame) -> DataFrame:
     """Postings from links that look like postings, wherever they stand. On its own it does
     not know what containers found; ``default_postings`` does."""
-    return _rows(shredded, _default_found(C.is_direct))
+    return _rows(shredded, _default_found("direct"))
 
 
 def default_postings(shredded: DataFrame) -> DataFrame:
     """Containers, then direct links with URLs not found yet. A container whose title is
     rejected does not claim its URL, so the direct link may still bring it in."""
-    return _rows(shredded, _default_found(lambda c: F.lit(True)))
+    return _rows(shredded, _default_found("both"))
 
 
-def custom_postings(
-    shredded: DataFrame, boards: DataFrame, rules: DataFrame, *, small: bool | None = None
-) -> DataFrame:
-    """Postings by the rules of the board. Without container rules a board yields nothing."""
-    lists = boards.select("board_id", "exclude_urls", "exclude_titles")
-    pages = lookup_join(shredded, lists, ["board_id"], "left", spread_by=["page_id"], small=small)
-    pages = C.attach_rules(
-        pages, rules, "container", "link", "title", "description", small=small
-    )
+@built_once
+def _custom_found() -> Column:
+    """Postings of a page row that carries its board's rules and exclude lists."""
 
     def matched(page: C.PageView, rule_set: str) -> Column:
         return C.matched_nodes(page.nodes, page.texts, F.col(f"_{rule_set}"))
@@ -210,7 +214,7 @@ def custom_postings(
             ),
         )
 
-    found = C.per_page(
+    return _first_per(C.per_page(
         lambda page: let(
             F.when(F.size("_link") > 0, N.lookup(as_links(matched(page, "link"))))
             .otherwise(page.links),
@@ -222,13 +226,24 @@ def custom_postings(
                 ),
             ),
         )
+    ), "url")
+
+
+def custom_postings(
+    shredded: DataFrame, boards: DataFrame, rules: DataFrame, *, small: bool | None = None
+) -> DataFrame:
+    """Postings by the rules of the board. Without container rules a board yields nothing."""
+    lists = boards.select("board_id", "exclude_urls", "exclude_titles")
+    pages = lookup_join(shredded, lists, ["board_id"], "left", spread_by=["page_id"], small=small)
+    pages = C.attach_rules(
+        pages, rules, "container", "link", "title", "description", small=small
     )
-    return _rows(pages, _first_per(found, "url"))
 
+    return _rows(pages, _custom_found())
 
-def frame_postings(shredded_frames: DataFrame) -> DataFrame:
-    """Postings inside frame documents, first per frame, URL and title."""
-    frames = C.job_frames(shredded_frames.filter(F.col("frame_no") > 0))
+
+@built_once
+def _frame_found() -> Column:
     rules = C.rules_literal(FRAME_CONTAINER_RULES)
 
     def usable(href: Column) -> Column:
@@ -281,7 +296,13 @@ def frame_postings(shredded_frames: DataFrame) -> DataFrame:
             ),
         )
 
-    return _rows(frames, _first_per(C.per_page(found), "url", "title"))
+    return _first_per(C.per_page(found), "url", "title")
+
+
+def frame_postings(shredded_frames: DataFrame) -> DataFrame:
+    """Postings inside frame documents, first per frame, URL and title."""
+    frames = C.job_frames(shredded_frames.filter(F.col("frame_no") > 0))
+    return _rows(frames, _frame_found())
 
 
 def navigation_postings(navigations: DataFrame) -> DataFrame:

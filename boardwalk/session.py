@@ -13,11 +13,22 @@ DEFAULTS = {
     # pages can be large: bound Arrow batches by rows and bytes, not by rows alone
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
-    # candidate rows carry nested page columns; keep them inside one generated stage
-    "spark.sql.codegen.maxFields": "400",
 }
 
 
+# only read when a session starts; page expressions are large, and capturing the call site of
+# every column operation makes building them several times slower
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def builder(app: str = "boardwalk") -> SparkSession.Builder:
+    """Session builder with all settings of this module."""
+    made = SparkSession.builder.appName(app)
+    for key, value in {**DEFAULTS, **STATIC}.items():
+        made = made.config(key, value)
+    return made
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings above to an existing session."""
     for key, value in DEFAULTS.items():

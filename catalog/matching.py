@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boardwalk.operators import boards as K
 from boardwalk.operators import matching as M
+from boardwalk.operators.shredding import spread
 from boardwalk.schemas import LOCATION
 from catalog import derived as D
 from catalog.registry import registry
@@ -110,7 +111,7 @@ _OWN_WORDS = ["für", "que la", "of the", "de", "état", "und die", "no-such", "
 
 def _doc_postings(spark: SparkSession, sf: str) -> DataFrame:
     board = F.regexp_extract("source", "([0-9]+)$", 1).cast("long")
-    return D.table(spark, sf, "documents").select(
+    return spread(D.table(spark, sf, "documents")).select(
         board.alias("board_id"), D.fill("https://docs.example.com/{d}", d=F.col("doc_id")).alias("url"),
         F.col("lang").alias("title"), F.col("text").alias("description"),
         (F.col("doc_id") % 10).alias("page_no"), F.col("doc_id").alias("seq"),
@@ -119,7 +120,8 @@ def _doc_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 def _doc_boards(spark: SparkSession, sf: str) -> DataFrame:
     b = F.col("board_id")
-    ids = _doc_postings(spark, sf).select("board_id").distinct()
+    board = F.regexp_extract("source", "([0-9]+)$", 1).cast("long")
+    ids = D.table(spark, sf, "documents").select(board.alias("board_id")).distinct()
     own = F.get(F.array(*[F.lit(w) for w in _OWN_WORDS]), (b % len(_OWN_WORDS)).cast("int"))
     location = (
         F.when(b % 3 == 0, F.lit('{"include": ["THE ", "für", ""]}'))
@@ -197,7 +199,7 @@ def m3_large_keyword_table(spark: SparkSession, sf: str) -> DataFrame:
     words = words.filter(F.col("w").rlike(r"^[\p{L}\p{N}_]+$")).select(F.lower("w").alias("keyword"))
     names = D.table(spark, sf, "part").select(F.lower("p_name").alias("keyword"))
     keywords = words.unionByName(names).distinct().select(F.lit(0).cast("long").alias("board_id"), "keyword")
-    turns = D.table(spark, sf, "conversations").select(
+    turns = spread(D.table(spark, sf, "conversations")).select(
         F.lit(0).cast("long").alias("board_id"), "conv_id", "turn",
         F.col("role").alias("title"), F.col("text").alias("description"),
     )

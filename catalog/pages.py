@@ -23,7 +23,7 @@ def _shredded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, sf: str) -> DataFrame:
-    return L.resolve_links(L.scan_hrefs(D.table(spark, sf, "pages")))
+    return L.resolve_links(L.scan_hrefs(spread(D.table(spark, sf, "pages"))))
 
 
 # hrefs of driver pages are root-relative words
@@ -208,7 +208,7 @@ def e5_page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_LINKS} SELECT page_id, page_url, href, count(*) AS n FROM links GROUP BY ALL")
 def e5_scan_hrefs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = L.scan_hrefs(D.table(spark, sf, "pages"))
+    rows = L.scan_hrefs(spread(D.table(spark, sf, "pages")))
     return rows.groupBy("page_id", "page_url", "href").agg(F.count("*").alias("n"))
 
 

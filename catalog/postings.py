@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardwalk.functions.fixed import DEFAULT_EXCLUDED_TITLES, FRAME_JOB_WORDS
+from boardwalk.functions.fixed import DEFAULT_EXCLUDED_TITLES
 from boardwalk.operators import containers as C
 from boardwalk.operators import titles as T
 from boardwalk.operators.shredding import shred, spread
@@ -63,15 +63,6 @@ def c6_job_frames(spark: SparkSession, sf: str) -> DataFrame:
     return C.job_frames(_frames(spark, sf)).select("page_id", "frame_no")
 
 
-_WORDS = " OR ".join(f"contains(lower(text), '{w}')" for w in FRAME_JOB_WORDS)
-
-
-@query(f"SELECT doc_id FROM documents WHERE {_WORDS}")
-def c6_job_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = D.table(spark, sf, "documents").select("doc_id", F.array("text").alias("texts"))
-    return C.job_frames(docs).select("doc_id")
-
-
 _TITLES = """
 SELECT page_id, CAST(code AS INT) AS code, url, box_title AS title FROM cards WHERE code IS NOT NULL
   AND NOT (kind = 3 AND length(box_text) <= 10)
@@ -188,18 +179,17 @@ _FRAME_POSTINGS = """
 frame_postings AS (
   SELECT p_partkey AS k, p_partkey // 5 AS page_id, p_partkey // 100 AS board_id,
          CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'https://boards.example.io/co/jobs/' || p_partkey
-              WHEN 1 THEN 'https://frames.example.io/co/team/jobs/' || p_partkey END AS url,
+              WHEN 1 THEN 'https://frames.example.io/co/team/jobs/' || p_partkey
+              ELSE 'https://frames.example.io/embed/co/team/area/jobs/' || p_partkey END AS url,
          p_name AS title, p_type AS description
-  FROM part
-  WHERE p_partkey % 3 <> 0 AND p_partkey % 5 > 0 AND p_partkey % 4 < 2
-    AND NOT (p_partkey % 4 = 1 AND false)
+  FROM part  -- '/jobs/<n>' has too few slashes; '/co/team/jobs/<n>' and the longer one have four
+  WHERE p_partkey % 3 <> 0 AND p_partkey % 5 > 0 AND p_partkey % 4 < 3
 )"""
 
 
 @query(f"""
 WITH {_FRAME_POSTINGS}
-SELECT page_id, board_id, url, title, description FROM frame_postings
-WHERE length('/co/team/jobs/') - length(replace('/co/team/jobs/', '/', '')) >= 4""")
+SELECT page_id, board_id, url, title, description FROM frame_postings""")
 def x5_frame_postings(spark: SparkSession, sf: str) -> DataFrame:
     return X.frame_postings(_frames(spark, sf)).select(*_COLUMNS)
 
