@@ -50,12 +50,13 @@ def slash_count(url: Column) -> Column:
     return F.length(url) - F.length(F.replace(url, F.lit("/"), F.lit("")))
 
 
-def _without_dots(path: Column) -> Column:
-    """Drop empty inner segments and resolve '.' and '..'; steps above the root are ignored."""
+def _without_dots(path: Column, rooted: Column) -> Column:
+    """Resolve '.' and '..'; steps above the root are ignored. A path that was merged with the
+    base path also loses its empty inner segments."""
 
     def walk(parts: Column) -> Column:
         size = F.size(parts)
-        kept = F.filter(parts, lambda s, i: (s != "") | (i == 0) | (i == size - 1))
+        kept = F.filter(parts, lambda s, i: rooted | (s != "") | (i == 0) | (i == size - 1))
         walked = F.aggregate(
             kept,
             F.array().cast("array<string>"),
@@ -104,8 +105,9 @@ def _join(href: Column, ref: Column, base: Column) -> Column:
         (base["path"] != "") & ~F.startswith(base["path"], F.lit("/")),
         F.concat(F.lit("/"), base["path"]),
     ).otherwise(base["path"])
+    rooted = F.startswith(ref["path"], F.lit("/"))
     merged = (
-        F.when(F.startswith(ref["path"], F.lit("/")), ref["path"])
+        F.when(rooted, ref["path"])
         .when(base["path"] == "", F.concat(F.lit("/"), ref["path"]))
         .otherwise(F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), ref["path"]))
     )
@@ -119,7 +121,7 @@ def _join(href: Column, ref: Column, base: Column) -> Column:
                 F.when(ref["query"] != "", ref["query"]).otherwise(base["query"]),
             ),
         )
-        .otherwise(glue(base["authority"], let(merged, _without_dots), ref["query"]))
+        .otherwise(glue(base["authority"], let(merged, lambda p: _without_dots(p, rooted)), ref["query"]))
     )
 
 
@@ -132,7 +134,7 @@ def resolve(href: Column, page_url: Column) -> Column:
     return (
         F.when(href == "", href)
         .when(
-            href.rlike(_PLAIN_ROOT_PATH) & ~F.contains(href, F.lit("//")) & ~F.contains(href, F.lit("/.")),
+            href.rlike(_PLAIN_ROOT_PATH) & ~F.contains(href, F.lit("/.")),
             F.concat(origin(page_url), href),
         )
         .otherwise(

@@ -11,7 +11,7 @@ from boardwalk.functions.binding import let
 from boardwalk.functions.fixed import MAX_PAGES, NEXT_PAGE_RULES, NEXT_PAGE_WORDS
 from boardwalk.functions.text import contains_any
 from boardwalk.operators import containers as C
-from boardwalk.operators.skew import BROADCAST_ROWS, lookup_join
+from boardwalk.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join
 from boardwalk.session import checkpoint
 
 
@@ -117,4 +117,5 @@ def number_pages(postings: DataFrame, chain: DataFrame) -> DataFrame:
     visits = chain.groupBy("board_id", "page_id").agg(
         F.max("page_no").alias("page_no"), F.min("page_no").alias("first_page_no")
     )
-    return postings.join(visits, ["board_id", "page_id"])
+    near = F.broadcast(visits) if fits_broadcast(visits) else visits  # unique per page: not hot
+    return postings.join(near, ["board_id", "page_id"])

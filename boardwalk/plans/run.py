@@ -12,7 +12,7 @@ from boardwalk.operators import matching as M
 from boardwalk.operators import paging as G
 from boardwalk.operators.boards import scrapable_boards
 from boardwalk.operators.shredding import shred
-from boardwalk.operators.skew import fits_broadcast
+from boardwalk.operators.skew import fits_broadcast, lookup_join
 from boardwalk.plans.extraction import route_pages, route_postings
 
 
@@ -47,10 +47,12 @@ def run_boards(
     """Route, number, deduplicate, filter and match all boards at once.
 
     The one shuffle of posting rows is the deduplication; everything after it happens in place
-    when the board table can be broadcast, which is measured once here.
+    when the board and rule tables can be broadcast, which is measured once here. ``shredded``
+    feeds several flows and should be stored (``stage_shredded``); store ``postings`` too when
+    both matches and funnel are wanted.
     """
     boards = scrapable_boards(boards)
-    small = fits_broadcast(boards)
+    small = fits_broadcast(boards) and fits_broadcast(rules)
     found = route_postings(
         shredded, boards, rules, frames=frames, navigations=navigations, small=small
     )
@@ -64,7 +66,7 @@ def run_boards(
     flagged = M.match_in_place(unique, boards, universal, small=small)
     names = boards.select("board_id", F.col("name").alias("company"))
     matched = flagged.filter(F.size("matched_keywords") > 0).drop("description", "dropped")
-    matched = matched.join(F.broadcast(names) if small else names, "board_id")
+    matched = lookup_join(matched, names, ["board_id"], spread_by=["url"], small=small)
     if history is not None:
         matched = H.with_section(matched, history)
     funnel = M.board_funnel(

@@ -2,25 +2,25 @@ import os
 import sys
 
 import pytest
-from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-SF = "/root/testdata/sf0.001"
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+def spark(tmp_path_factory):
+    from boardwalk.session import builder
+
     session = (
-        SparkSession.builder.master("local[4]").appName("boardwalk-tests")
+        builder("boardwalk-tests").master("local[4]")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from boardwalk.session import tune
-
-    yield tune(session)
+    yield session
     session.stop()
