@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pinned(table: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that later filters read them. A filter on a plain column is pushed
+    below the projection that computes it and evaluates it a second time; it cannot be pushed
+    below a generator."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return table.select("*", F.explode(F.array(row)).alias("_pinned")).select(
+        *table.columns, "_pinned.*"
+    )
+
+
 def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
     """Keep a large expression for the next call with the same arguments in this application.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.functions.binding import let
+from boardwalk.functions.binding import let, pinned
 from boardwalk.functions.text import anchor_token, hits_any, mark_edges, mark_keyword, word_tokens
 from boardwalk.operators.boards import keyword_array
 from boardwalk.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
@@ -193,15 +193,18 @@ def match_in_place(
         marked_keywords(keyword_array(universal, F.col("keywords"))).alias("_kw"),
     )
     rows = lookup_join(postings, lists, ["board_id"], "left", spread_by=["url"], small=small)
-    rows = rows.withColumn(
-        "dropped", location_dropped(posting_text(), F.col("location_filters"))
-    )
     none = F.array().cast("array<string>")
-    hits = F.when(
-        ~F.col("dropped") & (posting_text() != " ") & (F.size("_kw") > 0),
-        F.array_sort(hit_array(posting_text(), F.col("_kw"))),
-    )
-    return rows.withColumn("matched_keywords", F.coalesce(hits, none)).drop("location_filters", "_kw")
+
+    def judged(dropped: Column) -> Column:
+        hits = F.when(
+            ~dropped & (posting_text() != " ") & (F.size("_kw") > 0),
+            F.array_sort(hit_array(posting_text(), F.col("_kw"))),
+        )
+        return F.struct(dropped.alias("dropped"), F.coalesce(hits, none).alias("matched_keywords"))
+
+    verdict = let(location_dropped(posting_text(), F.col("location_filters")), judged)
+    columns = postings.columns
+    return pinned(rows, _m=verdict).select(*columns, "_m.dropped", "_m.matched_keywords")
 
 
 def board_funnel(boards: DataFrame, flagged: DataFrame) -> DataFrame:

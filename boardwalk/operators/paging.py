@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boardwalk.functions import nodes as N
 from boardwalk.functions import urls
-from boardwalk.functions.binding import let
+from boardwalk.functions.binding import built_once, let
 from boardwalk.functions.fixed import MAX_PAGES, NEXT_PAGE_RULES, NEXT_PAGE_WORDS
 from boardwalk.functions.text import contains_any
 from boardwalk.operators import containers as C
@@ -35,6 +35,21 @@ def _next_url(nodes: Column, texts: Column, base_url: Column, found: Column) ->
     return let(found, choose)
 
 
+@built_once
+def _next_found(listed: str) -> Column:
+    """Next URL of a page row: by the default rules, or where ``_own`` is set by the rules in
+    ``_pagination`` ('rules') or by none ('off')."""
+    nodes, texts = F.col("nodes"), F.col("texts")
+    clickable = F.filter(nodes, lambda n: n["tag"].isin("a", "button"))
+    found = C.matched_nodes(nodes, texts, C.rules_literal(NEXT_PAGE_RULES), among=clickable)
+    if listed == "off":
+        found = F.when(~F.coalesce("_own", F.lit(False)), found)
+    if listed == "rules":
+        own = C.matched_nodes(nodes, texts, F.col("_pagination"))
+        found = F.when(F.coalesce("_own", F.lit(False)), own).otherwise(found)
+    return _next_url(nodes, texts, F.col("base_url"), found)
+
+
 def next_page_edges(
     shredded: DataFrame,
     boards: DataFrame | None = None,
@@ -48,29 +63,24 @@ def next_page_edges(
     pagination off. A first accepted element without an href ends the chain, because a snapshot
     does not show where a click leads.
     """
-    default = C.rules_literal(NEXT_PAGE_RULES)
-    pages, own = shredded, None
+    pages, listed = shredded, ""
     if boards is not None:
         lists = boards.select(
             "board_id",
             (F.col("has_scraping_config") & F.col("pagination_selectors").isNotNull()).alias("_own"),
         )
         pages = lookup_join(pages, lists, ["board_id"], "left", spread_by=["page_id"], small=small)
+        listed = "off"
         if rules is not None:
             pages = C.attach_rules(pages, rules, "pagination", small=small)
-            own = F.col("_pagination")
-    nodes, texts = F.col("nodes"), F.col("texts")
-    clickable = F.filter(nodes, lambda n: n["tag"].isin("a", "button"))
-    found = C.matched_nodes(nodes, texts, default, among=clickable)
-    if boards is not None:
-        nothing = F.filter(found, lambda n: F.lit(False))
-        listed = C.matched_nodes(nodes, texts, own) if own is not None else nothing
-        found = F.when(F.coalesce("_own", F.lit(False)), listed).otherwise(found)
+            listed = "rules"
     board = F.col("board_id") if "board_id" in shredded.columns else F.lit(None).cast("long")
+    # a generator, because a filter would evaluate the expression a second time
+    following = F.filter(F.array(_next_found(listed)), lambda u: u != "")
     return pages.select(
         board.alias("board_id"), F.col("base_url").alias("url"), "page_id",
-        _next_url(nodes, texts, F.col("base_url"), found).alias("next_url"),
-    ).filter(F.col("next_url") != "")
+        F.explode(following).alias("next_url"),
+    )
 
 
 def page_chain(boards: DataFrame, pages: DataFrame, edges: DataFrame) -> DataFrame:
