@@ -21,8 +21,9 @@ cloudpickle.register_pickle_by_value(tree)
 
 
 def spread(pages: DataFrame) -> DataFrame:
-    """Repartition only when the scan has fewer splits than there are cores: a small input that
-    lies in one file. Large inputs pass unchanged, so no HTML is shuffled."""
+    """Repartition only when a scan has fewer splits than there are cores: a small input that
+    lies in one file. Large inputs pass unchanged, so no HTML is shuffled. Meant for tables read
+    from files; asking a plan with shuffles for its partitions would run them."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
     return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardwalk.functions.fixed import RULE_FIELDS, rule
-from boardwalk.operators.shredding import shred, spread
+from boardwalk.operators.shredding import shred
 from boardwalk.schemas import SELECTOR_RULES
 from boardwalk.session import tune
 
@@ -63,7 +63,9 @@ def _crawl(cards: DataFrame, heading: str) -> DataFrame:
     body = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda c: c["card"]), "\n"
     )
-    pages = cards.groupBy("page_id").agg(body.alias("body")).withColumns({
+    # a number of partitions that is asked for is not coalesced, so shredding stays parallel
+    slots = int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = cards.repartition(slots, "page_id").groupBy("page_id").agg(body.alias("body")).withColumns({
         "board_id": (F.col("page_id") / 4).cast("long"),
         "no": (F.col("page_id") % 4 + 1).cast("int"),
     })
@@ -102,7 +104,7 @@ def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred(spread(part_pages(spark, sf_dir)))
+    return shred(part_pages(spark, sf_dir))
 
 
 def part_boards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def s5_history_from_report(spark: SparkSession, sf: str) -> DataFrame:
     reports = D.table(spark, sf, "customer").groupBy((k / 40).cast("long").alias("page_id")).agg(
         F.array_join(F.collect_list(link), "").alias("html")
     )
-    return history_from_report(shred(spread(reports.select("page_id", F.lit("r").alias("url"), "html"))))
+    return history_from_report(shred(reports.select("page_id", F.lit("r").alias("url"), "html")))
 
 
 _CLEAN = "regexp_replace(regexp_replace(html, '<script>.*?</script>', '<script></script>', 'g'), '<!--.*?-->', '', 'g')"
