@@ -241,25 +241,36 @@ def rules_literal(rows: list[dict]) -> Column:
 
 
 def attach_rules(
-    shredded: DataFrame, rules: DataFrame, *rule_sets: str, small: bool | None = None
+    shredded: DataFrame,
+    rules: DataFrame | None,
+    *rule_sets: str,
+    settings: DataFrame | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Put a board's rules into its page rows: one rank-ordered array ``_<rule set>`` each.
+    """Put a board's rules into its page rows: one rank-ordered array ``_<rule set>`` each, next
+    to the columns of ``settings`` (one row per board).
 
-    Rules without a board hold for boards that have none of their own. The join happens before
-    pages are taken apart, so page content moves at most once, and not at all when the rules can
-    be broadcast.
+    Rules without a board hold for boards that have none of their own. Rules and settings are
+    brought together per board first and joined to whole page rows once, so page content moves
+    at most once, and not at all when the lookup table can be broadcast.
     """
 
     def packed(rule_set: str) -> Column:
         row = F.struct(*[F.col(f) for f in RULE_FIELDS])
         return F.array_sort(F.collect_list(F.when(F.col("rule_set") == rule_set, row)))
 
-    mine = rules.filter(F.col("rule_set").isin(*rule_sets))
-    own = mine.filter(F.col("board_id").isNotNull()).groupBy("board_id").agg(
-        *[packed(s).alias(f"_{s}") for s in rule_sets]
-    )
-    shared = mine.filter(F.col("board_id").isNull())
-    joined = lookup_join(shredded, own, ["board_id"], "left", spread_by=["page_id"], small=small)
+    lookup, shared = settings, None
+    if rules is not None:
+        mine = rules.filter(F.col("rule_set").isin(*rule_sets))
+        lookup = mine.filter(F.col("board_id").isNotNull()).groupBy("board_id").agg(
+            *[packed(s).alias(f"_{s}") for s in rule_sets]
+        )
+        shared = mine.filter(F.col("board_id").isNull())
+        if settings is not None:
+            lookup = settings.join(lookup, "board_id", "full")
+    joined = lookup_join(shredded, lookup, ["board_id"], "left", spread_by=["page_id"], small=small)
+    if shared is None:
+        return joined
     return joined.withColumns({
         f"_{s}": F.when(F.size(f"_{s}") > 0, F.col(f"_{s}")).otherwise(
             shared.agg(packed(s).alias("r")).scalar()

@@ -11,7 +11,7 @@ from boardwalk.functions.binding import built_once, let
 from boardwalk.functions.fixed import MAX_PAGES, NEXT_PAGE_RULES, NEXT_PAGE_WORDS
 from boardwalk.functions.text import contains_any
 from boardwalk.operators import containers as C
-from boardwalk.operators.skew import BROADCAST_ROWS, fits_broadcast, lookup_join
+from boardwalk.operators.skew import BROADCAST_ROWS, fits_broadcast
 from boardwalk.session import checkpoint
 
 
@@ -69,11 +69,8 @@ def next_page_edges(
             "board_id",
             (F.col("has_scraping_config") & F.col("pagination_selectors").isNotNull()).alias("_own"),
         )
-        pages = lookup_join(pages, lists, ["board_id"], "left", spread_by=["page_id"], small=small)
-        listed = "off"
-        if rules is not None:
-            pages = C.attach_rules(pages, rules, "pagination", small=small)
-            listed = "rules"
+        pages = C.attach_rules(pages, rules, "pagination", settings=lists, small=small)
+        listed = "off" if rules is None else "rules"
     board = F.col("board_id") if "board_id" in shredded.columns else F.lit(None).cast("long")
     # a generator, because a filter would evaluate the expression a second time
     following = F.filter(F.array(_next_found(listed)), lambda u: u != "")

@@ -234,11 +234,9 @@ def custom_postings(
 ) -> DataFrame:
     """Postings by the rules of the board. Without container rules a board yields nothing."""
     lists = boards.select("board_id", "exclude_urls", "exclude_titles")
-    pages = lookup_join(shredded, lists, ["board_id"], "left", spread_by=["page_id"], small=small)
     pages = C.attach_rules(
-        pages, rules, "container", "link", "title", "description", small=small
+        shredded, rules, "container", "link", "title", "description", settings=lists, small=small
     )
-
     return _rows(pages, _custom_found())
 
 

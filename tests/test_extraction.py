@@ -215,3 +215,19 @@ def test_routes(spark):
     counts = {r["board_id"]: r["count"] for r in rows.groupBy("board_id").count().collect()}
     assert counts == {1: 4, 2: 3, 3: 3, 4: 4, 5: 2}
     assert {r["title"] for r in rows.filter("board_id = 5").collect()} == {"T2", "T3"}
+
+
+def test_unbounded_lookup_gives_the_same_with_one_shuffle(spark):
+    config = boards(spark, board(1, has_scraping_config=True, exclude_titles=["qa"]))
+    picks = rules(spark, *CUSTOM_RULES)
+    near = X.custom_postings(shredded(spark, H.CUSTOM), config, picks, small=True)
+    far = X.custom_postings(shredded(spark, H.CUSTOM), config, picks, small=False)
+    assert found(near) == found(far) and len(found(far)) == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        far = X.custom_postings(shredded(spark, H.CUSTOM), config, picks, small=False)
+        plan = far._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    pages_side = [line for line in plan.splitlines() if "Exchange hashpartitioning(board_id" in line and "_salt" in line]
+    assert len(pages_side) == 2  # page rows once, the lookup table once
