@@ -14,6 +14,7 @@ from boardwalk.operators.boards import scrapable_boards
 from boardwalk.operators.shredding import shred
 from boardwalk.operators.skew import fits_broadcast, lookup_join
 from boardwalk.plans.extraction import route_pages, route_postings
+from boardwalk.session import stored
 
 
 def stage_shredded(pages: DataFrame, boards: DataFrame, path: str) -> DataFrame:
@@ -48,8 +49,9 @@ def run_boards(
 
     The one shuffle of posting rows is the deduplication; everything after it happens in place
     when the board and rule tables can be broadcast, which is measured once here. ``shredded``
-    feeds several flows and should be stored (``stage_shredded``); store ``postings`` too when
-    both matches and funnel are wanted.
+    feeds several flows and should be stored (``stage_shredded``). The judged postings, without
+    descriptions, are stored: matches, funnel, history split and the sampling of the report
+    sort all read them, and none of that may extract pages again.
     """
     boards = scrapable_boards(boards)
     small = fits_broadcast(boards) and fits_broadcast(rules)
@@ -62,10 +64,10 @@ def run_boards(
         found = G.number_pages(found, G.page_chain(boards, pages, edges))
     else:
         found = found.withColumn("page_no", F.lit(1))
-    unique = M.dedup_last(found)
-    flagged = M.match_in_place(unique, boards, universal, small=small)
+    judged = M.match_in_place(M.dedup_last(found), boards, universal, small=small)
+    flagged = stored(judged.drop("description"))
     names = boards.select("board_id", F.col("name").alias("company"))
-    matched = flagged.filter(F.size("matched_keywords") > 0).drop("description", "dropped")
+    matched = flagged.filter(F.size("matched_keywords") > 0).drop("dropped")
     matched = lookup_join(matched, names, ["board_id"], spread_by=["url"], small=small)
     if history is not None:
         matched = H.with_section(matched, history)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from boardwalk.functions.fixed import RULE_FIELDS, rule
 from boardwalk.operators.shredding import shred
 from boardwalk.schemas import SELECTOR_RULES
-from boardwalk.session import tune
+from boardwalk.session import shared_folder, tune
 
 CARDS = [
     '<div class="job-card"><h3><a href="/jobs/{k}">{n}</a></h3><p>{t}</p><p class="loc">{b}</p></div>',
@@ -34,8 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder under the one all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/boardwalk-scratch"
-    return f"{root}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def fill(template: str, **columns: Column) -> Column:
