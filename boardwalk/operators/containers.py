@@ -297,6 +297,46 @@ def matched_nodes(
     ).otherwise(F.filter(ranked, lambda n: F.lit(False)))
 
 
+def matched_by_set(nodes: Column, texts: Column, **rule_sets: Column) -> Column:
+    """Nodes selected by any rule of several sets, found in one pass over the page; ``hits``
+    holds the (rule_set, rank) pairs of each node."""
+    def tagged(name: str, rules: Column) -> Column:
+        return F.transform(
+            rules,
+            lambda r: F.struct(
+                F.lit(name).alias("rule_set"), *[r[f].alias(f) for f in RULE_FIELDS]
+            ),
+        )
+
+    def found(rules: Column) -> Column:
+        ranked = F.transform(
+            nodes,
+            lambda n: span(
+                n, n["in_chrome"].alias("in_chrome"), N.attr(n, "href").alias("href"),
+                F.filter(rules, lambda r: N.rule_matches(nodes, texts, n, r)).alias("hits"),
+            ),
+        )
+        return F.filter(ranked, lambda n: F.size(n["hits"]) > 0)
+
+    return let(F.concat(*[tagged(name, rules) for name, rules in rule_sets.items()]), found)
+
+
+def of_set(found: Column, rule_set: str) -> Column:
+    """The nodes of ``matched_by_set`` that one rule set selects, with their ranks in it."""
+
+    def ranks(n: Column) -> Column:
+        mine = F.filter(n["hits"], lambda h: h["rule_set"] == rule_set)
+        return F.transform(mine, lambda h: h["rank"])
+
+    placed = F.transform(
+        found,
+        lambda n: span(
+            n, n["in_chrome"].alias("in_chrome"), n["href"].alias("href"), ranks(n).alias("ranks")
+        ),
+    )
+    return F.filter(placed, lambda n: F.size(n["ranks"]) > 0)
+
+
 def select_elements(
     shredded: DataFrame, rules: DataFrame | list[dict], rule_set: str = "container"
 ) -> DataFrame:

@@ -162,18 +162,17 @@ def default_postings(shredded: DataFrame) -> DataFrame:
 def _custom_found() -> Column:
     """Postings of a page row that carries its board's rules and exclude lists."""
 
-    def matched(page: C.PageView, rule_set: str) -> Column:
-        return C.matched_nodes(page.nodes, page.texts, F.col(f"_{rule_set}"))
-
     def as_links(found: Column) -> Column:
         return F.transform(
             found,
             lambda a: C.span(a, a["in_chrome"].alias("in_chrome"), a["href"].alias("href")),
         )
 
-    def postings(page: C.PageView, links: Column, titled: Column, described: Column) -> Column:
+    def postings(
+        page: C.PageView, matched: Column, links: Column, titled: Column, described: Column
+    ) -> Column:
         linked = F.transform(
-            let(matched(page, "container"), C.winning_rank),
+            let(C.of_set(matched, "container"), C.winning_rank),
             lambda c: let(
                 N.first_descendant(links, c),
                 lambda link: F.struct(
@@ -214,19 +213,30 @@ def _custom_found() -> Column:
             ),
         )
 
-    return _first_per(C.per_page(
-        lambda page: let(
-            F.when(F.size("_link") > 0, N.lookup(as_links(matched(page, "link"))))
-            .otherwise(page.links),
+    def found(page: C.PageView, matched: Column) -> Column:
+        own_links = F.when(
+            F.size("_link") > 0, N.lookup(as_links(C.of_set(matched, "link")))
+        ).otherwise(page.links)
+        return let(
+            own_links,
             lambda links: let(
-                N.lookup(matched(page, "title")),
+                N.lookup(C.of_set(matched, "title")),
                 lambda titled: let(
-                    N.lookup(matched(page, "description")),
-                    lambda described: postings(page, links, titled, described),
+                    N.lookup(C.of_set(matched, "description")),
+                    lambda described: postings(page, matched, links, titled, described),
                 ),
             ),
         )
-    ), "url")
+
+    sets = {s: F.col(f"_{s}") for s in ("container", "link", "title", "description")}
+    return _first_per(
+        C.per_page(
+            lambda page: let(
+                C.matched_by_set(page.nodes, page.texts, **sets), lambda m: found(page, m)
+            )
+        ),
+        "url",
+    )
 
 
 def custom_postings(
