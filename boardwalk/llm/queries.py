@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boardwalk.llm import bpe, chat_format, packing, quality, toxicity
+from boardwalk.llm import bpe, chat_format, line_dedup, near_dup, packing, quality, toxicity
 from boardwalk.llm.common import table, wide_enough
 
 
@@ -17,6 +18,17 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_dup.classes(_documents(spark, sf_dir))
+
+
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that earlier ones hold."""
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the log-likelihood ratio, per document."""
     return quality.judge(_documents(spark, sf_dir), _labels(spark, sf_dir)).select(
@@ -58,5 +70,5 @@ FROM apart LEFT JOIN prefixes ON all_turns = p WHERE p IS NULL
 """
 
 QUERIES = {f.__name__: f for f in (
-    op4_quality_rules, op6_best_fit_packing, op7_toxicity, op8_byte_bpe, op10_chat_formatting)}
+    op1_order_minhash, op3_line_chunks, op4_quality_rules, op6_best_fit_packing, op7_toxicity, op8_byte_bpe, op10_chat_formatting)}
 ORACLE = {"op10_chat_formatting": _CHATS_SQL}

@@ -48,6 +48,7 @@ _BREAK = re.compile(r"[\W_]+")
 BEGINNINGS = range(3, 11)
 LEAST_TOXIC_SHARE = 0.002  # of the toxic training rows must hold an entry
 LEAST_TOXIC_ROWS = 3
+LEAST_EVIDENCE = 0.0  # beyond what the best of that many chance entries would show
 LEAST_RATIO = 20.0  # how much more often toxic rows hold an entry than others do
 
 
@@ -114,13 +115,25 @@ def lexicon(training: DataFrame) -> dict[str, float]:
     bad = {r["entry"]: r["n"] for r in count(1, None).filter(F.col("n") >= least).toLocalIterator()}
     good = {r["entry"]: r["n"] for r in count(0, frozenset(bad)).collect()}
     weights = {}
+    evidence = np.log(len(bad) + 1) + LEAST_EVIDENCE
     for entry, n in bad.items():
+        if _evidence(n, good.get(entry, 0), toxic, clean) < evidence:
+            continue
         ratio = (n + 0.5) / (toxic + 1) / ((good.get(entry, 0) + 0.5) / (clean + 1))
         if ratio >= LEAST_RATIO:
             weights[entry] = float(np.log(ratio))
     return _closed(weights, bad)
 
 
+def _evidence(bad: int, good: int, toxic: int, clean: int) -> float:
+    """Bound on -log of the chance that so large a share of an entry's rows is toxic by accident."""
+    share, expected = bad / (bad + good), toxic / (toxic + clean)
+    if share <= expected:
+        return 0.0
+    other = (1 - share) * np.log((1 - share) / (1 - expected)) if share < 1 else 0.0
+    return (bad + good) * (share * np.log(share / expected) + other)
+
+
 def _closed(weights: dict[str, float], rows: dict[str, int]) -> dict[str, float]:
     """The outermost entries, each replaced by the longest one found in as many rows."""
     kept: dict[str, float] = {}

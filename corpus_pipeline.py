@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boardwalk.llm import packing, quality, toxicity
+from boardwalk.llm import line_dedup, near_dup, packing, quality, toxicity
 from boardwalk.llm.common import table
 from boardwalk.session import stored
 
@@ -27,11 +27,20 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, _labels(spark, sf_dir))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.keep_one(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_poor), ("best_fit_packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_poor), ("line_dedup", drop_repeated_lines),
+          ("minhash_near_dedup", drop_near_copies), ("best_fit_packing", pack)]
 ORACLE_SQL = None
 
 
