@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardwalk.llm import bpe, chat_format, line_dedup, near_dup, packing, quality, toxicity
+from boardwalk.llm import bpe, chat_format, html_main, line_dedup, near_dup, packing, quality, toxicity, vectors
 from boardwalk.llm.common import table, wide_enough
 
 
@@ -23,6 +23,11 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_documents(spark, sf_dir))
 
 
+def op2_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.extract(wide_enough(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that earlier ones hold."""
     cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -35,6 +40,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op5_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of at most 2048 tokens."""
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -70,5 +80,6 @@ FROM apart LEFT JOIN prefixes ON all_turns = p WHERE p IS NULL
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_order_minhash, op3_line_chunks, op4_quality_rules, op6_best_fit_packing, op7_toxicity, op8_byte_bpe, op10_chat_formatting)}
+    op1_order_minhash, op2_html_min_cut, op3_line_chunks, op4_quality_rules, op5_pruned_graph,
+    op6_best_fit_packing, op7_toxicity, op8_byte_bpe, op10_chat_formatting)}
 ORACLE = {"op10_chat_formatting": _CHATS_SQL}
