@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardwalk.llm import bpe, chat_format, html_main, line_dedup, near_dup, packing, quality, toxicity, vectors
+from boardwalk.llm import bpe, chat_format, html_main, line_dedup, lm_score, near_dup, packing, quality, toxicity, vectors
 from boardwalk.llm.common import table, wide_enough
 
 
@@ -61,6 +61,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model scores of every document."""
+    return lm_score.score(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal conversations, rendered."""
     return chat_format.format_chats(table(spark, sf_dir, "conversations", *chat_format.COLUMNS))
@@ -81,5 +87,5 @@ FROM apart LEFT JOIN prefixes ON all_turns = p WHERE p IS NULL
 
 QUERIES = {f.__name__: f for f in (
     op1_order_minhash, op2_html_min_cut, op3_line_chunks, op4_quality_rules, op5_pruned_graph,
-    op6_best_fit_packing, op7_toxicity, op8_byte_bpe, op10_chat_formatting)}
+    op6_best_fit_packing, op7_toxicity, op8_byte_bpe, op9_attention_lm, op10_chat_formatting)}
 ORACLE = {"op10_chat_formatting": _CHATS_SQL}
