@@ -144,6 +144,17 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     return others.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
 
 
+def _passing(bits: np.ndarray, wanted: bool):
+    """Rows whose last column, a hash, has its bit set, or has it not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy() % FILTER_BITS
+            hit = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) == 1
+            yield batch.filter(pa.array(hit == wanted))
+
+    return run
+
+
 def _cut(names: list[str]):
     text_at = names.index("text")
 
@@ -179,9 +190,17 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     are neither cut nor compared. An empty table gives an empty one.
     """
     names = documents.columns
-    spans = repeated_spans(documents).withColumnsRenamed({"doc_id": "_doc_id", "row_key": "_row_key", "spans": "_spans"})
-    rows = documents.join(spans, (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64("text") == F.col("_row_key")), "left")
-    rows = rows.select(*[documents[f"`{n}`"] for n in names], "_spans")
+    spans = stored(repeated_spans(documents).select(
+        F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")))
+    # texts that keep all their lines are not shuffled: a filter of fixed size tells most of them
+    bits = _filter_of(spans.select(F.xxhash64("_doc_id", "_row_key").alias("hash")))
+    keyed = documents.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    touched = keyed.mapInArrow(_passing(bits, True), keyed.schema)
+    untouched = keyed.mapInArrow(_passing(bits, False), keyed.schema)
+    same = (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64("text") == F.col("_row_key"))
+    kind = spans.schema["_spans"].dataType
+    rows = touched.join(spans, same, "left").select(*[touched[f"`{n}`"] for n in names], "_spans").unionByName(
+        untouched.select(*[untouched[f"`{n}`"] for n in names], F.lit(None).cast(kind).alias("_spans")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     return rows.mapInArrow(_cut(names), f"{fields}, _n_lines long, _n_removed long")
 
