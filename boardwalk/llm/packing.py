@@ -12,17 +12,19 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from boardwalk.llm.bpe import Memo
+from boardwalk.llm.bpe import CACHED, Memo
 from boardwalk.session import stored
 
 CAPACITY = 2048
@@ -34,22 +36,44 @@ GENERATIONS = 6
 INJECTED = 0.4  # share of the donor's bins that crossover may inject
 END_ID = 0
 
-_ASCII_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+# white space for str.split, but not for the tokenizer
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
+
+
+# Fixed value: how the tokenizer file splits text; and the letters its byte-level step writes bytes as
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTER = {b: chr(b) for b in _PRINTED} | {
+    b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def _split(word: str) -> list[str]:
+    return ["".join([_LETTER[b] for b in part.encode()]) for part in _SPLIT.findall(word)]
 
 
 class WordIds:
     """Ids of a text by a tokenizer whose pre-tokenizer drops white space and never looks across it:
-    the ids of a text are those of its words, so each word is encoded once."""
+    the ids of a text are those of its words, so each word is encoded once.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    Words of the first 256 code points go straight to the tokenizer's model: there its normalizer
+    only lowers letters. All others, and those with a special token, go through the tokenizer.
+    """
+
+    def __init__(self, path: str, limit: int = CACHED):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(self._one, limit)
 
     def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if max(word, default="a") < "\u0100" and not any(t in word for t in self.special):
+            ids = [t.id for part in _split(word.lower()) for t in self.model.tokenize(part)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        words = text.translate(_ASCII_SPACE).split(" ") if text else []
+        words = text.split(" ") if _NOT_SPACE.search(text) else text.split()
         return b"".join(map(self.memo.__getitem__, words))
 
 
