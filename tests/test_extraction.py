@@ -13,14 +13,15 @@ def default(spark, html, url=HOME):
 
 def test_wrapper_wins(spark):
     rows = X.default_postings(shredded(spark, H.LISTING)).orderBy("seq").collect()
-    assert [r["url"][-7:] for r in rows] == [f"/jobs/{i}" for i in (1, 2, 3, 4)]
-    first, second = rows[0], rows[1]
-    assert first["title"] == "Senior Python Developer"
-    assert first["description"].startswith("Senior Python Developer We want")
-    assert first["description"].endswith("Remote, Canada")  # text of the whole listing
-    assert second["description"] == (
-        "QA Engineer Quality engineer with automation experience. Remote, US"
-    )
+    assert [r["url"].rpartition("/")[2] for r in rows] == ["cook?berth=2", "watch", "purser", "bosun"]
+    first, watch, purser, bosun = rows
+    assert first["title"] == "Ship's cook"
+    assert first["description"].startswith("Ship's cook Galley of eight")
+    assert first["description"].endswith("Keeps the books Hull")  # text of the whole listing
+    # an item that is never closed holds the next one
+    assert watch["description"] == "Night watch Two weeks on, two off Purser Keeps the books Hull"
+    assert purser["description"] == "Purser Keeps the books Hull"
+    assert bosun["description"] == "Bosun Ropes and paint. Narvik"
 
 
 def test_container_order_and_first_wins(spark):
@@ -116,9 +117,9 @@ def test_direct_link_description_and_chrome(spark):
 
 CUSTOM_RULES = [
     ("container", 1, rule(0, "div", class_eq="missing")),
-    ("container", 1, rule(1, "li", class_eq="position-item")),
-    ("title", 1, rule(0, "h2")),
-    ("description", 1, rule(0, class_eq="position-details")),
+    ("container", 1, rule(1, "dt", class_eq="berth")),
+    ("title", 1, rule(0, "strong")),
+    ("description", 1, rule(0, class_eq="terms")),
 ]
 
 
@@ -130,14 +131,13 @@ def custom(spark, html, *rows, **fields):
 def test_custom_rules(spark):
     rows = custom(spark, H.CUSTOM, *CUSTOM_RULES).orderBy("seq").collect()
     assert [(r["title"], r["description"]) for r in rows] == [
-        ("Software Engineer", "Build. Remote, US"), ("QA Engineer", "Test. Remote, US"),
-        ("Engineering Manager", "Lead. Hybrid"),
+        ("Stoker", "Hot work, Leith"), ("Diver", "Cold work, Oban"), ("Harbour Pilot", "Mull, summers"),
     ]
     assert custom(spark, H.CUSTOM).count() == 0  # no container rules, no postings
     kept = custom(
-        spark, H.CUSTOM, *CUSTOM_RULES, exclude_urls=["/se-", "careers$"], exclude_titles=["qa", "Manager"]
+        spark, H.CUSTOM, *CUSTOM_RULES, exclude_urls=["/stoker-", "berths$"], exclude_titles=["diver", "Pilot"]
     )
-    assert found(kept) == [("/careers/m-3", "Engineering Manager")]  # capitals never hit
+    assert found(kept) == [("/berths/pilot-1", "Harbour Pilot")]  # capitals never hit
 
 
 def test_custom_link_rule_and_shared_rules(spark):
@@ -173,8 +173,7 @@ def test_selector_conditions(spark):
 def test_frames(spark):
     rows = X.frame_postings(frames(spark, H.FRAME)).orderBy("seq").collect()
     assert [(r["title"], r["description"]) for r in rows] == [
-        ("Software Engineer", "Remote - United States"), ("Senior QA Engineer", "Remote - US"),
-        ("Product Manager", "San Francisco, CA"),
+        ("Master Sailmaker", "Loft in Cork, a role ashore"), ("Junior Rigger", "Afloat"),
     ]
     nothing = '<div class="opening"><a href="/a/b/c/d">Two words</a></div>'
     html = (
@@ -213,12 +212,12 @@ def test_routes(spark):
         shred(pages(spark, *listing)), config, rules(spark, *picks), frames=frame, navigations=clicks
     )
     counts = {r["board_id"]: r["count"] for r in rows.groupBy("board_id").count().collect()}
-    assert counts == {1: 4, 2: 3, 3: 3, 4: 4, 5: 2}
+    assert counts == {1: 4, 2: 3, 3: 2, 4: 4, 5: 2}
     assert {r["title"] for r in rows.filter("board_id = 5").collect()} == {"T2", "T3"}
 
 
 def test_unbounded_lookup_gives_the_same_with_one_shuffle(spark):
-    config = boards(spark, board(1, has_scraping_config=True, exclude_titles=["qa"]))
+    config = boards(spark, board(1, has_scraping_config=True, exclude_titles=["diver"]))
     picks = rules(spark, *CUSTOM_RULES)
     near = X.custom_postings(shredded(spark, H.CUSTOM), config, picks, small=True)
     far = X.custom_postings(shredded(spark, H.CUSTOM), config, picks, small=False)

@@ -1,4 +1,6 @@
 import documents as H
+from pyspark.sql import functions as C
+
 from boardwalk.functions.fixed import rule
 from boardwalk.operators import paging as G
 from boardwalk.operators.shredding import shred
@@ -16,7 +18,7 @@ def test_first_element_of_each_rule_only(spark):
     load = '<a href="/more">Load more</a>'
     edges = G.next_page_edges(shredded(spark, H.PAGED, button, plain, load, "<p>none</p>"))
     # page 2: the accepted element is a button without href, which ends the chain
-    assert next_urls(edges) == {1: "/careers?page=2", 4: "/more"}
+    assert next_urls(edges) == {1: "/careers?from=40", 4: "/more"}
 
 
 def test_board_pagination_rules(spark):
@@ -74,3 +76,16 @@ def test_cycle_is_walked_to_the_limit(spark):
 def test_no_boards_no_chain(spark):
     crawled = crawl(spark, (1, "", None))
     assert chain(spark, boards(spark, board(1, job_board_url="")), crawled) == []
+
+
+def test_all_snapshots_redirects_and_moves(spark):
+    crawled = crawl(
+        spark, (1, "", None), (1, "", "?p=2"), (1, "?p=2", None), (2, "/landed", None), (3, "", None), (3, "/more", None),
+    )
+    config = boards(spark, board(1), board(2), board(3))
+    pages = crawled.select("page_id", "board_id", "url").withColumn(
+        "requested_url", C.when(C.col("board_id") == 2, C.lit(HOME)))
+    edges = G.with_moves(G.next_page_edges(shred(crawled)), pages, spark.createDataFrame([(4, 5)], "page_id long, next_page_id long"))
+    rows = G.page_chain(config, pages, edges)
+    got = sorted((r["board_id"], r["page_no"], r["page_id"]) for r in rows.collect())
+    assert got == [(1, 1, 0), (1, 1, 1), (1, 2, 2), (2, 1, 3), (3, 1, 4), (3, 2, 5)]
