@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from boardwalk.functions.text import strip
 
-_LISTED_NAMES = 100
-
 
 def select_boards(boards: DataFrame, name: str) -> DataFrame:
     """K1: every board of that name, whatever the case. An unknown name is an error that says
     which names there are."""
     chosen = boards.filter(F.lower("name") == name.lower())
     if chosen.isEmpty():
-        names = [r["name"] for r in boards.select("name").limit(_LISTED_NAMES).collect()]
+        # names come from configurations, not from crawled data
+        names = [r["name"] for r in boards.select("name").distinct().orderBy("name").collect()]
         raise ValueError(f"board {name!r} not found; available: {', '.join(map(str, names))}")
     return chosen
 

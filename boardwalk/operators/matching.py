@@ -22,16 +22,18 @@ def dedup_last(postings: DataFrame, key: list[str] | None = None) -> DataFrame:
     """M1: one row per board and exact URL, with the values of the last appearance and the
     position of the first.
 
-    ``page_no`` orders pages; ``first_page_no``, when there, is the first visit of a page that
-    was visited several times. Within a page the *last* ``seq`` wins. Partial aggregation keeps a
+    ``page_no`` orders pages, ``page_id``, when there, snapshots of one page; ``first_page_no``,
+    when there, is the first visit of a page that was visited several times. Within a page the
+    *last* ``seq`` wins. Partial aggregation keeps a
     hot URL from travelling more than once per map task.
     """
     key = key or ["board_id", "url"]
     first_page = "first_page_no" if "first_page_no" in postings.columns else "page_no"
     carried = [c for c in postings.columns if c not in (*key, "first_page_no")]
+    snapshot = ["page_id"] if "page_id" in postings.columns else []
     at = F.struct(F.col(first_page).alias("page_no"), F.col("seq").alias("seq"))
     rows = postings.groupBy(*key).agg(
-        F.max_by(F.struct(*carried), F.struct("page_no", "seq")).alias("_last"),
+        F.max_by(F.struct(*carried), F.struct("page_no", *snapshot, "seq")).alias("_last"),
         F.min(at).alias("_first"),
     )
     return rows.select(
@@ -148,7 +150,8 @@ def keyword_hits(
 
     if strategy == "scan":
         return scan(keywords)
-    words = texts.select(*ids, F.explode(word_tokens(F.lower("_text"))).alias("token"))
+    texts = texts.withColumn("_hash", F.xxhash64("_text"))
+    words = texts.select(*ids, "_hash", F.explode(word_tokens(F.lower("_text"))).alias("token"))
 
     def by_word(some: DataFrame) -> DataFrame:
         return lookup_join(words, some, ["board_id", "token"], "inner", spread_by=key, small=small)
@@ -159,8 +162,10 @@ def keyword_hits(
         return found.unionByName(scan(phrases)) if shape["most_phrases"] else found
     marked = texts.withColumn("_text", mark_edges(F.lower("_text")))
     likely = by_word(phrases.filter(F.col("token").isNotNull())).drop("token")
+    # key columns may repeat: one candidate for each text, then every row of that text tests it
+    likely = likely.distinct()
     found = found.unionByName(
-        likely.join(marked, ids).filter(F.contains("_text", F.col("marked"))).select(*key, "keyword")
+        likely.join(marked, [*ids, "_hash"]).filter(F.contains("_text", F.col("marked"))).select(*key, "keyword")
     )
     if shape["loose"]:
         found = found.unionByName(scan(phrases.filter(F.col("token").isNull())))

@@ -80,22 +80,42 @@ def next_page_edges(
     )
 
 
+def with_moves(edges: DataFrame, pages: DataFrame, moves: DataFrame) -> DataFrame:
+    """Edges with the outcomes of clicks, ``(page_id, next_page_id)``, a crawler logged: they come
+    before what the snapshot shows, and give buttons without a URL of their own a next page."""
+    targets = pages.select(F.col("page_id").alias("next_page_id"), F.col("url").alias("next_url"))
+    logged = (moves.select("page_id", "next_page_id").join(targets, "next_page_id")
+              .groupBy("page_id").agg(F.min("next_url").alias("next_url")))
+    known = pages.select("page_id", "board_id", "url").join(logged, "page_id")
+    columns = ["board_id", "url", "page_id", "next_url"]
+    return edges.join(logged, "page_id", "left_anti").select(*columns).unionByName(known.select(*columns))
+
+
 def page_chain(boards: DataFrame, pages: DataFrame, edges: DataFrame) -> DataFrame:
     """(board_id, page_id, page_no) of every visit, starting at the board's URL.
 
-    ``pages`` is (page_id, board_id, url). A chain ends without a next page, at a page that was
-    not crawled, or after the board's ``max_pages``; a cycle is walked until that limit. Each
+    ``pages`` is (page_id, board_id, url) and, where a crawler was redirected, ``requested_url``: a
+    page stands for both addresses. All snapshots of one address take part in a visit; its next page
+    is that of the earliest snapshot that has one. A chain ends without a next page, at a page that
+    was not crawled, or after the board's ``max_pages``; a cycle is walked until that limit. Each
     step joins one row per board still walking with the step table; both sides are unique on
-    (board_id, url), so no key is hot. The walk stops as soon as no board has a next page, and
-    each step is checkpointed, so neither lineage nor plan grows with the number of steps.
+    (board_id, address), so no key is hot. The walk stops as soon as no board has a next page, and
+    each step is checkpointed, so lineage does not grow with the number of steps.
     """
-    crawled = pages.groupBy("board_id", "url").agg(F.min("page_id").alias("page_id"))
-    known = edges.select("board_id", "page_id", "next_url")
-    steps = checkpoint(crawled.join(known, ["board_id", "page_id"], "left"))
+    addresses = F.array("url", "requested_url") if "requested_url" in pages.columns else F.array("url")
+    places = pages.select(
+        "board_id", "page_id", F.explode(F.array_distinct(F.array_compact(addresses))).alias("address")
+    )
+    known = edges.select("page_id", "next_url")
+    leading = F.when(F.col("next_url").isNotNull(), F.col("page_id"))
+    steps = checkpoint(
+        places.join(known, "page_id", "left").groupBy("board_id", "address")
+        .agg(F.min_by("next_url", leading).alias("next_url"))
+    )
     frontier = boards.select(
-        "board_id", F.col("job_board_url").alias("url"),
+        "board_id", F.col("job_board_url").alias("address"),
         F.coalesce("max_pages", F.lit(MAX_PAGES)).alias("max_pages"),
-    ).filter((F.coalesce("url", F.lit("")) != "") & (F.col("max_pages") >= 1))
+    ).filter((F.coalesce("address", F.lit("")) != "") & (F.col("max_pages") >= 1))
     visits = None
     page_no = 0
     walking = boards.count()
@@ -103,19 +123,19 @@ def page_chain(boards: DataFrame, pages: DataFrame, edges: DataFrame) -> DataFra
         page_no += 1
         here = F.broadcast(frontier) if walking <= BROADCAST_ROWS else frontier
         visited = checkpoint(
-            steps.join(here, ["board_id", "url"]).select(
-                "board_id", "page_id", F.lit(page_no).alias("page_no"), "next_url", "max_pages"
+            steps.join(here, ["board_id", "address"]).select(
+                "board_id", "address", F.lit(page_no).alias("page_no"), "next_url", "max_pages"
             )
         )
-        rows = visited.select("board_id", "page_id", "page_no")
+        rows = visited.select("board_id", "address", "page_no")
         visits = rows if visits is None else visits.unionByName(rows)
         frontier = visited.filter(
             F.col("next_url").isNotNull() & (F.col("max_pages") > page_no)
-        ).select("board_id", F.col("next_url").alias("url"), "max_pages")
+        ).select("board_id", F.col("next_url").alias("address"), "max_pages")
         walking = frontier.count()
     if visits is None:
-        return crawled.select("board_id", "page_id", F.lit(1).alias("page_no")).limit(0)
-    return visits
+        return places.select("board_id", "page_id", F.lit(1).alias("page_no")).limit(0)
+    return visits.join(places, ["board_id", "address"]).select("board_id", "page_id", "page_no").distinct()
 
 
 def number_pages(postings: DataFrame, chain: DataFrame) -> DataFrame:

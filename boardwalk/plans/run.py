@@ -38,8 +38,9 @@ def run_boards(
     shredded: DataFrame,
     boards: DataFrame,
     rules: DataFrame,
-    universal: Column,
+    universal: Column | None = None,
     *,
+    page_moves: DataFrame | None = None,
     frames: DataFrame | None = None,
     navigations: DataFrame | None = None,
     history: DataFrame | None = None,
@@ -52,15 +53,25 @@ def run_boards(
     feeds several flows and should be stored (``stage_shredded``). The judged postings, without
     descriptions, are stored: matches, funnel, history split and the sampling of the report
     sort all read them, and none of that may extract pages again.
+
+    Universal keywords come from the boards' own column unless given. Without a history every match
+    is new. ``page_moves`` are logged clicks on next-page buttons. Without ``follow_pages`` all pages
+    count as one, and ``page_id`` says which of them is the last.
     """
     boards = scrapable_boards(boards)
+    if universal is None:
+        listed = "universal_keywords" in boards.columns
+        universal = F.col("universal_keywords") if listed else F.array().cast("array<string>")
     small = fits_broadcast(boards) and fits_broadcast(rules)
     found = route_postings(
         shredded, boards, rules, frames=frames, navigations=navigations, small=small
     )
     if follow_pages:
         edges = G.next_page_edges(shredded, boards, rules, small=small)
-        pages = shredded.select("page_id", "board_id", F.col("base_url").alias("url"))
+        redirected = ["requested_url"] if "requested_url" in shredded.columns else []
+        pages = shredded.select("page_id", "board_id", F.col("base_url").alias("url"), *redirected)
+        if page_moves is not None:
+            edges = G.with_moves(edges, pages, page_moves)
         found = G.number_pages(found, G.page_chain(boards, pages, edges))
     else:
         found = found.withColumn("page_no", F.lit(1))
@@ -69,7 +80,9 @@ def run_boards(
     names = boards.select("board_id", F.col("name").alias("company"))
     matched = flagged.filter(F.size("matched_keywords") > 0).drop("dropped")
     matched = lookup_join(matched, names, ["board_id"], spread_by=["url"], small=small)
-    if history is not None:
+    if history is None:
+        matched = matched.withColumn("section", F.lit("new"))
+    else:
         matched = H.with_section(matched, history)
     funnel = M.board_funnel(
         boards, flagged.withColumn("matched", F.size("matched_keywords") > 0)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,23 +91,45 @@ def boards_from_configs(configs: DataFrame) -> DataFrame:
     ).select(*keys, *[f.name for f in BOARDS.fields], "universal_keywords")
 
 
+def _path(url: Column) -> Column:
+    """Path of an absolute URL without its last slash."""
+    path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    return F.regexp_replace(path, "/+$", "")
+
+
 def attach_boards_by_host(
     pages: DataFrame, boards: DataFrame, *, small: bool | None = None
 ) -> DataFrame:
-    """Give pages the board whose URL has the same host; pages of no board go away."""
-    by_host = boards.select("board_id", urls.host(F.col("job_board_url")).alias("_host")).filter(
-        F.col("_host") != ""
+    """Give every page one board: that whose URL has the same host and the longest path that the
+    page's path starts with, whole segments only. A board alone on its host takes all its pages.
+    Pages of no board go away. Two boards with the same host and path are an error that names them.
+    """
+    places = boards.select(
+        "board_id", urls.host(F.col("job_board_url")).alias("_host"), _path(F.col("job_board_url")).alias("_path")
+    ).filter(F.col("_host") != "")
+    twice = places.groupBy("_host", "_path").agg(F.sort_array(F.collect_set("board_id")).alias("ids")).filter(F.size("ids") > 1).first()
+    if twice is not None:
+        raise ValueError(f"boards {twice['ids']} share {twice['_host']}{twice['_path']}")
+    alone = places.groupBy("_host").agg(F.max("board_id").alias("board_id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    # an empty path stands for the whole host
+    places = places.filter("_path <> ''").unionByName(
+        places.filter("_path = ''").join(alone.select("_host"), "_host", "left_anti").select("board_id", "_host", "_path")
+    ).unionByName(alone.select("board_id", "_host", F.lit("").alias("_path")))
+    # a page asks for each of its path's beginnings; only ids and paths are joined, never pages
+    parts = F.split(_path(F.col("url")), "/")
+    asked = pages.select(
+        "page_id", urls.host(F.col("url")).alias("_host"),
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("_path"),
     )
-    rows = pages.withColumn("_host", urls.host(F.col("url")))
-    return lookup_join(
-        rows, by_host, ["_host"], "inner", spread_by=["page_id"], small=small
-    ).drop("_host")
+    found = lookup_join(asked, places, ["_host", "_path"], "inner", spread_by=["page_id"], small=small)
+    best = found.groupBy("page_id").agg(F.max_by("board_id", F.length("_path")).alias("board_id"))
+    return pages.join(best, "page_id")
 
 
 def read_pages(
     spark: SparkSession, path: str, boards: DataFrame | None = None, *, small: bool | None = None
 ) -> DataFrame:
-    """Crawled pages. With boards, pages without a board_id get theirs by host."""
+    """Crawled pages. With boards, pages without a board_id get theirs by host and path."""
     pages = spark.read.parquet(path)
     if boards is None or "board_id" in pages.columns:
         return pages
@@ -125,31 +150,45 @@ def read_navigations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_RUNS = "run long, written long, folder string"
+
+
 def _runs(root: str) -> str:
     return f"{root}/runs"
 
 
 def write_matches(matches: DataFrame, root: str, run: int) -> None:
-    """Store the matches of a run, new and seen alike, then record the run. Every run has its
-    own folder, so the history being read is never the data being written, and a run that fails
-    half-way is not recorded."""
+    """Store the matches of a run, new and seen alike, then record the run. Every attempt has a
+    folder of its own, and the record names it: a run that fails half-way, or that is repeated and
+    then fails, leaves what was recorded before as it is."""
     spark = matches.sparkSession
-    matches.write.mode("overwrite").parquet(f"{root}/matches/run={run}")
-    spark.createDataFrame([(run,)], "run long").coalesce(1).write.mode("append").parquet(_runs(root))
+    folder = f"run={run}-{uuid.uuid4().hex}"
+    matches.write.parquet(f"{root}/matches/{folder}")
+    record = spark.createDataFrame([(run, time.time_ns(), folder)], _RUNS)
+    record.coalesce(1).write.mode("append").parquet(_runs(root))
 
 
-def read_history(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """URLs of the last recorded run only; empty when there is none. A run without matches
-    leaves an empty history."""
+def read_matches(spark: SparkSession, root: str, run: int | None = None, before: int | None = None) -> DataFrame | None:
+    """The matches of a run as last recorded, of the last run, or of the last one before another;
+    None when there is none."""
     try:
-        runs = spark.read.schema("run long").parquet(_runs(root))
+        runs = spark.read.schema(_RUNS).parquet(_runs(root))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "url string")
+        return None
+    if run is not None:
+        runs = runs.filter(F.col("run") == run)
     if before is not None:
         runs = runs.filter(F.col("run") < before)
-    last = runs.agg(F.max("run")).first()[0]
+    last = runs.orderBy(F.desc("run"), F.desc("written")).first()
+    return None if last is None else spark.read.parquet(f"{root}/matches/{last['folder']}")
+
+
+def read_history(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """URLs of the last recorded run only; empty when there is none. A run without matches
+    leaves an empty history."""
+    last = read_matches(spark, root, before=before)
     if last is None:
         return spark.createDataFrame([], "url string")
-    return spark.read.parquet(f"{root}/matches/run={last}").select("url").distinct()
+    return last.select("url").distinct()

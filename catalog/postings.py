@@ -103,27 +103,25 @@ def t4_descriptions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _document_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """First line of every document, cut to a length that varies."""
-    line = F.substring_index("text", "\n", 1)
-    return D.table(spark, sf, "documents").select(
-        "doc_id", F.substring(line, F.lit(1), (F.col("doc_id") % 12).cast("int")).alias("title")
-    )
+    """Every line of every document."""
+    return D.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "title"))
 
 
 _DOC_TITLES = """
 titles AS (
-  SELECT doc_id, substring(split_part(text, chr(10), 1), 1, CAST(doc_id % 12 AS INT)) AS title FROM documents
+  SELECT doc_id, CAST(unnest(range(len(lines))) AS INT) AS line, unnest(lines) AS title
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)
 )"""
 
 
-@query(f"WITH {_DOC_TITLES} SELECT doc_id, title FROM titles WHERE length(title) >= 3")
+@query(f"WITH {_DOC_TITLES} SELECT doc_id, line, title FROM titles WHERE length(title) >= 3")
 def t5_valid_titles(spark: SparkSession, sf: str) -> DataFrame:
     return T.valid_titles(_document_titles(spark, sf))
 
 
 @query(f"""
 WITH {_DOC_TITLES}
-SELECT doc_id, title FROM titles
+SELECT doc_id, line, title FROM titles
 WHERE len(list_filter(regexp_split_to_array(title, '[\\s\\x{{85}}\\x{{A0}}]+'), lambda w: w <> '')) >= 2""")
 def t6_multiword_titles(spark: SparkSession, sf: str) -> DataFrame:
     return T.multiword_titles(_document_titles(spark, sf))

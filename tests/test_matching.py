@@ -147,3 +147,15 @@ def test_board_operators(spark):
     new = spark.createDataFrame([(0, "A"), (1, "b"), (2, "c"), (3, "c")], "pos int, keyword string")
     merged = K.merge_universal(old, new).orderBy("part", "pos").collect()
     assert [r["keyword"] for r in merged] == ["b", "a", "A", "c"]
+
+
+def test_repeated_rows_give_the_same_hits_every_way(spark):
+    phrases = [f"w{k} x{k}" for k in range(M.SCAN_KEYWORDS + 7)] + ["lone", "w1"]
+    texts = [("u", "w1 x1 lone"), ("u", "w1 x1 lone"), ("u", "w2 x2"), ("v", "w2 x2, w70 x70")]
+    rows = spark.createDataFrame([(1, u, t, "") for u, t in texts], "board_id long, url string, title string, description string")
+    keywords = spark.createDataFrame([(1, k) for k in phrases], "board_id long, keyword string")
+    found = [
+        sorted(tuple(r) for r in M.keyword_hits(rows, keywords, strategy=s, small=b).collect())
+        for s, b in (("scan", True), ("token", True), ("token", False))
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 9

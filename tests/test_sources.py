@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from boardwalk.sources import tables as S
-from helpers import frames, pages
+from helpers import board, boards, frames, pages
 
 CONFIG = {
     "universal_keywords": ["python", "Remote"],
@@ -67,3 +68,31 @@ def test_pages_by_host_and_frames(spark, tmp_path):
     spark.createDataFrame([(1, 0), (1, 1)], "page_id int, frame_no int").write.parquet(fpath)
     assert S.read_frames(spark, fpath).count() == 1 and S.read_navigations(spark, fpath).count() == 2
     assert frames(spark, "<p>a</p>").first()["frame_no"] == 1
+
+
+def test_boards_of_one_host(spark):
+    config = boards(
+        spark, *[board(k, job_board_url=f"https://ats.example.com/{name}/") for k, name in enumerate(["a", "a/b", "ab"])],
+        board(9, job_board_url="https://alone.example.com/careers"),
+    )
+    urls = ["https://ats.example.com/a/1", "https://ats.example.com/a/b/2?x=/ab", "https://ats.example.com/ab",
+            "https://ats.example.com/other", "https://alone.example.com/blog"]
+    crawl = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for small in (True, False):
+        rows = S.attach_boards_by_host(crawl, config, small=small).collect()
+        assert sorted((r["page_id"], r["board_id"]) for r in rows) == [(0, 0), (1, 1), (2, 2), (4, 9)]
+    with pytest.raises(ValueError, match="share"):
+        S.attach_boards_by_host(crawl, boards(spark, board(1), board(2)))
+
+
+def test_a_repeated_run_replaces_the_record_only_when_it_is_whole(spark, tmp_path):
+    root = str(tmp_path)
+    first = spark.createDataFrame([("u1",)], "url string")
+    S.write_matches(first, root, 7)
+    broken = first.withColumn("url", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        S.write_matches(broken, root, 7)
+    assert [r.url for r in S.read_matches(spark, root, 7).collect()] == ["u1"]
+    S.write_matches(spark.createDataFrame([("u2",)], "url string"), root, 7)
+    assert [r.url for r in S.read_history(spark, root).collect()] == ["u2"]
+    assert S.read_matches(spark, root, 8) is None
