@@ -186,17 +186,20 @@ def m3_keyword_hits_unbounded(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""
+@query(f"""
 WITH words AS (SELECT DISTINCT lower(p_name) AS keyword FROM part
-               UNION SELECT DISTINCT lower(w) FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark)
-               WHERE regexp_matches(w, '^[\\p{L}\\p{N}_]+$')),
-tokens AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(role || ' ' || text), '[\\p{L}\\p{N}_]+')) AS w
-           FROM conversations)
-SELECT conv_id, turn, keyword FROM tokens JOIN words ON w = keyword""")
+               UNION SELECT DISTINCT lower(w) FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> ''),
+turns AS (SELECT conv_id, turn, lower(role || ' ' || text) AS body FROM conversations)
+SELECT conv_id, turn, keyword FROM turns JOIN words ON contains(body, keyword)
+WHERE regexp_matches(body,
+  CASE WHEN regexp_matches(keyword, '^[\\p{{L}}\\p{{N}}_]') THEN '(^|[^\\p{{L}}\\p{{N}}_])' ELSE '[\\p{{L}}\\p{{N}}_]' END
+  || regexp_escape(keyword) ||
+  CASE WHEN regexp_matches(keyword, '[\\p{{L}}\\p{{N}}_]$') THEN '([^\\p{{L}}\\p{{N}}_]|$)' ELSE '[\\p{{L}}\\p{{N}}_]' END)""")
 def m3_large_keyword_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Every word of the benchmark texts as a keyword of one board, on conversation turns."""
+    """Every word of the benchmark texts, punctuation included, as a keyword of one board, on
+    conversation turns. A keyword has a word edge at both ends, also where it ends in a full stop."""
     words = D.table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w"))
-    words = words.filter(F.col("w").rlike(r"^[\p{L}\p{N}_]+$")).select(F.lower("w").alias("keyword"))
+    words = words.filter("w <> ''").select(F.lower("w").alias("keyword"))
     names = D.table(spark, sf, "part").select(F.lower("p_name").alias("keyword"))
     keywords = words.unionByName(names).distinct().select(F.lit(0).cast("long").alias("board_id"), "keyword")
     turns = spread(D.table(spark, sf, "conversations")).select(
