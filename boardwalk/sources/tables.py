@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from boardwalk.functions import urls
 from boardwalk.functions.fixed import MAX_PAGES
 from boardwalk.operators.skew import lookup_join
-from boardwalk.schemas import BOARDS, LOCATION
+from boardwalk.schemas import BOARDS, LOCATION, SELECTOR_RULES
 
 _STRINGS = T.ArrayType(T.StringType())
 # nested objects stay text here: an empty one and an absent one must remain different
@@ -91,6 +91,72 @@ def boards_from_configs(configs: DataFrame) -> DataFrame:
     ).select(*keys, *[f.name for f in BOARDS.fields], "universal_keywords")
 
 
+_SELECTORS = T.StructType([
+    T.StructField("container_selectors", _STRINGS),
+    T.StructField("link_selector", T.StringType()),
+    T.StructField("title_selector", T.StringType()),
+    T.StructField("description_selector", T.StringType()),
+    T.StructField("pagination_selectors", _STRINGS),
+])
+_COMPOUND = (
+    r"([A-Za-z][\w-]*)?(#[\w-]+)?(\.[\w-]+)?"
+    r"(?:\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*?)[\"']?(\s+i)?)?\])?(:last-child)?(?::has-text\([\"']?([^\"')]*)[\"']?\))?"
+)
+_SELECTOR = rf"^(?:{_COMPOUND}\s+)?{_COMPOUND}$"
+
+
+def rules_from_configs(configs: DataFrame) -> DataFrame:
+    """Selector rules of the boards' configurations (``configs`` as of ``parse_configs``).
+
+    A selector is what a rule row can say: tag, one id, one class, one attribute test, last child, a
+    text, below an ancestor with tag, class and attribute test. Alternatives after commas share the
+    rank; lists give ranks in their order. Anything else is an error that names board and selector.
+    """
+    boards = configs.select(F.posexplode("companies").alias("board_id", "c")).select(
+        F.col("board_id").cast("long").alias("board_id"), F.col("c.name").alias("name"),
+        F.from_json("c.scraping_config", _SELECTORS).alias("s"),
+    )
+
+    def listed(rule_set: str, field: str) -> DataFrame:
+        value = F.col(f"s.{field}")
+        several = value if field.endswith("_selectors") else F.when(value.isNotNull(), F.array(value))
+        return boards.select(
+            F.lit(rule_set).alias("rule_set"), "board_id", "name", F.posexplode(several).alias("rank", "listed"))
+
+    rows = listed("container", "container_selectors")
+    for rule_set in ("link", "title", "description"):
+        rows = rows.unionByName(listed(rule_set, f"{rule_set}_selector"))
+    rows = rows.unionByName(listed("pagination", "pagination_selectors"))
+    # commas within brackets do not part alternatives
+    one = F.explode(F.split("listed", r",(?![^\[(]*[\])])")).alias("one")
+    rows = rows.select("rule_set", "board_id", "name", "rank", one).withColumn("one", F.trim("one"))
+    known = F.coalesce((F.col("one") != "") & F.col("one").rlike(_SELECTOR), F.lit(False))
+    part = lambda k: F.nullif(F.regexp_extract("one", _SELECTOR, k), F.lit(""))
+    # an ancestor has no id, no place and no text in a rule row
+    plain = part(2).isNull() & part(8).isNull() & part(9).isNull()
+    unknown = rows.filter(~(known & plain)).first()
+    if unknown is not None:
+        raise ValueError(f"board {unknown['name']!r}: selector {unknown['one']!r} is not supported")
+
+    def test(k: int) -> Column:
+        return F.when(part(k).isNotNull(), F.coalesce(part(k + 1), F.lit("exists")))
+
+    named = {
+        "tag": F.lower(part(10)), "id_eq": F.substring(part(11), 2, 1 << 30), "class_eq": F.substring(part(12), 2, 1 << 30),
+        "attr": F.lower(part(13)), "op": test(13), "value": part(15), "ci": part(16).isNotNull() | part(7).isNotNull(),
+        "ancestor_tag": F.lower(part(1)), "ancestor_class": F.substring(part(3), 2, 1 << 30),
+        "ancestor_attr": F.lower(part(4)), "ancestor_op": test(4), "ancestor_value": part(6),
+        "last_child": part(17).isNotNull(), "has_text": part(18), "rank": F.col("rank"),
+    }
+    fields = [f for f in SELECTOR_RULES.fields if f.name not in ("rule_set", "board_id")]
+    return rows.select("rule_set", "board_id", *[named[f.name].cast(f.dataType).alias(f.name) for f in fields])
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The selector rules of a configuration file, for the boards that ``read_boards`` gives."""
+    return rules_from_configs(parse_configs(spark.read.text(path, wholetext=True)))
+
+
 def _path(url: Column) -> Column:
     """Path of an absolute URL without its last slash."""
     path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardwalk.sources import tables as S
-from helpers import board, boards, frames, pages
+from boardwalk.functions.fixed import rule
+from boardwalk.plans import extraction as X
+from helpers import board, boards, found, frames, pages, shredded
 
 CONFIG = {
     "universal_keywords": ["python", "Remote"],
@@ -96,3 +98,30 @@ def test_a_repeated_run_replaces_the_record_only_when_it_is_whole(spark, tmp_pat
     S.write_matches(spark.createDataFrame([("u2",)], "url string"), root, 7)
     assert [r.url for r in S.read_history(spark, root).collect()] == ["u2"]
     assert S.read_matches(spark, root, 8) is None
+
+
+def test_rules_of_a_configuration(spark, tmp_path):
+    selectors = {
+        "container_selectors": ["div.missing", "dt.berth"], "link_selector": "a[href*='/berths/']",
+        "title_selector": "strong, b", "description_selector": "q.terms",
+        "pagination_selectors": ["ul.pagination a.next", "nav[aria-label*='pages' i] a:last-child", "a:has-text('Next, please')"],
+    }
+    config = {"companies": [{"name": "Quay", "job_board_url": "https://x.example.com/careers", "scraping_config": selectors}]}
+    path = tmp_path / "config.json"
+    path.write_text(json.dumps(config))
+    made = [r.asDict() for r in S.read_rules(spark, str(path)).collect()]
+    pagination = [{k: v for k, v in r.items() if k not in ("rule_set", "board_id")} for r in made if r["rule_set"] == "pagination"]
+    assert pagination == [
+        rule(0, "a", class_eq="next", ancestor_tag="ul", ancestor_class="pagination"),
+        rule(1, "a", last_child=True, ancestor_tag="nav", ancestor_attr="aria-label", ancestor_op="*=", ancestor_value="pages", ci=True),
+        rule(2, "a", has_text="Next, please"),
+    ]
+    import documents as H
+    table = S.read_boards(spark, str(path)).withColumn("board_id", F.lit(1).cast("long"))
+    rules = S.read_rules(spark, str(path)).withColumn("board_id", F.lit(1).cast("long"))
+    rows = X.custom_postings(shredded(spark, H.CUSTOM), table, rules)
+    assert found(rows) == [("/berths/stoker-9", "Stoker"), ("/berths/diver-4", "Diver"), ("/berths/pilot-1", "Harbour Pilot")]
+    selectors["title_selector"] = "strong, dl#rota q"
+    path.write_text(json.dumps(config))
+    with pytest.raises(ValueError, match="Quay.*dl#rota q"):
+        S.read_rules(spark, str(path))
