@@ -110,8 +110,9 @@ def page_columns(shredded: DataFrame) -> list[str]:
     return [c for c in shredded.columns if c not in ("texts", "nodes")]
 
 
-def default_candidates(page: PageView) -> Column:
-    """C1, C2 and C3 with chrome removed (E3), then direct links: spans with a ``code``."""
+def default_candidates(page: PageView, items_only: bool = False) -> Column:
+    """C1, C2 and C3 with chrome removed (E3), then direct links: spans with a ``code``, the least
+    where several kinds fit. ``items_only``: the code as a result item, whatever else fits."""
     item_rules = rules_literal(RESULT_ITEM_RULES)
 
     def word_code(n: Column) -> Column:
@@ -152,7 +153,7 @@ def default_candidates(page: PageView) -> Column:
         return (
             F.when(n["in_chrome"], F.lit(None))
             .when(n["tag"] == "tr", row_code(n, row_links))
-            .when(n["tag"].isin(*CONTAINER_TAGS), F.coalesce(word_code(n), item_code(n)))
+            .when(n["tag"].isin(*CONTAINER_TAGS), item_code(n) if items_only else F.coalesce(word_code(n), item_code(n)))
         )
 
     def containers(row_links: Column) -> Column:
@@ -204,7 +205,7 @@ def _default_kind(low: int, high: int) -> Column:
     return per_page(
         lambda page: F.transform(
             F.filter(
-                default_candidates(page), lambda c: (c["code"] >= low) & (c["code"] < high)
+                default_candidates(page, items_only=low == RESULT_ITEM_CODE), lambda c: (c["code"] >= low) & (c["code"] < high)
             ),
             lambda c: F.struct(
                 c["code"].alias("code"), c["tag"].alias("tag"), c["pre"].alias("pre"),
@@ -225,8 +226,8 @@ def keyword_containers(shredded: DataFrame) -> DataFrame:
 
 
 def result_item_containers(shredded: DataFrame) -> DataFrame:
-    """Data-qa result items that are not talent-community or event cards. Items a keyword
-    selects as well are reported by C1."""
+    """Data-qa result items that are not talent-community or event cards, those that a keyword
+    selects as well included."""
     return _containers(shredded, RESULT_ITEM_CODE, ROW_CODE)
 
 

@@ -330,14 +330,16 @@ def navigation_postings(navigations: DataFrame) -> DataFrame:
 
 
 def board_routes(boards: DataFrame) -> DataFrame:
-    """Which flow each board takes. A scraping configuration, however small, means 'custom'."""
-    return boards.select(
-        "board_id",
+    """Which flow each board takes. A scraping configuration, however small, means 'custom'. A
+    ``route`` column of the boards, where not null, names the flow itself."""
+    ruled = (
         F.when(F.col("has_scraping_config") & F.col("use_js_navigation"), "navigation")
         .when(F.col("has_scraping_config"), "custom")
         .when(F.col("use_iframe"), "frame")
-        .otherwise("default").alias("route"),
+        .otherwise("default")
     )
+    named = F.coalesce("route", ruled) if "route" in boards.columns else ruled
+    return boards.select("board_id", named.alias("route"))
 
 
 def route_pages(pages: DataFrame, boards: DataFrame, *, small: bool | None = None) -> DataFrame:
@@ -348,6 +350,7 @@ def route_pages(pages: DataFrame, boards: DataFrame, *, small: bool | None = Non
     )
 
 
+BUILT_IN_ROUTES = ("default", "custom", "frame", "navigation")
 Extractor = Callable[[DataFrame], DataFrame]
 
 
@@ -365,8 +368,14 @@ def route_postings(
 
     Pages of frame boards whose frames give nothing fall back to the default flow. ``shredded``
     and ``frames`` may carry a ``route`` column already. ``extractors`` adds or replaces flows by
-    route name (F1): any function from shredded pages to the postings columns.
+    route name (F1): any function from shredded pages to the postings columns. Boards take an added
+    flow by their ``route`` column; a name without a flow is an error.
     """
+    if "route" in boards.columns:
+        flows = [*BUILT_IN_ROUTES, *(extractors or {})]
+        unknown = boards.filter(F.col("route").isNotNull() & ~F.col("route").isin(flows)).select("route").first()
+        if unknown is not None:
+            raise ValueError(f"no flow is named {unknown['route']!r}")
     if "route" not in shredded.columns:
         shredded = route_pages(shredded, boards, small=small)
     routes: dict[str, Extractor] = {
@@ -387,7 +396,7 @@ def route_postings(
             inside.select("page_id").distinct(), "page_id", "left_anti"
         ).select(*POSTING_COLUMNS)
         parts["inside"] = inside
-    if navigations is not None:
+    if navigations is not None and "navigation" not in (extractors or {}):
         if "route" not in navigations.columns:
             navigations = route_pages(navigations, boards, small=small)
         parts["navigation"] = navigation_postings(

@@ -1,3 +1,5 @@
+import pytest
+
 import documents as H
 from boardwalk.functions.fixed import rule
 from boardwalk.operators import containers as C
@@ -230,3 +232,17 @@ def test_unbounded_lookup_gives_the_same_with_one_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     pages_side = [line for line in plan.splitlines() if "Exchange hashpartitioning(board_id" in line and "_salt" in line]
     assert len(pages_side) == 2  # page rows once, the lookup table once
+
+
+def test_added_flows_and_items_with_keywords(spark):
+    config = boards(spark, board(1), board(2)).withColumn("route", C.F.expr("if(board_id = 2, 'loud', NULL)"))
+    loud = lambda p: X.default_postings(p).withColumn("title", C.F.upper("title"))
+    none = rules(spark)
+    rows = X.route_postings(shred(pages(spark, H.LISTING, H.LISTING)), config, none, extractors={"loud": loud})
+    titles = {(r["board_id"], r["title"]) for r in rows.collect()}
+    assert {(1, "Bosun"), (2, "BOSUN")} <= titles and len(titles) == 8
+    with pytest.raises(ValueError, match="loud"):
+        X.route_postings(shred(pages(spark, H.LISTING)), config, none)
+    html = '<li class="job" data-qa="searchResultItem"><a href="/jobs/1">Both kinds</a></li>'
+    assert C.result_item_containers(shredded(spark, html)).count() == 1
+    assert C.keyword_containers(shredded(spark, html)).count() == 1
