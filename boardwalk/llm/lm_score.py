@@ -20,6 +20,8 @@ counts in a join. Tables of the model are bounded by the vocabulary of the token
 
 from __future__ import annotations
 
+import functools
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from boardwalk.llm.bpe import CACHED, Memo, load_ranks
 from boardwalk.session import stored
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 26
 WIDTH = 16
 ALONE, GROUPS = 64, 32  # classes of single ids; groups of word starts, and as many of other ids
 FEATURES = 64
@@ -72,6 +74,12 @@ class Subwords:
         return self.encoding.encode_ordinary(" " + word.decode())
 
 
+@functools.lru_cache(maxsize=2)
+def subwords_of(path: str, pattern: str) -> Subwords:
+    """Built once in a worker process."""
+    return Subwords(path, pattern)
+
+
 # counts ------------------------------------------------------------------------------------------
 
 def count_words(training: DataFrame, most: int = 400_000) -> DataFrame:
@@ -99,7 +107,7 @@ def _neighbours(path: str, pattern: str):
     """Per task: how often an id stands before or after ids of a feature bucket within words, and how
     often it occurs (feature -1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(path, pattern)
+        subwords = subwords_of(path, pattern)
         beside = np.zeros((subwords.size, 2 * FEATURES), np.float32)
         single, opening, kinds = np.zeros((3, subwords.size), np.int64)
         for batch in batches:
@@ -190,9 +198,11 @@ def initial(classes: int, seed: int = 5) -> dict[str, np.ndarray]:
 _MASK = np.triu(np.full((WINDOW, WINDOW), -np.inf, np.float32), 1)
 
 
-def forward(model: dict, bigram: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Unnormalised exp(logits) of the next class at every place of windows ``before``, and what the
-    gradient needs. Logits stay small (a log bigram and a low-rank term), so no maximum is taken."""
+def forward(model: dict, bigram: np.ndarray, before: np.ndarray,
+            wanted: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """Unnormalised exp(logits) of the next class at every place (or the ``wanted`` ones) of windows
+    ``before``, and what the gradient needs. Logits stay small (a log bigram and a low-rank term), so
+    no maximum is taken."""
     rows = len(before)
     x = (model["embed"][before] + model["place"]).reshape(rows * WINDOW, WIDTH)
     ask, key, value = (
@@ -205,8 +215,9 @@ def forward(model: dict, bigram: np.ndarray, before: np.ndarray) -> tuple[np.nda
     total = heed.sum(axis=2, keepdims=True)
     mixed = np.matmul(heed, value) / total
     hidden = x + mixed.reshape(rows * WINDOW, WIDTH)
-    logits = hidden @ model["out"]
-    logits += bigram[before.reshape(-1)]
+    last = before.reshape(-1)
+    logits = (hidden if wanted is None else hidden[wanted]) @ model["out"]
+    logits += bigram[last if wanted is None else last[wanted]]
     np.exp(logits, out=logits)
     return logits, (x, ask, key, value, heed, total, hidden)
 
@@ -269,7 +280,7 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
 def _training_windows(path: str, pattern: str, classes: np.ndarray, end: int):
     """One window of classes for every ``EVERY``-th run of words of each text; -1 fills it up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(path, pattern)
+        subwords = subwords_of(path, pattern)
         memo = Memo(lambda word: subwords(word), CACHED // 5)
         for batch in batches:
             rows = []
@@ -324,6 +335,10 @@ def _train(model: dict, bigram: np.ndarray, number: int):
                 _, grad = gradient(own, bigram, before, now[:, 1:])
                 step(own, grad)
                 seen += BATCH
+        if len(waiting):
+            _, grad = gradient(own, bigram, np.maximum(waiting[:, :-1], 0), waiting[:, 1:])
+            step(own, grad)
+            seen += len(waiting)
         if seen:
             flat = _pack(own).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays(
@@ -376,12 +391,12 @@ def score_ids(classes: np.ndarray, bounds: np.ndarray, model: dict, bigram: np.n
         at = begin[low:low + _CHUNK, None] + reach
         inside = at < stop[low:low + _CHUNK, None]
         at = np.where(inside, at, begin[low:low + _CHUNK, None])
-        odds, _ = forward(model, bigram, before[at])
-        wanted = (inside & (at >= first[low:low + _CHUNK, None])).ravel()
+        wanted = np.flatnonzero((inside & (at >= first[low:low + _CHUNK, None])).ravel())
+        odds, _ = forward(model, bigram, before[at], wanted)
         place = at.ravel()[wanted]
         total = np.log(odds.sum(axis=1))
-        log_class[place] = (np.log(odds[np.arange(len(odds)), classes[at.ravel()]]) - total)[wanted]
-        log_start[place] = (np.log(odds @ starts) - total)[wanted]
+        log_class[place] = np.log(odds[np.arange(len(odds)), classes[place]]) - total
+        log_start[place] = np.log(odds @ starts) - total
     return log_class, log_start
 
 
@@ -449,6 +464,18 @@ class Scorer:
                 "rare_words": rare_words, "rare_at": np.searchsorted(place, text_at), "rare_own": own[place], "rare_class": by_class[place]}
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def held_scorer(fitted: str, make) -> Scorer:
+    """The scorer of a worker process, one at a time: the next task there goes on with the words it
+    knows. A function of the module, so that workers share its table and not a copy."""
+    if fitted not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[fitted] = make()
+    return _SCORERS[fitted]
+
+
 def mix(own: np.ndarray, by_class: np.ndarray, count: np.ndarray, below: float) -> np.ndarray:
     """log10 of the mixture: ``own`` is log10 of the model's part, ``by_class`` of the class in context
     over the words that begin with it, ``count`` the word's training occurrences."""
@@ -488,9 +515,11 @@ def score(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     windows = stored(training.select("doc_id", "text").mapInArrow(
         _training_windows(path, pattern, vocabulary.of, vocabulary.end), "window binary"))
     model, bigram = fit_model(windows, vocabulary.size)
+    fitted = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Subwords(path, pattern), vocabulary, model, bigram, hot, tokens, distinct, docs)
+        scorer = held_scorer(fitted, lambda: Scorer(
+            subwords_of(path, pattern), vocabulary, model, bigram, hot, tokens, distinct, docs))
         for batch in batches:
             low = 0
             while low < batch.num_rows:
