@@ -10,6 +10,7 @@ join. A block, its populations and its islands are rows of bounded size; nothing
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
@@ -77,6 +78,12 @@ class WordIds:
         return b"".join(map(self.memo.__getitem__, words))
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The encoder of a worker process: the next task there goes on with the words it knows."""
+    return WordIds(path)
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every row of ``documents``.
 
@@ -87,7 +94,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_path)
+        ids_of = word_ids(tokenizer_path)
         for batch in batches:
             rows, which = [], []
             for k, text in enumerate(batch.column(1)):
