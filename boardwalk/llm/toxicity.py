@@ -49,6 +49,9 @@ BEGINNINGS = range(3, 11)
 LEAST_TOXIC_SHARE = 0.002  # of the toxic training rows must hold an entry
 LEAST_TOXIC_ROWS = 3
 LEAST_EVIDENCE = 0.0  # beyond what the best of that many chance entries would show
+LEAST_OWN_ROWS, LEAST_OWN_SHARE = 2, 0.001  # toxic rows an entry must hold that no better one does
+LEAST_COMPANY = 8
+NEARLY_ALL = 0.95
 LEAST_RATIO = 20.0  # how much more often toxic rows hold an entry than others do
 
 
@@ -99,8 +102,8 @@ def lexicon(training: DataFrame) -> dict[str, float]:
     """Entries and weights from ``(text, label)`` rows.
 
     An entry is in enough toxic rows, and ``LEAST_RATIO`` times as often there as elsewhere. Of
-    nested beginnings the shortest such one stands for all, made longer as long as that loses no
-    row. The support bounds the number of entries, so the lexicon may pass the driver.
+    nested beginnings the shortest such one stands for all, made longer as long as that loses hardly
+    a row. The support bounds the number of entries, so the lexicon may pass the driver.
     """
     sizes = {r["label"]: r["n"] for r in training.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -122,7 +125,49 @@ def lexicon(training: DataFrame) -> dict[str, float]:
         ratio = (n + 0.5) / (toxic + 1) / ((good.get(entry, 0) + 0.5) / (clean + 1))
         if ratio >= LEAST_RATIO:
             weights[entry] = float(np.log(ratio))
-    return _closed(weights, bad)
+    return _needed(training, _closed(weights, bad), toxic)
+
+
+def _needed(training: DataFrame, weights: dict[str, float], toxic: int) -> dict[str, float]:
+    """The entries that explain toxic rows no better entry explains.
+
+    Copies of one toxic text make all of its words look toxic. So entries are taken by the number of
+    toxic rows they hold that no taken entry holds, as long as there are some; then those that occur
+    beside ``LEAST_COMPANY`` different sets of taken entries, which copies do not. The rows are those
+    of the bounded sample, each with the entries found in it.
+    """
+    if not weights:
+        return {}
+    names = sorted(weights)
+    place = {name: k for k, name in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for name, k in place.items():
+            machine.add_word(name, k)
+        machine.make_automaton()
+        for batch in batches:
+            found = [sorted({k for _, k in machine.iter(fold(text or ""))})
+                     for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if label == 1]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["entries"])
+
+    open_rows = [frozenset(r["entries"]) for r in training.mapInArrow(run, "entries array<int>").collect()]
+    least = max(LEAST_OWN_ROWS, LEAST_OWN_SHARE * toxic)
+    every_row, taken = open_rows, set()
+    while open_rows:
+        counts = Counter(k for row in open_rows for k in row)
+        # ties go to the heavier entry, then to the first in order
+        best = max(counts, key=lambda k: (counts[k], weights[names[k]], -k), default=None)
+        if best is None or counts[best] < least:
+            break
+        taken.add(best)
+        open_rows = [row for row in open_rows if best not in row]
+    company: dict[int, set] = {}
+    for row in every_row:
+        for k in row - taken:
+            company.setdefault(k, set()).add(row & taken)
+    taken |= {k for k, sets in company.items() if len(sets) >= LEAST_COMPANY}
+    return {names[k]: weights[names[k]] for k in sorted(taken)}
 
 
 def _evidence(bad: int, good: int, toxic: int, clean: int) -> float:
@@ -135,7 +180,7 @@ def _evidence(bad: int, good: int, toxic: int, clean: int) -> float:
 
 
 def _closed(weights: dict[str, float], rows: dict[str, int]) -> dict[str, float]:
-    """The outermost entries, each replaced by the longest one found in as many rows."""
+    """The outermost entries, each replaced by the longest one found in nearly as many rows."""
     kept: dict[str, float] = {}
     below: dict[str, list[str]] = {}
     for entry in sorted(weights):
@@ -147,7 +192,7 @@ def _closed(weights: dict[str, float], rows: dict[str, int]) -> dict[str, float]
     for root, inner in below.items():
         best = root
         for entry in inner:
-            if rows[entry] >= rows[root] and len(entry) > len(best):
+            if rows[entry] >= NEARLY_ALL * rows[root] and len(entry) > len(best):
                 best = entry
         kept[best] = weights[best]
     return kept
