@@ -9,16 +9,26 @@ Two texts link if a banded alignment of their shingles, at most (n + m) / 9 off
 s = matched / (n + m - matched) >= 0.8. No such pair needs a wider band.
 
 Equal texts are one class before anything is compared. In a bucket of up to ``SMALL`` texts all
-pairs are verified. A larger bucket is not expanded into pairs: all its members are verified against
-one leader. If A links with B and B not with the leader, then A and B share a difference from the
-leader: some shingle that both have and it has not, or the reverse, and even one of each side's
-``0.25 n + 1`` first differences in hash order. So the members are dealt again by (leader,
-difference), only where a member without a link is among them, until no bucket is large. That
-finds every link among the members of a bucket without a cap and without all pairs.
+pairs are verified. A larger bucket is not expanded into pairs. First all its members are
+verified against one leader, the member that meets most others in buckets. What is left is found
+exactly, and only between classes that are still apart:
+
+* The members of such buckets are dealt by their rarest shingles. Texts that link share one of the
+  ``n / 5 + 1`` first of each in any common order of shingles; with the rarest first, most have no
+  partner there. (Rarity comes from counts in a table of fixed size, which can only cost work.)
+* Where still too many texts outside the largest class of a bucket meet, they get a leader
+  again, and are dealt by (leader, difference). Let D be the shingles that only one of two texts has;
+  a link has D <= (|A| + |B|) / 9. If A links with B, and B not with the leader L, then A and B share
+  a shingle that L lacks, unless A is shorter than L and B only just beyond L's reach; then they lack
+  one of L's in common. Either is among the first ``n / 4 + 1`` of its kind in hash order, on both
+  sides (as many would have to be shared otherwise).
+
+Every link between members of a bucket is then within a class, without a cap and without all pairs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +38,17 @@ from pyspark.sql import functions as F
 
 from boardwalk.llm.common import Texts, as_long, list_of_long, mix, text_parts, windows
 from boardwalk.llm.components import components
-from boardwalk.session import stored
+from boardwalk.session import shared_folder, stored
 
 SHINGLE = 5
-SKETCHES = 24
-SAMPLED = 4
+SKETCHES = 40
+SAMPLED = 6
 SIMILARITY = 0.8
-SMALL = 16
+SMALL = 8
+LATER = 3
+BROADCAST_IDS = 1_000_000  # ids of candidates, 8 bytes each; more of them are joined by a shuffle
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS  # shingle counts, at most one row each to the driver
 
 _FACTORS = np.random.default_rng(7).integers(0, 2**64, SKETCHES, dtype=np.uint64) | np.uint64(1)
 _REORDERED = 0  # the difference that stands for "same shingles as the leader in another order"
@@ -140,88 +154,212 @@ def matched(x: np.ndarray, y: np.ndarray) -> int:
     return front + back + size - row.bit_count()
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> tuple[bool, np.ndarray]:
-    """Whether two shingle sequences link, and the shingles that only one of them holds."""
-    apart = np.setxor1d(x, y, assume_unique=True)
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two shingle sequences link."""
     total = len(x) + len(y)
-    if 9 * len(apart) > total:
-        return False, apart
-    found = matched(x, y)
-    return 9 * found >= 4 * total, apart
+    if 10 * min(len(x), len(y)) < 8 * max(len(x), len(y)):
+        return False
+    if 9 * len(np.setxor1d(x, y, assume_unique=True)) > total:
+        return False
+    return 9 * matched(x, y) >= 4 * total
+
+
+def differences(leader: np.ndarray, own: np.ndarray, link: bool, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a member of a large bucket is dealt by: shingles the leader lacks, and shingles of the
+    leader it lacks, where that matters. ``shortest``: shingles of the bucket's shortest member."""
+    added = np.setdiff1d(own, leader, assume_unique=True)
+    missing = np.setdiff1d(leader, own, assume_unique=True)
+    apart = len(added) + len(missing)
+    beyond = 9 * apart - len(leader) - len(own)
+    close = not link and beyond <= 8 * (len(leader) - max(shortest, 0.8 * len(own)))
+    # same shingles in another order: no difference to share
+    moved = [np.uint64(_REORDERED)] if 4 * apart <= len(own) else []
+    if len(own) >= len(leader) and not close:
+        missing = missing[:0]
+    return np.append(_first(added, len(own)), moved).astype(np.uint64), _first(missing, len(own))
+
+
+def _first(values: np.ndarray, own: int) -> np.ndarray:
+    size = own // 4 + 1
+    return values[np.argpartition(mix(values), size - 1)[:size]] if size < len(values) else values
 
 
-def _first_differences(own: int, apart: np.ndarray) -> np.ndarray:
-    """What a member of a large bucket is dealt by; see the module's text."""
-    size = own // 4 + 1
-    ranked = mix(apart)
-    if size < len(apart):
-        apart = apart[np.argpartition(ranked, size - 1)[:size]]
-    if 4 * len(ranked) <= own:
-        apart = np.append(apart, np.uint64(_REORDERED))
-    return apart
+
+_CHECKED = "a long, b long, large boolean, n long, short boolean, linked boolean, added array<long>, missing array<long>"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``a, b, large, text_a, text_b`` to ``a, b, large, linked, differences``."""
+    """``a, b, large, shortest, text_a, text_b`` to the columns of ``_CHECKED``."""
     for batch in batches:
-        for start, stop, texts in text_parts(batch.column(3)):
+        for start, stop, texts in text_parts(batch.column(4)):
             rows = stop - start
             left = shingles(texts)
-            right = [s for _, _, t in text_parts(batch.column(4).slice(start, rows)) for s in shingles(t)]
-            large = batch.column(2).slice(start, rows)
-            links, parts = np.zeros(rows, bool), []
-            for k, (x, y, deal) in enumerate(zip(left, right, large.to_pylist())):
-                links[k], apart = linked(x, y)
-                parts.append(_first_differences(len(y), apart) if deal else apart[:0])
-            bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            right = [s for _, _, t in text_parts(batch.column(5).slice(start, rows)) for s in shingles(t)]
+            part = batch.slice(start, rows)
+            links, added, missing = np.zeros(rows, bool), [], []
+            for k, (x, y, large, shortest) in enumerate(
+                    zip(left, right, part.column(2).to_pylist(), part.column(3).to_pylist())):
+                links[k] = linked(x, y)
+                more, less = differences(x, y, links[k], shortest) if large else (y[:0], y[:0])
+                added.append(more)
+                missing.append(less)
+            bounds = [np.concatenate([[0], np.cumsum([len(p) for p in parts])]) for parts in (added, missing)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, rows), batch.column(1).slice(start, rows), large,
-                 pa.array(links), list_of_long(np.concatenate(parts), bounds)],
-                ["a", "b", "large", "linked", "differences"])
+                [part.column(0), part.column(1), part.column(2), pa.array([len(y) for y in right], pa.int64()),
+                 pa.array([len(y) < len(x) for x, y in zip(left, right)], pa.bool_()), pa.array(links),
+                 list_of_long(np.concatenate(added), bounds[0]), list_of_long(np.concatenate(missing), bounds[1])],
+                ["a", "b", "large", "n", "short", "linked", "added", "missing"])
 
 
 def _candidates(buckets: DataFrame, small: int) -> DataFrame:
-    """``(a, b, large)``: all pairs of small buckets, (leader, member) of large ones; a < b."""
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).filter("size > 1")
-    rows = buckets.join(sizes, "key")
-    leaders = rows.filter((F.col("size") > small) & (F.col("id") > F.col("leader"))).select(
-        F.col("leader").alias("a"), F.col("id").alias("b"), F.lit(True).alias("large"))
-    members = rows.filter(F.col("size") <= small).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    pairs = (members.select("ids", F.posexplode("ids").alias("k", "a"))
-             .select("a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("b"), F.lit(False).alias("large"))
-             )
-    return leaders.unionByName(pairs).groupBy("a", "b").agg(F.max("large").alias("large"))
-
-
-def _links(reps: DataFrame, texts_of: DataFrame, small: int) -> DataFrame:
-    """``(a, b)`` links among representatives (``id, sketch``)."""
-    buckets = reps.select("id", F.explode("sketch").alias("key"))
-    found, texts, seen = [], None, None
+    """``a, b, large, shortest`` from ``key, id, n, root``: pairs of different classes where few members
+    are outside the bucket's largest class (``a < b``), else leader and member (large)."""
+    # one shuffle serves the counts of classes, the sizes and the join with them
+    buckets = buckets.repartition("key")
+    parts = buckets.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    rank = F.least(F.col("c"), F.lit(1 << 40)) * F.lit(1 << 20) + F.pmod(F.xxhash64("root"), F.lit(1 << 20))
+    sizes = parts.groupBy("key").agg(
+        F.sum("c").alias("size"), F.max("c").alias("largest"), F.max_by("root", rank).alias("main"), F.min("n").alias("shortest"))
+    rows = stored(buckets.join(sizes.filter("size > largest"), "key").withColumn("open", F.col("root") != F.col("main")))
+    few = rows.filter(F.col("size") - F.col("largest") <= small)
+    asking = few.filter("open").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
+    direct = (few.join(asking, "key")
+              # a link needs sizes within the similarity of each other; of two open members one asks
+              .filter("root <> x_root AND 10 * least(n, x_n) >= 8 * greatest(n, x_n) AND (NOT open OR x < id)")
+              .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), F.lit(False).alias("large"),
+                      F.lit(0).cast("long").alias("shortest")).distinct())
+    many = rows.filter(F.col("size") - F.col("largest") > small)
+    met = many.groupBy("id").agg(F.sum("size").alias("met"))
+    # ties by a hash, so that the leader does not depend on the order of rows
+    rank = F.least(F.col("met"), F.lit(1 << 40)) * F.lit(1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    leaders = many.select("key", "id").join(met, "id").groupBy("key").agg(F.max_by("id", rank).alias("leader"))
+    stars = many.join(leaders, "key").filter("id <> leader").groupBy(
+        F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.lit(True).alias("large"), F.min("shortest").alias("shortest"))
+    return direct.unionByName(stars.select("a", "b", "large", "shortest"))
+
+
+def _roots(reps: DataFrame, texts_of: DataFrame, small: int) -> DataFrame:
+    """``(id, root)`` of the representatives (``id, n, sketch``) that link with any other.
+
+    What a round checked is one more folder of one table, and classes are merged by their roots, so
+    neither plans nor work grow with the number of rounds.
+    """
+    spark = reps.sparkSession
+    buckets = reps.select("id", "n", F.explode("sketch").alias("key"), F.col("id").alias("root"))
+    texts = roots = checked = None
+    folders: list[str] = []
     while True:
-        pairs = _candidates(buckets, small)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        # later buckets are precise enough for more pairs a member; with the limit twice as high every
+        # round, the number of rounds grows with the logarithm of what is left
+        pairs = _candidates(buckets, small if checked is None else LATER * small << len(folders) - 1)
+        if checked is not None:
+            # leaders of the first round count as new: its members have been dealt by rarity instead
+            known = checked.filter("NOT large OR round > 0").select("a", "b", "large")
+            pairs = pairs.join(known, ["a", "b", "large"], "left_anti")
         pairs = stored(pairs)
         if pairs.isEmpty():
-            break
+            return roots if roots is not None else reps.select("id", F.col("id").alias("root")).limit(0)
         if texts is None:
             # later rounds only meet documents of the first one's buckets
-            ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            texts = stored(texts_of.join(ids, "id", "left_semi"))
+            ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+            near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+            texts = stored(texts_of.join(near, "id", "left_semi"))
         a, b = (texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-        rows = pairs.join(b, "b").join(a, "a").select("a", "b", "large", "text_a", "text_b")
-        checked = stored(rows.mapInArrow(
-            _verify, "a long, b long, large boolean, linked boolean, differences array<long>"))
-        found.append(checked.filter("linked").select("a", "b"))
-        seen = checked.select("a", "b") if seen is None else seen.union(checked.select("a", "b"))
-        dealt = (checked.filter("large").select("a", "b", "linked", F.explode("differences").alias("one"))
-                 .select(F.col("b").alias("id"), "linked", F.xxhash64("a", "one").alias("key")))
-        open_keys = dealt.filter(~F.col("linked")).select("key").distinct()
-        buckets = dealt.select("key", "id").distinct().join(open_keys, "key", "left_semi")
-    links = found[0] if found else reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for more in found[1:]:
-        links = links.union(more)
-    return links
+        rows = pairs.join(b, "b").join(a, "a").select("a", "b", "large", "shortest", "text_a", "text_b")
+        number = len(folders)
+        folders.append(f"{shared_folder(spark)}/near-dup-{uuid.uuid4().hex}")
+        rows.mapInArrow(_verify, _CHECKED).withColumn("round", F.lit(number)).write.parquet(folders[-1])
+        checked = spark.read.schema(f"{_CHECKED}, round int").parquet(*folders)
+        roots = _merged(roots, spark.read.parquet(folders[-1]).filter("linked").select("a", "b"))
+        placed = _placed(checked.filter("large"), roots)
+        buckets = stored(_by_rarity(placed, texts, roots) if number == 0 else
+                         _by_difference(placed.filter("round > 0"), number))
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Classes with some more links."""
+    if roots is None:
+        return components(links)
+    of = {s: roots.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
+    ends = stored(links.join(of["a"], "a", "left").join(of["b"], "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct())
+    if ends.isEmpty():
+        return roots
+    higher = components(ends)
+    up = higher.select(F.col("id").alias("root"), F.col("root").alias("upper"))
+    moved = roots.join(up, "root", "left").select("id", F.coalesce("upper", "root").alias("root"))
+    return stored(moved.unionByName(higher.join(roots, "id", "left_anti")))
+
+
+def _placed(checked: DataFrame, roots: DataFrame) -> DataFrame:
+    """Leaders and members with their classes so far. ``open``: not of the leader's class."""
+    of = {s: roots.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
+    return checked.join(of["a"], "a", "left").join(of["b"], "b", "left").select(
+        "a", F.col("b").alias("id"), "n", "short", "round", "added", "missing",
+        F.coalesce("root_b", "b").alias("root"), (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("open"))
+
+
+def _by_rarity(placed: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Buckets of the rarest shingles of all that share a leader with an open member."""
+    leaders = placed.filter("open").select("a").distinct()
+    ids = placed.join(leaders, "a", "left_semi").select("id").union(leaders.select("a")).distinct()
+    own = texts.join(ids, "id", "left_semi").select("id", "text")
+    found = (own.mapInArrow(_count_shingles, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas())
+    counts = np.zeros(SLOTS, np.uint8)
+    counts[found.slot.to_numpy()] = np.minimum(found.c.to_numpy(), 255)
+    rows = own.mapInArrow(_rarest(counts), "id long, n long, key long")
+    crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    return (rows.join(crowd, "key", "left_semi").join(roots, "id", "left")
+            .select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (mix(values) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, np.int32)
+    for batch in batches:
+        for _, _, texts in text_parts(batch.column(1)):
+            for own in shingles(texts):
+                counts[_slot(own)] += 1  # a text counts once for a slot
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(seen.astype(np.int32)), pa.array(counts[seen].astype(np.int64))], ["slot", "c"])
+
+
+def _rarest(counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop, texts in text_parts(batch.column(1)):
+                which, sizes, keys = [], [], []
+                for k, own in enumerate(shingles(texts)):
+                    often = counts[_slot(own)]
+                    first = np.lexsort((own, often))[:len(own) // 5 + 1]
+                    first = first[often[first] > 1]  # once: no other text holds it
+                    which += [start + k] * len(first)
+                    sizes += [len(own)] * len(first)
+                    keys.append(own[first])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(which, pa.int64())), pa.array(sizes, pa.int64()),
+                     as_long(np.concatenate(keys))], ["id", "n", "key"])
+
+    return run
+
+
+def _by_difference(placed: DataFrame, number: int) -> DataFrame:
+    """Members by (leader, difference), where a link between classes may still be missing and a
+    member is new this round."""
+    def by(kind: str) -> DataFrame:
+        return (placed.select("a", "id", "n", "short", "root", "open", "round", F.explode(kind).alias("one"))
+                .select(F.xxhash64(F.lit(kind), "a", "one").alias("key"), "id", "n", "root", "open", "round",
+                        (F.lit(kind == "added") | F.col("short")).alias("fit")))
+
+    rows = by("added").unionByName(by("missing"))
+    keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("open").alias("any_open"),
+                                   F.max("fit").alias("fit"), F.max("round").alias("last"))
+    keys = keys.filter(F.expr("low <> high AND any_open AND fit") & (F.col("last") == number)).select("key")
+    return rows.select("key", "id", "n", "root").join(keys, "key", "left_semi").distinct()
 
 
 def classes(documents: DataFrame, small: int = SMALL) -> DataFrame:
@@ -238,10 +376,9 @@ def classes(documents: DataFrame, small: int = SMALL) -> DataFrame:
         _sketches, "doc_id long, key_a long, key_b long, n long, sketch array<long>"))
     key = ["key_a", "key_b"]
     reps = stored(rows.filter("n > 0").groupBy(*key).agg(
-        F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
-    links = _links(reps, known.select(F.col("doc_id").alias("id"), "text"), small)
+        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    roots = _roots(reps, known.select(F.col("doc_id").alias("id"), "text"), small)
     same = rows.filter("n > 0").join(reps.select(*key, "id"), key).select("doc_id", "id").distinct()
-    roots = components(links)
     own = (same.join(roots, "id", "left").groupBy("doc_id")
            .agg(F.min(F.coalesce("root", "id")).alias("class_id")))
     result = rows.select("doc_id").join(own, "doc_id", "left").select(
