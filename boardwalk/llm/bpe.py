@@ -22,7 +22,7 @@ from boardwalk.llm.common import narrow
 
 _PLACE = 40  # bits of a key that hold the place
 _NONE = 1 << 120
-CACHED = 1_000_000  # entries a task remembers, about 200 bytes each
+CACHED = 500_000  # entries a task remembers, about 200 bytes each
 
 
 @functools.lru_cache(maxsize=4)
@@ -127,12 +127,6 @@ class Codec:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=1)
-def codec_of(path: str, pattern: str) -> Codec:
-    """The codec of a worker process: the next task there goes on with the pieces it knows."""
-    return Codec(path, pattern)
-
-
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` with ``ids`` (binary, little-endian unsigned 32-bit); null texts count as empty."""
     return _mapped(documents, path, pattern, "ids binary", lambda codec, ids: [ids])
@@ -163,7 +157,7 @@ def _mapped(documents: DataFrame, path: str, pattern: str, fields: str, row) ->
     kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path, pattern)
+        codec = Codec(path, pattern)
         for batch in batches:
             rows = [row(codec, codec.encode(t.as_py() or "")) for t in batch.column(1)]
             made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]

@@ -21,7 +21,6 @@ counts in a join. Tables of the model are bounded by the vocabulary of the token
 from __future__ import annotations
 
 import functools
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -419,7 +418,7 @@ class Scorer:
             head = [count & 0xFFFF, count >> 16 & 0xFFFF, count >> 32]
             return np.array(head + subwords(word), "<u2").tobytes()
 
-        self.memo = Memo(value, CACHED // 2)
+        self.memo = Memo(value, CACHED)
         self.end_value = np.array([train_docs & 0xFFFF, train_docs >> 16 & 0xFFFF, train_docs >> 32, subwords.end],
                                   "<u2").tobytes()
 
@@ -464,18 +463,6 @@ class Scorer:
                 "rare_words": rare_words, "rare_at": np.searchsorted(place, text_at), "rare_own": own[place], "rare_class": by_class[place]}
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def held_scorer(fitted: str, make) -> Scorer:
-    """The scorer of a worker process, one at a time: the next task there goes on with the words it
-    knows. A function of the module, so that workers share its table and not a copy."""
-    if fitted not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[fitted] = make()
-    return _SCORERS[fitted]
-
-
 def mix(own: np.ndarray, by_class: np.ndarray, count: np.ndarray, below: float) -> np.ndarray:
     """log10 of the mixture: ``own`` is log10 of the model's part, ``by_class`` of the class in context
     over the words that begin with it, ``count`` the word's training occurrences."""
@@ -515,11 +502,9 @@ def score(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     windows = stored(training.select("doc_id", "text").mapInArrow(
         _training_windows(path, pattern, vocabulary.of, vocabulary.end), "window binary"))
     model, bigram = fit_model(windows, vocabulary.size)
-    fitted = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held_scorer(fitted, lambda: Scorer(
-            subwords_of(path, pattern), vocabulary, model, bigram, hot, tokens, distinct, docs))
+        scorer = Scorer(subwords_of(path, pattern), vocabulary, model, bigram, hot, tokens, distinct, docs)
         for batch in batches:
             low = 0
             while low < batch.num_rows:
