@@ -22,7 +22,7 @@ from boardwalk.llm.common import narrow
 
 _PLACE = 40  # bits of a key that hold the place
 _NONE = 1 << 120
-CACHED = 500_000  # entries a task remembers, about 200 bytes each
+CACHED = 300_000  # entries a task remembers, about 200 bytes each
 
 
 @functools.lru_cache(maxsize=4)
