@@ -1,14 +1,14 @@
 """Line dedup by content-defined chunks of lines.
 
-Lines are hashed; a rolling hash over the last one or two line hashes decides where a chunk ends, so
-the cuts inside a passage are the same wherever it stands. Three chunkings with different mean
-lengths are laid over each text: single long lines, chunks of about two lines and of about eight.
-Chunks with at least ``MIN_WORDS`` words count.
+A chunk is the shortest run of lines that begins at a line, or that ends at a line, and has at least
+``MIN_WORDS`` words. Nothing but its own lines decides what it is, so a passage has the same chunks
+wherever it stands, and its chunks cover all its lines if it has ``MIN_WORDS`` words: a line has a
+chunk that begins there, or else stands in the one that ends with the passage. Blank lines in a row
+count as one place to begin or end at, so chunks stay few; where a passage ends among blank lines,
+those may stay.
 
 A chunk found in more than one document is compared, byte by byte, with its first occurrence (in the
-order of doc_id and line), and removed from every other document. Lines next to it go as well as far
-as they equal the lines next to the first occurrence, so the ends of a passage, which share a chunk
-with what surrounds them, are not left over. The first occurrence always stays.
+order of doc_id and line), and removed from every other document. The first occurrence always stays.
 
 No text is shuffled to find repeats: chunk hashes are counted, the repeated ones set bits of a
 filter of fixed size, and a second pass emits the content of the chunks that pass the filter.
@@ -20,22 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.llm.common import _BASE, _INVERSE, Texts, _power, as_long, mix, text_parts, windows
+from boardwalk.llm.common import _BASE, _INVERSE, Texts, _power, as_long, mix, text_parts
 from boardwalk.session import stored
 
 MIN_WORDS = 20
-# (lines the rolling hash covers, a chunk ends at one of so many lines); 1 ends it at every line
-CHUNKINGS = ((1, 1), (1, 2), (2, 8))
-NEIGHBOURS = 8  # lines on either side that a chunk row carries
 FILTER_BITS = 1 << 26
 
 
 def chunks(texts: Texts) -> dict[str, np.ndarray]:
     """Chunks of all texts: number of the text, first line and number of lines there, hash, and the
-    places of their lines in the batch. A chunk that two chunkings agree on appears once."""
+    places of their lines in the batch. A run that is shortest from both ends appears once."""
     line_from, line_to, first = texts.lines()
     lines = texts.hashes(line_from, line_to)
     starts, _, _ = texts.words()
@@ -44,25 +41,25 @@ def chunks(texts: Texts) -> dict[str, np.ndarray]:
     hash_sum = np.zeros(len(lines) + 1, np.uint64)
     np.cumsum(lines * _power("up", _BASE, len(lines)), out=hash_sum[1:])
     inverse = _power("down", _INVERSE, len(lines) + 1)
-    last = np.zeros(len(lines), bool)
-    last[first[1:] - 1] = True
-    spans = []
-    for width, one_of in CHUNKINGS:
-        ends = last.copy()
-        if one_of == 1:
-            ends[:] = True
-        else:
-            rolled = windows(lines, width) >> np.uint64(20)
-            ends[width - 1:] |= rolled % np.uint64(one_of) == 0
-        stop = np.flatnonzero(ends) + 1
-        start = np.concatenate([[0], stop[:-1]])
-        spans.append(np.stack([start, stop], axis=1))
-    both = np.unique(np.concatenate(spans), axis=0)
-    start, stop = both[word_sum[both[:, 1]] - word_sum[both[:, 0]] >= MIN_WORDS].T
-    text = np.searchsorted(first, start, side="right") - 1
+    # first and last lines of texts and of blank lines in a row
+    opens, closes = words > 0, words > 0
+    opens[1:] |= words[:-1] > 0
+    closes[:-1] |= words[1:] > 0
+    opens[first[:-1]] = closes[first[1:] - 1] = True
+    text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    begin = np.flatnonzero(opens)
+    until = np.searchsorted(word_sum, word_sum[begin] + MIN_WORDS)
+    fits = until <= first[text_of[begin] + 1]
+    end = np.flatnonzero(closes) + 1
+    since = np.searchsorted(word_sum, word_sum[end] - MIN_WORDS, side="right") - 1
+    holds = since >= first[text_of[end - 1]]
+    width = len(lines) + 1
+    both = np.unique(np.concatenate([begin[fits] * width + until[fits], since[holds] * width + end[holds]]))
+    start, stop = both // width, both % width
+    text = text_of[start]
     value = mix((hash_sum[stop] - hash_sum[start]) * inverse[start] + (stop - start).astype(np.uint64))
     return {"text": text, "line": start - first[text], "n_lines": stop - start, "hash": value,
-            "start": start, "stop": stop, "lines": lines, "first": first, "line_from": line_from, "line_to": line_to}
+            "start": start, "stop": stop, "line_from": line_from, "line_to": line_to}
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +82,7 @@ def _filter_of(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-_FOUND = ("doc_id long, row_key long, line int, n_lines int, hash long, content binary, "
-          "before array<long>, after array<long>")
+_FOUND = "doc_id long, row_key long, line int, n_lines int, hash long, content binary"
 
 
 def _contents(bits: np.ndarray):
@@ -96,32 +92,18 @@ def _contents(bits: np.ndarray):
                 own = chunks(texts)
                 at = own["hash"].view(np.int64) % FILTER_BITS
                 hit = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
-                content, before, after = [], [], []
-                lines = own["lines"].view(np.int64)
-                for k in hit.tolist():
-                    a, b = own["start"][k], own["stop"][k]
-                    low, high = own["first"][own["text"][k]], own["first"][own["text"][k] + 1]
-                    content.append(texts.data[own["line_from"][a]:own["line_to"][b - 1]].tobytes())
-                    before.append(lines[max(low, a - NEIGHBOURS):a][::-1])
-                    after.append(lines[b:min(high, b + NEIGHBOURS)])
+                content = [texts.data[a:b].tobytes() for a, b in zip(
+                    own["line_from"][own["start"][hit]].tolist(), own["line_to"][own["stop"][hit] - 1].tolist())]
                 rows = pa.array(own["text"][hit] + begin)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(own["line"][hit].astype(np.int32)),
                      pa.array(own["n_lines"][hit].astype(np.int32)), as_long(own["hash"][hit]),
-                     pa.array(content, pa.binary()), pa.array(before, pa.list_(pa.int64())),
-                     pa.array(after, pa.list_(pa.int64()))],
-                    ["doc_id", "row_key", "line", "n_lines", "hash", "content", "before", "after"])
+                     pa.array(content, pa.binary())],
+                    ["doc_id", "row_key", "line", "n_lines", "hash", "content"])
 
     return run
 
 
-def _equal_run(a: Column, b: Column) -> Column:
-    """Length of the common beginning of two arrays."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    stop = F.array_position(same, False)
-    return F.when(stop == 0, F.size(same)).otherwise(stop.cast("int") - 1)
-
-
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """``(doc_id, row_key, spans)``: lines from ``first`` to before ``stop`` that repeat other
     documents, for each document that has any. ``row_key`` is the hash of its text."""
@@ -135,12 +117,10 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     found = stored(slim.mapInArrow(_contents(_filter_of(first)), _FOUND))
     # only hashes and places meet here; content is read again for what is compared
     keepers = (found.join(first, "hash").filter("doc_id = keeper AND line = keeper_line")
-               .groupBy("hash").agg(F.min(F.struct("doc_id", "row_key", "n_lines", "content", "before", "after")).alias("k")))
+               .groupBy("hash").agg(F.min(F.struct("doc_id", "row_key", "n_lines", "content")).alias("k")))
     others = (found.join(keepers, "hash").filter("doc_id <> k.doc_id")
               .filter("content = k.content AND n_lines = k.n_lines")
-              .select("doc_id", "row_key",
-                      (F.col("line") - _equal_run(F.col("before"), F.col("k.before"))).alias("first"),
-                      (F.col("line") + F.col("n_lines") + _equal_run(F.col("after"), F.col("k.after"))).alias("stop")))
+              .select("doc_id", "row_key", F.col("line").alias("first"), (F.col("line") + F.col("n_lines")).alias("stop")))
     return others.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
 
 

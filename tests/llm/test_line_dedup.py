@@ -51,3 +51,16 @@ def test_odd_rows(spark):
     assert texts["1"] is None and texts["2"] == "" and texts["3"] == " \n\t " and texts["5"] == "" and texts["4"]
     assert all(n == (None if t is None else len(t)) for _, t, n in rows)
     assert line_dedup.without_repeats(docs(spark, [])).collect() == []
+
+
+def test_repeated_passages_over_short_lines_go_whatever_their_words(spark):
+    shapes = [(n, w) for n in range(51, 71) for w in range(5, 20)]
+    rows, wanted = [], {}
+    for k, (n, w) in enumerate(shapes):
+        passage = prose(10 * k, n, vocabulary=4000, line=w)
+        for copy in range(2):
+            ends = [prose(10 * k + 2 * copy + e, 40, vocabulary=4000) for e in (1, 2)]
+            rows.append((2 * k + copy, "\n".join([ends[0], passage, ends[1]])))
+            wanted[2 * k + copy] = "\n".join(ends) if copy else rows[-1][1]
+    got = cut(spark, rows)
+    assert [i for i in wanted if got[i].text != wanted[i]] == []
