@@ -64,3 +64,18 @@ def test_repeated_passages_over_short_lines_go_whatever_their_words(spark):
             wanted[2 * k + copy] = "\n".join(ends) if copy else rows[-1][1]
     got = cut(spark, rows)
     assert [i for i in wanted if got[i].text != wanted[i]] == []
+
+
+def test_long_ends_of_passages_go_and_what_only_later_copies_share(spark):
+    # lines of one or two words: the nearest chunk can be many lines from the end of a passage
+    rows, wanted = [], {}
+    for k in range(40):
+        passage, tail = prose(100 * k, 60, vocabulary=4000, line=1 + k % 2), prose(100 * k + 1, 60, vocabulary=4000, line=1 + k % 2)
+        for copy in range(3):
+            own = [prose(100 * k + 10 * copy + e, 40, vocabulary=4000) for e in (2, 3)]
+            shared = [passage, tail] if copy else [passage]
+            name = 3 * k + copy
+            rows.append((name, "\n".join([own[0], *shared, own[1]])))
+            wanted[name] = "\n".join([[own[0], passage, own[1]], [own[0], tail, own[1]], own][copy])
+    got = cut(spark, rows)
+    assert [i for i in wanted if got[i].text != wanted[i]] == []
