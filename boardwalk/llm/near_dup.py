@@ -4,6 +4,9 @@ A document is the sequence of its five-word shingles (one shingle of all words i
 Equal shingles of a document are told apart by an occurrence label. Each of ``SKETCHES`` samples
 takes the ``SAMPLED`` labelled shingles with the smallest hashes and keeps them in text order; two
 documents with an equal sample are candidates. As order counts, collisions follow edit similarity.
+A text of at most ``SAMPLED`` shingles links only with texts that have one shingle more or less, else
+the same ones. Such pairs are found exactly: by the sequence of all shingles of the shorter, which
+is that of the longer with one left out.
 
 Two texts link if a banded alignment of their shingles, at most (n + m) / 9 off the diagonal, finds
 s = matched / (n + m - matched) >= 0.8. No such pair needs a wider band.
@@ -85,19 +88,37 @@ def _labelled(own: np.ndarray) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
-    """Hash of the ordered sample, for each of the sketches."""
-    size = min(SAMPLED, len(own))
-    chosen = np.empty((SKETCHES, size), np.int64)
+    """Hashes of the ordered samples; short texts have exact ones."""
+    if len(own) <= SAMPLED:
+        return _exact(own)
+    chosen = np.empty((SKETCHES, SAMPLED), np.int64)
     for k, factor in enumerate(_FACTORS):
         hashed = own * factor
         hashed ^= hashed >> np.uint64(29)
         hashed *= np.uint64(0xBF58476D1CE4E5B9)
-        chosen[k] = np.argpartition(hashed, size - 1)[:size] if size < len(own) else np.arange(size)
+        chosen[k] = np.argpartition(hashed, SAMPLED - 1)[:SAMPLED]
     chosen.sort(axis=1)
-    total = np.zeros(SKETCHES, np.uint64)
-    for k in range(size):
-        total = mix(total + own[chosen[:, k]])
-    return mix(total + np.arange(SKETCHES, dtype=np.uint64))
+    out = mix(_in_order(own[chosen]) + np.arange(SKETCHES, dtype=np.uint64))
+    return np.append(out, _exact(own)) if len(own) == SAMPLED + 1 else out
+
+
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row's values in order."""
+    total = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        total = mix(total + column)
+    return total
+
+
+def _exact(own: np.ndarray) -> np.ndarray:
+    """Hashes of all shingles (of at most ``SAMPLED``), and of all but each one, where a text of so
+    many could link. With two more than ``SAMPLED`` = 6 the similarity is 6 / 8 at best."""
+    size = len(own)
+    out = _in_order(own[None, :])[:size <= SAMPLED]
+    if 10 * (size - 1) >= 8 * size:
+        rest = np.array([[k for k in range(size) if k != left] for left in range(size)])
+        out = np.append(out, _in_order(own[rest]))
+    return mix(out + np.uint64(SKETCHES))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +127,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, first = texts.words()
             words = texts.hashes(starts, ends)
             keys = np.zeros((2, stop - start), np.uint64)
-            parts, sizes = [], np.zeros(stop - start, np.int64)
+            parts, sizes, keys_of = [], *np.zeros((2, stop - start), np.int64)
             for k, own in enumerate(shingles(texts)):
                 if len(own):
                     inner = words[first[k]:first[k + 1]]
@@ -114,9 +135,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys[0, k] = mix(inner + place * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
                     keys[1, k] = mix(inner * np.uint64(3) + place * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
                     parts.append(sketch(own))
-                    sizes[k] = len(own)
+                    sizes[k], keys_of[k] = len(own), len(parts[-1])
             flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            bounds = np.concatenate([[0], np.cumsum(np.where(sizes > 0, SKETCHES, 0))])
+            bounds = np.concatenate([[0], np.cumsum(keys_of)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(start, stop - start), as_long(keys[0]), as_long(keys[1]),
                  pa.array(sizes), list_of_long(flat, bounds)],

@@ -97,3 +97,21 @@ def test_keep_one_returns_its_columns(spark):
     kept = near_dup.keep_one(table)
     assert kept.columns == table.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["None", "None", "1", "2", "3", "4", "6", "8", "9"])
+
+
+def test_short_texts_link_as_by_brute_force(spark):
+    draw = random.Random(4)
+    texts = []
+    for k in range(40):
+        for size in (7, 8, 9, 10, 11):
+            words = [f"w{draw.randrange(10 ** 6)}" for _ in range(size)]
+            texts += [words, [*words, "behind"] if k % 2 else ["before", *words]]
+    # a crowd around one text, whose members link with nothing else
+    words = [f"c{j}" for j in range(8)]
+    texts += [words] + [[f"b{j}", *words] for j in range(30)] + [[*words, f"e{j}"] for j in range(30)]
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    sizes = [len(words) for words in texts]
+    truth = brute_classes(rows)
+    assert {(sizes[k], sizes[k - 1]) for k in range(1, 400, 2) if truth[k] == truth[k - 1]} == {(9, 8), (10, 9), (11, 10), (12, 11)}
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs(spark, rows)).collect()}
+    assert got == truth
