@@ -4,8 +4,9 @@ Words (lower-case A-Z) are counted over all training texts; the distinct ones ar
 subwords by a public tokenizer, each with its leading space, so a text is the ids of its words and an
 end id. Subwords fall into classes: frequent ones alone, others by k-means over what stands beside
 them. The model gives log P(class | ids before) by one layer of masked attention on top of a class
-bigram, and P(id | class) from counts. It is trained on every ``EVERY``-th run of words of all
-training texts, by rounds of local training in each task whose parameters are averaged.
+bigram, and P(id | class) from counts. The bigram is counted, and the attention trained, on windows
+that tile all ids of all training texts, the latter by rounds of local training in each task whose
+parameters are averaged; a window takes part in one round.
 
 A text is scored in windows of ``WINDOW`` ids that overlap, so each id is scored once with at least
 ``WINDOW - STRIDE`` ids before it, if there are as many. The probability of a word is a mixture of
@@ -21,7 +22,6 @@ counts in a join. Tables of the model are bounded by the vocabulary of the token
 from __future__ import annotations
 
 import functools
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +39,6 @@ WINDOW, STRIDE = 32, 26
 WIDTH = 16
 ALONE, GROUPS = 64, 32  # classes of single ids; groups of word starts, and as many of other ids
 FEATURES = 64
-EVERY, RUN_WORDS = 16, 14
 ROUNDS, BATCH, RATE = 3, 64, 0.01
 HOT = 1 << 18
 SHARES = (0.15, 0.65, 0.2)
@@ -277,26 +276,23 @@ def _unpack(flat: np.ndarray, like: dict) -> dict:
 
 
 def _training_windows(path: str, pattern: str, classes: np.ndarray, end: int):
-    """One window of classes for every ``EVERY``-th run of words of each text; -1 fills it up."""
+    """The windows of each text: classes of ``WINDOW`` ids in a row and of the id before them, until
+    all ids and the end id are in one; -1 fills up the last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = subwords_of(path, pattern)
-        memo = Memo(lambda word: subwords(word), CACHED // 5)
+        memo = Memo(lambda word: classes[subwords(word)].astype(np.int16).tobytes(), CACHED // 5)
+        last = np.int16(end).tobytes()
         for batch in batches:
             rows = []
-            for name, text in zip(batch.column(0), batch.column(1)):
-                words = words_of(text.as_py())
-                skip = zlib.crc32(str(name.as_py()).encode()) // 7 % EVERY * RUN_WORDS
-                for at in range(skip, len(words) + 1, RUN_WORDS * EVERY):
-                    ids = [i for w in words[at:at + RUN_WORDS] for i in memo[w]]
-                    if at + RUN_WORDS > len(words):
-                        ids.append(subwords.end)
-                    row = np.full(WINDOW + 1, -1, np.int16)
-                    known = classes[np.array(ids[:WINDOW], np.int64)]
-                    # what stands before the run is the last class of the word before it
-                    row[0] = classes[memo[words[at - 1]][-1]] if at else end
-                    row[1:len(known) + 1] = known
-                    rows.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["window"])
+            for text in batch.column(0):
+                known = np.frombuffer(b"".join([*map(memo.__getitem__, words_of(text.as_py())), last]), np.int16)
+                own = np.full((-(-len(known) // WINDOW), WINDOW + 1), -1, np.int16)
+                inner = np.full(len(own) * WINDOW, -1, np.int16)
+                inner[:len(known)] = known
+                own[:, 1:] = inner.reshape(-1, WINDOW)
+                own[0, 0], own[1:, 0] = end, own[:-1, -1]
+                rows.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["windows"])
 
     return run
 
@@ -499,8 +495,8 @@ def score(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     kinds[subwords.end] = docs > 0
     vocabulary = Vocabulary(single, near, subwords.starts, subwords.end, opening, kinds)
 
-    windows = stored(training.select("doc_id", "text").mapInArrow(
-        _training_windows(path, pattern, vocabulary.of, vocabulary.end), "window binary"))
+    windows = stored(training.select("text").mapInArrow(
+        _training_windows(path, pattern, vocabulary.of, vocabulary.end), "windows binary"))
     model, bigram = fit_model(windows, vocabulary.size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

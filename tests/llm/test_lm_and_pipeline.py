@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from data import docs, edited, odd_rows, prose
 
 import corpus_pipeline
@@ -90,6 +91,30 @@ def test_attention_is_causal_and_each_id_is_scored_once():
     assert np.allclose(alone, first[33:90], atol=1e-5)
 
 
+def test_windows_hold_every_id_of_every_training_text(spark, monkeypatch):
+    seen = []
+    fit = lm_score.fit_model
+    monkeypatch.setattr(lm_score, "fit_model", lambda windows, size: seen.append((windows, size)) or fit(windows, size))
+    made = []
+    vocabulary = lm_score.Vocabulary
+    monkeypatch.setattr(lm_score, "Vocabulary", lambda *args: made.append(vocabulary(*args)) or made[-1])
+    rows = odd_rows() + [(100 + k, prose(k, 1 + 7 * k, vocabulary=4000)) for k in range(40)]
+    lm_score.score(docs(spark, rows), RANKS, PATTERN)
+    (windows, size), of = seen[0], made[0].of
+    subwords = lm_score.Subwords(RANKS, PATTERN)
+    expected, pairs = collections.Counter(), collections.Counter()
+    for name, text in rows:
+        if name is None or zlib.crc32(str(name).encode()) % 7 != 2:
+            ids = [i for w in lm_score.words_of(text) for i in subwords(w)] + [subwords.end]
+            known = of[ids].tolist()
+            expected.update(known)
+            pairs.update(zip([made[0].end, *known], known))
+    got = np.concatenate([lm_score._as_windows(pa.array([r[0]], pa.binary())) for r in windows.collect()])
+    assert collections.Counter(got[:, 1:][got[:, 1:] >= 0].tolist()) == expected
+    counted = windows.mapInArrow(lm_score._pairs(size), "pair long, n long").groupBy("pair").sum("n").collect()
+    assert {divmod(r[0], size): r[1] for r in counted} == dict(pairs)
+
+
 def write(spark, folder, rows, known):
     docs(spark, rows).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
