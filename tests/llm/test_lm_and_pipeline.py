@@ -91,6 +91,19 @@ def test_attention_is_causal_and_each_id_is_scored_once():
     assert np.allclose(alone, first[33:90], atol=1e-5)
 
 
+def test_every_id_depends_on_the_eight_before_it():
+    model, bigram, draw = small_model()
+    vocabulary = type("V", (), {"end": 0, "starts": np.arange(12) < 6})()
+    classes = draw.integers(0, 12, 200)
+    bounds = np.array([0, 200])
+    first, _ = lm_score.score_ids(classes, bounds, model, bigram, vocabulary)
+    for place in range(8, 200):
+        changed = classes.copy()
+        changed[place - 8] = (changed[place - 8] + 1 + draw.integers(0, 11)) % 12
+        again, _ = lm_score.score_ids(changed, bounds, model, bigram, vocabulary)
+        assert again[place] != first[place]
+
+
 def test_windows_hold_every_id_of_every_training_text(spark, monkeypatch):
     seen = []
     fit = lm_score.fit_model
