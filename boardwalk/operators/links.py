@@ -14,6 +14,7 @@ from boardwalk.functions.fixed import (
 )
 from boardwalk.functions.nodes import attr
 from boardwalk.functions.text import contains_any, hits_any
+from boardwalk.operators.substrings import flag_literals
 
 
 def page_links(shredded: DataFrame, *keys: str) -> DataFrame:
@@ -80,10 +81,15 @@ def job_links(links: DataFrame, patterns: list[str] = JOB_URL_PATTERNS) -> DataF
 
 
 def exclude_links(
-    links: DataFrame, patterns: list[str] | str = FRAME_EXCLUDED_URLS, column: str = "url"
+    links: DataFrame, patterns: list[str] | str | DataFrame = FRAME_EXCLUDED_URLS, column: str = "url"
 ) -> DataFrame:
     """U8: without URLs containing a pattern, literally and case-sensitively. ``patterns`` is a
-    list, or the name of an array column with the patterns of each row's board."""
+    list, or the name of an array column with the patterns of each row's board, or, for lists of any
+    length, a table of them (``pattern``, with ``board_id`` where they hold for one board)."""
+    if isinstance(patterns, DataFrame):
+        by = ["board_id"] if "board_id" in patterns.columns else []
+        flagged = flag_literals(links, F.col(column), patterns, by=by, name="_blocked")
+        return flagged.filter(~F.col("_blocked")).drop("_blocked")
     if isinstance(patterns, str):
         blocked = url_blocked(F.col(column), F.col(patterns))
     else:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from boardwalk.functions.binding import let, pinned
 from boardwalk.functions.text import anchor_token, hits_any, mark_edges, mark_keyword, word_tokens
-from boardwalk.operators.boards import keyword_array
+from boardwalk.operators.boards import board_keywords, keyword_array
 from boardwalk.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
+from boardwalk.operators.substrings import literal_hits
 
 # up to this many keywords of a board are tried one by one; above it, words are looked up
 SCAN_KEYWORDS = 64
@@ -57,8 +58,42 @@ def location_dropped(text: Column, filters: Column) -> Column:
     return F.when(filters.isNull(), F.lit(False)).otherwise(let(F.lower(text), judge))
 
 
-def flag_location(postings: DataFrame, boards: DataFrame, *, small: bool | None = None) -> DataFrame:
-    """Add ``dropped``: the board's location filter rejects the posting."""
+def location_patterns(boards: DataFrame) -> DataFrame:
+    """(board_id, excludes, pattern) of all location filters, lower-cased, empty ones left out."""
+    lists = F.col("location_filters")
+    rows = F.concat(*[
+        F.coalesce(F.transform(lists[side], lambda p: F.struct(F.lit(side == "exclude").alias("excludes"), F.lower(p).alias("pattern"))),
+                   F.array().cast("array<struct<excludes:boolean,pattern:string>>"))
+        for side in ("include", "exclude")])
+    return boards.select("board_id", F.explode(rows).alias("r")).select("board_id", "r.*").filter(F.col("pattern") != "")
+
+
+def _location_by_index(postings: DataFrame, boards: DataFrame, text: Column, small: bool | None) -> DataFrame:
+    """``dropped`` from an index of all boards' patterns. Only digests of texts come back to the
+    postings, so these move at most once."""
+    patterns = location_patterns(boards).groupBy("board_id", "pattern").agg(
+        F.bool_or("excludes").alias("excludes"), F.bool_or(~F.col("excludes")).alias("includes"))
+    keyed = postings.withColumn("_key", F.unhex(F.sha2(text.cast("binary"), 256)))
+    hits = literal_hits(keyed, F.lower(text), patterns, keys=["_key"], by=["board_id"], small=small).groupBy(
+        "board_id", "_key").agg(F.bool_or("includes").alias("_in"), F.bool_or("excludes").alias("_out"))
+    asked = boards.filter(F.size("location_filters.include") > 0).select("board_id", F.lit(True).alias("_asked"))
+    rows = lookup_join(keyed, asked, ["board_id"], "left", spread_by=["_key"], small=small).join(hits, ["board_id", "_key"], "left")
+    no = F.lit(False)
+    missed = F.coalesce("_asked", no) & ~F.coalesce("_in", no)
+    return rows.withColumn("dropped", missed | F.coalesce("_out", no)).select(*postings.columns, "dropped")
+
+
+def flag_location(
+    postings: DataFrame, boards: DataFrame, *, small: bool | None = None, strategy: str = "scan",
+    text: Column | None = None,
+) -> DataFrame:
+    """Add ``dropped``: the board's location filter rejects the posting.
+
+    'scan' gives each posting its board's lists and tries one pattern after the other; 'index' looks
+    up short runs of its text, whose cost does not grow with the lists. Both give the same rows.
+    """
+    if strategy == "index":
+        return _location_by_index(postings, boards, posting_text() if text is None else text, small)
     joined = lookup_join(
         postings, boards.select("board_id", "location_filters"), ["board_id"], "left",
         spread_by=["url"], small=small,
@@ -67,9 +102,12 @@ def flag_location(postings: DataFrame, boards: DataFrame, *, small: bool | None
     return joined.withColumn("dropped", flag).drop("location_filters")
 
 
-def location_filter(postings: DataFrame, boards: DataFrame, *, small: bool | None = None) -> DataFrame:
+def location_filter(
+    postings: DataFrame, boards: DataFrame, *, small: bool | None = None, strategy: str = "scan"
+) -> DataFrame:
     """M2: postings their board's location filter keeps."""
-    return flag_location(postings, boards, small=small).filter(~F.col("dropped")).drop("dropped")
+    flagged = flag_location(postings, boards, small=small, strategy=strategy)
+    return flagged.filter(~F.col("dropped")).drop("dropped")
 
 
 def marked_keywords(keywords: Column) -> Column:
@@ -106,7 +144,7 @@ def _measure(keywords: DataFrame) -> dict:
         F.count_if(F.col("token").isNull()).alias("loose"), F.sum(row_bytes).alias("bytes"),
     )
     row = per_board.agg(
-        F.max("n").alias("most"), F.max("phrases").alias("most_phrases"),
+        F.max("n").alias("most"), F.max("phrases").alias("most_phrases"), F.max("loose").alias("most_loose"),
         F.sum("loose").alias("loose"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"),
     ).first()
     return {name: row[name] or 0 for name in row.asDict()}
@@ -119,6 +157,7 @@ def keyword_hits(
     key: list[str] | None = None,
     strategy: str | None = None,
     small: bool | None = None,
+    text: Column | None = None,
 ) -> DataFrame:
     """M3: one row (key columns, keyword) per posting and keyword that occurs in its text.
 
@@ -126,8 +165,8 @@ def keyword_hits(
     'token' splits the text into its distinct words and joins on (board, word), so the work per
     posting does not grow with the number of keywords. Keywords of several words or with other
     characters are scanned when a board has few of them; otherwise they are looked up by their
-    longest word and tested against the text afterwards. All ways give the same rows. Unless
-    told, the measured shape of the keyword table decides, and it is broadcast only within
+    longest word and tested against the text afterwards, and those without a word by a run of their
+    characters. All ways give the same rows. ``text`` replaces title and description. Unless told, the measured shape of the keyword table decides, and it is broadcast only within
     bounds. Texts are never multiplied by words or keywords.
     """
     key = key or ["board_id", "url"]
@@ -139,7 +178,8 @@ def keyword_hits(
     if small is None:
         small = shape["rows"] <= BROADCAST_ROWS and shape["bytes"] <= BROADCAST_BYTES
     # no text at all matches nothing, not even the empty keyword
-    texts = postings.select(*ids, posting_text().alias("_text")).filter(F.col("_text") != " ")
+    whole_text = posting_text() if text is None else text
+    texts = postings.select(*ids, whole_text.alias("_text")).filter(F.col("_text") != " ")
 
     def scan(some: DataFrame) -> DataFrame:
         packed = some.groupBy("board_id").agg(
@@ -167,8 +207,13 @@ def keyword_hits(
     found = found.unionByName(
         likely.join(marked, [*ids, "_hash"]).filter(F.contains("_text", F.col("marked"))).select(*key, "keyword")
     )
-    if shape["loose"]:
-        found = found.unionByName(scan(phrases.filter(F.col("token").isNull())))
+    loose = phrases.filter(F.col("token").isNull())
+    if shape["most_loose"] > SCAN_KEYWORDS:
+        wanted = loose.select("board_id", "keyword", F.col("marked").alias("pattern"))
+        hits = literal_hits(texts, mark_edges(F.lower("_text")), wanted, keys=key, by=["board_id"], small=small)
+        found = found.unionByName(hits.select(*key, "keyword"))
+    elif shape["loose"]:
+        found = found.unionByName(scan(loose))
     return found
 
 
@@ -188,16 +233,26 @@ def matches(
     return postings.drop("description").join(grouped, key)
 
 
+def longest_list(universal: Column) -> Column:
+    """Entries of the longest list that judging a posting of the board would go through."""
+    sides = [F.size(F.coalesce(F.col(f"location_filters.{s}"), F.array())) for s in ("include", "exclude")]
+    return F.greatest(F.size(keyword_array(universal, F.col("keywords"))), *sides)
+
+
+def board_lists(boards: DataFrame, universal: Column) -> DataFrame:
+    """What judging in place looks up: (board_id, location_filters, _kw)."""
+    return boards.select(
+        "board_id", "location_filters",
+        marked_keywords(keyword_array(universal, F.col("keywords"))).alias("_kw"),
+    )
+
+
 def match_in_place(
     postings: DataFrame, boards: DataFrame, universal: Column, *, small: bool | None = None
 ) -> DataFrame:
     """M2 to M4 for boards with short keyword lists, flags instead of filters and no shuffle:
     adds ``dropped`` and ``matched_keywords`` (sorted, empty when dropped or nothing hits)."""
-    lists = boards.select(
-        "board_id", "location_filters",
-        marked_keywords(keyword_array(universal, F.col("keywords"))).alias("_kw"),
-    )
-    rows = lookup_join(postings, lists, ["board_id"], "left", spread_by=["url"], small=small)
+    rows = lookup_join(postings, board_lists(boards, universal), ["board_id"], "left", spread_by=["url"], small=small)
     none = F.array().cast("array<string>")
 
     def judged(dropped: Column) -> Column:
@@ -212,19 +267,39 @@ def match_in_place(
     return pinned(rows, _m=verdict).select(*columns, "_m.dropped", "_m.matched_keywords")
 
 
-def board_funnel(boards: DataFrame, flagged: DataFrame) -> DataFrame:
+def match_by_index(
+    rows: DataFrame, boards: DataFrame, universal: Column, *, key: list[str], text: str, small: bool | None = None
+) -> DataFrame:
+    """M2 to M4 for boards with long lists: (key columns, dropped, matched_keywords) of the rows that
+    are dropped or match. No list is ever an array beside a posting: patterns and keywords are rows,
+    met by short runs of the text and by its words. ``key`` tells rows apart."""
+    texts = rows.select(*dict.fromkeys(["board_id", *key]), text)
+    flagged = flag_location(texts, boards, small=small, strategy="index", text=F.col(text))
+    words = board_keywords(boards, universal)
+    hits = keyword_hits(
+        flagged.filter(~F.col("dropped")), words, key=key, strategy="token", small=small, text=F.col(text))
+    matched = hits.groupBy(*key).agg(F.array_sort(F.collect_set("keyword")).alias("matched_keywords"))
+    none = F.array().cast("array<string>")
+    out = flagged.filter("dropped").select(*key, "dropped", none.alias("matched_keywords"))
+    return out.unionByName(matched.select(*key, F.lit(False).alias("dropped"), "matched_keywords"))
+
+
+def board_funnel(boards: DataFrame, flagged: DataFrame, account: DataFrame | None = None) -> DataFrame:
     """M5: per board the postings after deduplication, those dropped by location and those that
-    matched; zeros for boards without postings. ``flagged`` has board_id, dropped, matched."""
+    matched; zeros for boards without postings. ``flagged`` has board_id, dropped, matched. With the
+    account of crawled pages (``paging.page_account``) also its pages and those unreached."""
     counts = flagged.groupBy("board_id").agg(
         F.count("*").alias("listings"),
         F.count_if("dropped").alias("dropped"),
         F.count_if("matched").alias("matched"),
     )
     zero = F.lit(0).cast("long")
-    return boards.select("board_id", "name").join(counts, "board_id", "left").select(
-        "board_id", "name",
-        *[F.coalesce(c, zero).alias(c) for c in ("listings", "dropped", "matched")],
-    )
+    rows, columns = boards.select("board_id", "name").join(counts, "board_id", "left"), ["listings", "dropped", "matched"]
+    if account is not None:
+        pages = account.groupBy("board_id").agg(
+            F.count("*").alias("pages"), F.count("unreached").alias("unreached"))
+        rows, columns = rows.join(pages, "board_id", "left"), [*columns, "pages", "unreached"]
+    return rows.select("board_id", "name", *[F.coalesce(c, zero).alias(c) for c in columns])
 
 
 def all_matches(*parts: DataFrame) -> DataFrame:

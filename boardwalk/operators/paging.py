@@ -11,8 +11,7 @@ from boardwalk.functions.binding import built_once, let
 from boardwalk.functions.fixed import MAX_PAGES, NEXT_PAGE_RULES, NEXT_PAGE_WORDS
 from boardwalk.functions.text import contains_any
 from boardwalk.operators import containers as C
-from boardwalk.operators.skew import BROADCAST_ROWS, fits_broadcast
-from boardwalk.session import checkpoint
+from boardwalk.session import stored_with
 
 
 def _next_url(nodes: Column, texts: Column, base_url: Column, found: Column) -> Column:
@@ -91,58 +90,111 @@ def with_moves(edges: DataFrame, pages: DataFrame, moves: DataFrame) -> DataFram
     return edges.join(logged, "page_id", "left_anti").select(*columns).unionByName(known.select(*columns))
 
 
+def _addresses(pages: DataFrame) -> DataFrame:
+    """(board_id, page_id, address): a page stands for its URL and the one that led to it."""
+    both = F.array("url", "requested_url") if "requested_url" in pages.columns else F.array("url")
+    return pages.select(
+        "board_id", "page_id", F.explode(F.array_distinct(F.array_compact(both))).alias("address")
+    )
+
+
+# what a round stores: jumps have an origin, visits a page_no
+_ROW = ("board_id", "max_pages", "origin", "address", "page_no")
+
+
+def _jumps(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("origin").isNotNull())
+
+
+def _visits(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("page_no").isNotNull())
+
+
 def page_chain(boards: DataFrame, pages: DataFrame, edges: DataFrame) -> DataFrame:
     """(board_id, page_id, page_no) of every visit, starting at the board's URL.
 
     ``pages`` is (page_id, board_id, url) and, where a crawler was redirected, ``requested_url``: a
     page stands for both addresses. All snapshots of one address take part in a visit; its next page
     is that of the earliest snapshot that has one. A chain ends without a next page, at a page that
-    was not crawled, or after the board's ``max_pages``; a cycle is walked until that limit. Each
-    step joins one row per board still walking with the step table; both sides are unique on
-    (board_id, address), so no key is hot. The walk stops as soon as no board has a next page, and
-    each step is checkpointed, so lineage does not grow with the number of steps.
+    was not crawled, or after the board's ``max_pages``; a cycle is walked until that limit.
+
+    The chains of all boards grow by doubling. Round k knows the visits 1 to 2**k of every chain and
+    for each address the one 2**k pages on; one join with these jumps gives the next visits and, jump
+    after jump, the jumps of twice the length. So 150 pages take eight rounds. Jumps that lead out of
+    a chain or past its limit are dropped, which leaves fewer each round; a round without any, or
+    without a new visit, is the last. Each round is stored, so plans stay small and a lost executor
+    costs no finished round.
     """
-    addresses = F.array("url", "requested_url") if "requested_url" in pages.columns else F.array("url")
-    places = pages.select(
-        "board_id", "page_id", F.explode(F.array_distinct(F.array_compact(addresses))).alias("address")
-    )
-    known = edges.select("page_id", "next_url")
-    leading = F.when(F.col("next_url").isNotNull(), F.col("page_id"))
-    steps = checkpoint(
-        places.join(known, "page_id", "left").groupBy("board_id", "address")
-        .agg(F.min_by("next_url", leading).alias("next_url"))
-    )
-    frontier = boards.select(
+    places = _addresses(pages)
+    starts = boards.select(
         "board_id", F.col("job_board_url").alias("address"),
         F.coalesce("max_pages", F.lit(MAX_PAGES)).alias("max_pages"),
     ).filter((F.coalesce("address", F.lit("")) != "") & (F.col("max_pages") >= 1))
-    visits = None
-    page_no = 0
-    walking = boards.count()
-    while walking:
-        page_no += 1
-        here = F.broadcast(frontier) if walking <= BROADCAST_ROWS else frontier
-        visited = checkpoint(
-            steps.join(here, ["board_id", "address"]).select(
-                "board_id", "address", F.lit(page_no).alias("page_no"), "next_url", "max_pages"
-            )
+    following = (
+        places.join(edges.select("page_id", "next_url"), "page_id")
+        .groupBy("board_id", "address").agg(F.min_by("next_url", "page_id").alias("next_url"))
+    )
+    none = F.lit(None)
+    jumps = following.join(starts.select("board_id", "max_pages"), "board_id").filter("max_pages > 1").select(
+        "board_id", "max_pages", F.col("address").alias("origin"), F.col("next_url").alias("address"),
+        none.cast("int").alias("page_no"),
+    )
+    first = starts.select(
+        "board_id", "max_pages", none.cast("string").alias("origin"), "address", F.lit(1).alias("page_no")
+    )
+    figures = {"jumps": F.count("origin"), "visits": F.count("page_no")}
+    known, seen = stored_with(jumps.unionByName(first), **figures)
+    visits, width = _visits(known), 1
+    while seen["jumps"] and seen["visits"]:
+        here = _jumps(known)
+        # a jump goes on where it ends, a visit where it is; only what stays within the limit
+        asked = here.filter(F.col("max_pages") > 2 * width).unionByName(
+            visits.filter(F.col("max_pages") >= F.col("page_no") + width))
+        onward = here.select("board_id", F.col("origin").alias("address"), F.col("address").alias("_after"))
+        found = asked.join(onward, ["board_id", "address"]).select(
+            "board_id", "max_pages", "origin", F.col("_after").alias("address"),
+            (F.col("page_no") + width).alias("page_no"),
         )
-        rows = visited.select("board_id", "address", "page_no")
-        visits = rows if visits is None else visits.unionByName(rows)
-        frontier = visited.filter(
-            F.col("next_url").isNotNull() & (F.col("max_pages") > page_no)
-        ).select("board_id", F.col("next_url").alias("address"), "max_pages")
-        walking = frontier.count()
-    if visits is None:
-        return places.select("board_id", "page_id", F.lit(1).alias("page_no")).limit(0)
+        known, seen = stored_with(found, **figures)
+        visits, width = visits.unionByName(_visits(known)), 2 * width
     return visits.join(places, ["board_id", "address"]).select("board_id", "page_id", "page_no").distinct()
 
 
-def number_pages(postings: DataFrame, chain: DataFrame) -> DataFrame:
-    """Give postings the first and the last visit of their page. The last one decides which
-    values win, the first one the position, so revisited pages need no repeated postings."""
+def page_account(boards: DataFrame, pages: DataFrame, chain: DataFrame) -> DataFrame:
+    """One row (page_id, board_id, page_no, first_page_no, unreached) for each crawled page.
+
+    ``page_no`` is the last visit of the page, ``first_page_no`` the first. A page without a visit
+    says in ``unreached`` why: 'no board' when none was found for it, 'board not listed' when its
+    board is not among ``boards``, 'no chain' when no chain of its board comes to it.
+    """
     visits = chain.groupBy("board_id", "page_id").agg(
         F.max("page_no").alias("page_no"), F.min("page_no").alias("first_page_no")
     )
-    near = F.broadcast(visits) if fits_broadcast(visits) else visits  # unique per page: not hot
-    return postings.join(near, ["board_id", "page_id"])
+    listed = boards.select("board_id", F.lit(True).alias("_listed"))
+    rows = pages.select("page_id", "board_id").join(listed, "board_id", "left").join(
+        visits, ["board_id", "page_id"], "left")
+    why = (
+        F.when(F.col("page_no").isNotNull(), F.lit(None)).when(F.col("board_id").isNull(), "no board")
+        .when(F.col("_listed").isNull(), "board not listed").otherwise("no chain")
+    )
+    return rows.select("page_id", "board_id", "page_no", "first_page_no", why.alias("unreached"))
+
+
+def unreached_pages(boards: DataFrame, pages: DataFrame, chain: DataFrame) -> DataFrame:
+    """The crawled pages whose postings take no part in a run: (page_id, board_id, unreached)."""
+    account = page_account(boards, pages, chain)
+    return account.filter(F.col("unreached").isNotNull()).select("page_id", "board_id", "unreached")
+
+
+def number_pages(postings: DataFrame, visits: DataFrame) -> DataFrame:
+    """Give postings the first and the last visit of their page. The last one decides which
+    values win, the first one the position, so revisited pages need no repeated postings.
+
+    ``visits`` is a chain, or an account with one row per page; both have rows without descriptions,
+    and so should ``postings``, as both sides may be moved."""
+    if "first_page_no" not in visits.columns:
+        visits = visits.groupBy("board_id", "page_id").agg(
+            F.max("page_no").alias("page_no"), F.min("page_no").alias("first_page_no")
+        )
+    numbered = visits.filter(F.col("page_no").isNotNull()).select("board_id", "page_id", "page_no", "first_page_no")
+    return postings.join(numbered, ["board_id", "page_id"])

@@ -16,6 +16,7 @@ from boardwalk.functions.fixed import (
 )
 from boardwalk.functions.text import contains_any, hits_any, strip, word_count
 from boardwalk.operators.containers import PageView
+from boardwalk.operators.substrings import flag_literals
 
 
 def default_title(page: PageView, c: Column, link: Column, named: Column) -> Column:
@@ -116,8 +117,13 @@ def title_blocked(title: Column, words: list[str] | Column) -> Column:
 
 
 def exclude_titles(
-    postings: DataFrame, words: list[str] | str = DEFAULT_EXCLUDED_TITLES
+    postings: DataFrame, words: list[str] | str | DataFrame = DEFAULT_EXCLUDED_TITLES
 ) -> DataFrame:
-    """T7 with a list, or with the name of an array column of the board's own words."""
+    """T7 with a list, with the name of an array column of the board's own words, or, for lists of
+    any length, with a table of them (``pattern``, with ``board_id`` where they hold for one board)."""
+    if isinstance(words, DataFrame):
+        by = ["board_id"] if "board_id" in words.columns else []
+        flagged = flag_literals(postings, F.lower("title"), words, by=by, name="_blocked")
+        return flagged.filter(~F.col("_blocked")).drop("_blocked")
     listed = F.col(words) if isinstance(words, str) else words
     return postings.filter(~title_blocked(F.col("title"), listed))

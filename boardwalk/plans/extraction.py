@@ -27,8 +27,9 @@ from boardwalk.functions.text import contains_any, strip, word_count
 from boardwalk.operators import containers as C
 from boardwalk.operators import titles as T
 from boardwalk.operators.links import is_job_link, url_blocked
-from boardwalk.operators.skew import lookup_join
+from boardwalk.operators.skew import BROADCAST_ROWS, lookup_join
 from boardwalk.schemas import POSTINGS
+from boardwalk.session import stored_with
 
 POSTING_COLUMNS = [f.name for f in POSTINGS.fields]
 
@@ -362,6 +363,7 @@ def route_postings(
     frames: DataFrame | None = None,
     navigations: DataFrame | None = None,
     extractors: dict[str, Extractor] | None = None,
+    each: Extractor | None = None,
     small: bool | None = None,
 ) -> DataFrame:
     """Each board's pages through its flow.
@@ -370,6 +372,11 @@ def route_postings(
     and ``frames`` may carry a ``route`` column already. ``extractors`` adds or replaces flows by
     route name (F1): any function from shredded pages to the postings columns. Boards take an added
     flow by their ``route`` column; a name without a flow is an error.
+
+    ``each`` is applied to the postings of every flow where they arise, before any of them is moved
+    (a run judges them there and drops the descriptions). It must keep ``page_id``. With it, what
+    frames give is stored once; if its pages are few enough to be broadcast they are struck out before
+    the default flow reads them, else their postings are removed afterwards.
     """
     if "route" in boards.columns:
         flows = [*BUILT_IN_ROUTES, *(extractors or {})]
@@ -384,18 +391,24 @@ def route_postings(
         "frame": default_postings,
     }
     routes.update(extractors or {})
-    parts = {
-        name: flow(shredded.filter(F.col("route") == name).drop("route")).select(*POSTING_COLUMNS)
-        for name, flow in routes.items()
-    }
+    finish = each or (lambda rows: rows)
+    pages = {name: shredded.filter(F.col("route") == name).drop("route") for name in routes}
+    inside, afterwards = None, False
     if frames is not None:
         if "route" not in frames.columns:
             frames = route_pages(frames, boards, small=small)
-        inside = frame_postings(frames.filter(F.col("route") == "frame").drop("route"))
-        parts["frame"] = parts["frame"].join(
-            inside.select("page_id").distinct(), "page_id", "left_anti"
-        ).select(*POSTING_COLUMNS)
-        parts["inside"] = inside
+        inside = finish(frame_postings(frames.filter(F.col("route") == "frame").drop("route")))
+        afterwards = True
+        if each is not None:
+            inside, seen = stored_with(inside, rows=F.count("*"))
+            if seen["rows"] <= BROADCAST_ROWS:
+                done = F.broadcast(inside.select("page_id").distinct())
+                pages["frame"], afterwards = pages["frame"].join(done, "page_id", "left_anti"), False
+    parts = {name: flow(pages[name]).select(*POSTING_COLUMNS) for name, flow in routes.items()}
+    finished = [] if inside is None else [inside]
+    if afterwards:
+        done = inside.select("page_id").distinct()
+        finished.append(finish(parts.pop("frame")).join(done, "page_id", "left_anti"))
     if navigations is not None and "navigation" not in (extractors or {}):
         if "route" not in navigations.columns:
             navigations = route_pages(navigations, boards, small=small)
@@ -405,4 +418,7 @@ def route_postings(
     first, *others = parts.values()
     for part in others:
         first = first.unionByName(part)
+    first = finish(first)
+    for part in finished:
+        first = first.unionByName(part)
     return first

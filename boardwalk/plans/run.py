@@ -12,9 +12,9 @@ from boardwalk.operators import matching as M
 from boardwalk.operators import paging as G
 from boardwalk.operators.boards import scrapable_boards
 from boardwalk.operators.shredding import shred
-from boardwalk.operators.skew import fits_broadcast, lookup_join
-from boardwalk.plans.extraction import route_pages, route_postings
-from boardwalk.session import stored
+from boardwalk.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup_join, row_bytes
+from boardwalk.plans.extraction import Extractor, route_pages, route_postings
+from boardwalk.session import stored, stored_with
 
 
 def stage_shredded(pages: DataFrame, boards: DataFrame, path: str) -> DataFrame:
@@ -27,11 +27,19 @@ def stage_shredded(pages: DataFrame, boards: DataFrame, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Run:
-    """Tables of one run. ``postings`` has one row per board and URL with its flags."""
+    """Tables of one run. ``postings`` has one row per board and URL with its flags. ``pages`` accounts
+    for every crawled page (``paging.page_account``), and ``coverage`` counts them: ``pages`` is
+    ``reached`` and ``unreached`` together. Both are None when pages are not followed."""
 
     postings: DataFrame
     matches: DataFrame
     funnel: DataFrame
+    pages: DataFrame | None = None
+    coverage: dict[str, int] | None = None
+
+
+# a row of the long way to match, through the deduplication and back
+_PLACE = ["board_id", "url", "page_id", "row_seq"]
 
 
 def run_boards(
@@ -45,38 +53,76 @@ def run_boards(
     navigations: DataFrame | None = None,
     history: DataFrame | None = None,
     follow_pages: bool = True,
+    crawled: DataFrame | None = None,
+    extractors: dict[str, Extractor] | None = None,
 ) -> Run:
-    """Route, number, deduplicate, filter and match all boards at once.
+    """Route, judge, number and deduplicate the postings of all boards at once.
 
-    The one shuffle of posting rows is the deduplication; everything after it happens in place
-    when the board and rule tables can be broadcast, which is measured once here. ``shredded``
-    feeds several flows and should be stored (``stage_shredded``). The judged postings, without
-    descriptions, are stored: matches, funnel, history split and the sampling of the report
-    sort all read them, and none of that may extract pages again.
+    Postings are judged where they arise: location and keywords need nothing but the posting and its
+    board's lists. What is moved afterwards, once, for the deduplication, has flags instead of a
+    description. That holds for boards whose lists are short (``matching.SCAN_KEYWORDS``); postings
+    of the others are stored with their text, deduplicated without it, and judged by an index, so
+    one run may have boards of both sorts. Look-up tables are measured once and broadcast within
+    the bounds. ``shredded`` feeds several flows and should be stored (``stage_shredded``). The judged
+    postings are stored: matches, funnel, history split and the sampling of the report sort all read
+    them, and none of that may extract pages again.
 
     Universal keywords come from the boards' own column unless given. Without a history every match
     is new. ``page_moves`` are logged clicks on next-page buttons. Without ``follow_pages`` all pages
-    count as one, and ``page_id`` says which of them is the last.
+    count as one, and ``page_id`` says which of them is the last. ``crawled`` (page_id, board_id)
+    lists pages to account for where ``shredded`` has fewer, as it has none without a board.
+    ``extractors`` adds flows (``route_postings``).
     """
     boards = scrapable_boards(boards)
     if universal is None:
         listed = "universal_keywords" in boards.columns
         universal = F.col("universal_keywords") if listed else F.array().cast("array<string>")
-    small = fits_broadcast(boards) and fits_broadcast(rules)
+    few = M.longest_list(universal) <= M.SCAN_KEYWORDS
+    near, far = boards.filter(few), boards.filter(~few)
+    # what is broadcast of a board: its settings, and its lists if these are short
+    settings = boards.drop("keywords", "location_filters", "universal_keywords")
+    taken = row_bytes(settings) + F.when(few, row_bytes(boards.select("keywords", "location_filters"))).otherwise(0)
+    shape = boards.agg(F.count("*").alias("rows"), F.sum(taken).alias("bytes"), F.count_if(~few).alias("far")).first()
+    some_far = shape["far"] > 0
+    small = shape["rows"] <= BROADCAST_ROWS and (shape["bytes"] or 0) <= BROADCAST_BYTES and fits_broadcast(rules)
+
+    def judge(rows: DataFrame) -> DataFrame:
+        judged = M.match_in_place(rows, near, universal, small=small)
+        if some_far:
+            mark = far.select("board_id", F.lit(True).alias("_far"))
+            judged = lookup_join(judged, mark, ["board_id"], "left", spread_by=["url"], small=small).withColumns(
+                {"_text": F.when(F.col("_far"), M.posting_text()), "row_seq": F.col("seq")}).drop("_far")
+        return judged.drop("description")
+
     found = route_postings(
-        shredded, boards, rules, frames=frames, navigations=navigations, small=small
+        shredded, boards, rules, frames=frames, navigations=navigations, extractors=extractors, each=judge, small=small
     )
+    account = coverage = None
     if follow_pages:
         edges = G.next_page_edges(shredded, boards, rules, small=small)
         redirected = ["requested_url"] if "requested_url" in shredded.columns else []
         pages = shredded.select("page_id", "board_id", F.col("base_url").alias("url"), *redirected)
         if page_moves is not None:
             edges = G.with_moves(edges, pages, page_moves)
-        found = G.number_pages(found, G.page_chain(boards, pages, edges))
+        chain = G.page_chain(boards, pages, edges)
+        account, coverage = stored_with(
+            G.page_account(boards, pages if crawled is None else crawled, chain),
+            pages=F.count("*"), reached=F.count("page_no"), unreached=F.count("unreached"))
+        found = G.number_pages(found, account)
     else:
         found = found.withColumn("page_no", F.lit(1))
-    judged = M.match_in_place(M.dedup_last(found), boards, universal, small=small)
-    flagged = stored(judged.drop("description"))
+    if some_far:
+        found = stored(found)
+    flagged = M.dedup_last(found.drop("_text"))
+    if some_far:
+        texts = found.filter(F.col("_text").isNotNull()).join(flagged.select(*_PLACE), _PLACE, "left_semi")
+        texts = texts.dropDuplicates(_PLACE)
+        verdicts = M.match_by_index(texts, far, universal, key=_PLACE, text="_text").select(
+            *_PLACE, F.col("dropped").alias("_dropped"), F.col("matched_keywords").alias("_matched"))
+        flagged = flagged.join(verdicts, _PLACE, "left").withColumns({
+            "dropped": F.coalesce("_dropped", "dropped"), "matched_keywords": F.coalesce("_matched", "matched_keywords"),
+        }).drop("_dropped", "_matched", "row_seq")
+    flagged = stored(flagged)
     names = boards.select("board_id", F.col("name").alias("company"))
     matched = flagged.filter(F.size("matched_keywords") > 0).drop("dropped")
     matched = lookup_join(matched, names, ["board_id"], spread_by=["url"], small=small)
@@ -85,6 +131,6 @@ def run_boards(
     else:
         matched = H.with_section(matched, history)
     funnel = M.board_funnel(
-        boards, flagged.withColumn("matched", F.size("matched_keywords") > 0)
+        boards, flagged.withColumn("matched", F.size("matched_keywords") > 0), account
     )
-    return Run(flagged, matched, funnel)
+    return Run(flagged, matched, funnel, account, coverage)

@@ -159,6 +159,14 @@ def custom_rules(spark: SparkSession) -> DataFrame:
     )
 
 
+def rules_for(boards: DataFrame, rule_set: str, *test, **tests) -> DataFrame:
+    """One rule for each of some boards."""
+    one = rule(0, *test, **tests)
+    kinds = {f.name: f.dataType for f in SELECTOR_RULES.fields}
+    return boards.select(
+        F.lit(rule_set).alias("rule_set"), "board_id", *[F.lit(one[f]).cast(kinds[f]).alias(f) for f in RULE_FIELDS])
+
+
 # --- the same as SQL ---------------------------------------------------------------------
 
 PARTS_SQL = """

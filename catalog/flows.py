@@ -230,4 +230,4 @@ SELECT b.board_id, b.name, count(f.url) AS listings, count(f.url) FILTER (f.drop
        count(f.url) FILTER (NOT f.dropped AND f.keywords <> '') AS matched
 FROM boards b LEFT JOIN flagged f USING (board_id) GROUP BY 1, 2""")
 def full_run_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return full_run(spark, sf).funnel
+    return full_run(spark, sf).funnel.select("board_id", "name", "listings", "dropped", "matched")

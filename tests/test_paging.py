@@ -50,7 +50,7 @@ def chain(spark, config, crawled):
     return sorted((r["board_id"], r["page_no"], r["page_id"]) for r in rows.collect())
 
 
-def test_chain_ends_cycles_and_limits(spark, monkeypatch):
+def test_chain_ends_cycles_and_limits(spark):
     crawled = crawl(
         spark, (1, "", "?p=2"), (1, "?p=2", "?p=3"), (1, "?p=3", None),
         (2, "", "?p=2"), (2, "?p=2", ""), (3, "", "/gone"), (4, "/else", None),
@@ -63,8 +63,6 @@ def test_chain_ends_cycles_and_limits(spark, monkeypatch):
         (2, 1, 3), (2, 2, 4), (3, 1, 5), (5, 1, 7),
     ]
     assert chain(spark, config, crawled) == expected
-    monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
-    assert chain(spark, config, crawled) == expected
 
 
 def test_cycle_is_walked_to_the_limit(spark):
