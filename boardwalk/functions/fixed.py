@@ -55,7 +55,7 @@ RESULT_ITEM_EXCLUDED = ["talent", "community", "event", "tcjoin"]
 RULE_FIELDS = [
     "rank", "tag", "id_eq", "class_eq", "attr", "op", "value", "ci",
     "ancestor_tag", "ancestor_class", "ancestor_attr", "ancestor_op", "ancestor_value",
-    "last_child", "has_text",
+    "last_child", "has_text", "more", "child", "first_child",
 ]
 
 

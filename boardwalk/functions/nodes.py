@@ -97,7 +97,17 @@ def node_matches(node: Column, rule: Column) -> Column:
                 & _compare(attr(node, rule["attr"]), rule["op"], rule["value"], ci)
             )
         )
-        & (~F.coalesce(rule["last_child"], F.lit(False)) | node["last_child"]),
+        & (~F.coalesce(rule["last_child"], F.lit(False)) | node["last_child"])
+        # the first child of a node is numbered right after it
+        & (~F.coalesce(rule["first_child"], F.lit(False)) | (node["pre"] == node["parent"] + 1))
+        & (
+            rule["more"].isNull()
+            | F.forall(
+                rule["more"],
+                lambda t: attr(node, t["attr"]).isNotNull()
+                & _compare(attr(node, t["attr"]), t["op"], t["value"], ci),
+            )
+        ),
         F.lit(False),
     )
 
@@ -169,6 +179,10 @@ def rule_matches(nodes: Column, texts: Column, node: Column, rule: Column) -> Co
             & ~F.contains(F.lower(subtree_text(texts, node)), F.lower(rule["has_text"])),
             F.lit(False),
         )
+        .when(
+            wants_ancestor & F.coalesce(rule["child"], F.lit(False)),
+            (node["parent"] >= 0) & F.coalesce(is_wanted_ancestor(F.get(nodes, node["parent"])), F.lit(False)),
+        )
         .when(wants_ancestor, _has_ancestor(nodes, node, is_wanted_ancestor))
         .otherwise(F.lit(True))
     )

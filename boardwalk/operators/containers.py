@@ -257,7 +257,9 @@ def attach_rules(
     """
 
     def packed(rule_set: str) -> Column:
-        row = F.struct(*[F.col(f) for f in RULE_FIELDS])
+        # tables written before a field was added do without it
+        row = F.struct(*[(F.col(f.name) if f.name in rules.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                         for f in RULE.fields])
         return F.array_sort(F.collect_list(F.when(F.col("rule_set") == rule_set, row)))
 
     lookup, shared = settings, None

@@ -11,9 +11,10 @@ from boardwalk.operators import history as H
 from boardwalk.operators import matching as M
 from boardwalk.operators import paging as G
 from boardwalk.operators.boards import scrapable_boards
+from boardwalk.operators.failures import all_failures, flow_failures, route_failures, stopped
 from boardwalk.operators.shredding import shred
 from boardwalk.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup_join, row_bytes
-from boardwalk.plans.extraction import Extractor, route_pages, route_postings
+from boardwalk.plans.extraction import BUILT_IN_ROUTES, POSTING_COLUMNS, Extractor, route_pages, route_postings
 from boardwalk.session import stored, stored_with
 
 
@@ -29,13 +30,15 @@ def stage_shredded(pages: DataFrame, boards: DataFrame, path: str) -> DataFrame:
 class Run:
     """Tables of one run. ``postings`` has one row per board and URL with its flags. ``pages`` accounts
     for every crawled page (``paging.page_account``), and ``coverage`` counts them: ``pages`` is
-    ``reached`` and ``unreached`` together. Both are None when pages are not followed."""
+    ``reached`` and ``unreached`` together. Both are None when pages are not followed. ``failures`` says
+    what went wrong with single boards (``operators.failures``)."""
 
     postings: DataFrame
     matches: DataFrame
     funnel: DataFrame
     pages: DataFrame | None = None
     coverage: dict[str, int] | None = None
+    failures: DataFrame | None = None
 
 
 # a row of the long way to match, through the deduplication and back
@@ -55,6 +58,7 @@ def run_boards(
     follow_pages: bool = True,
     crawled: DataFrame | None = None,
     extractors: dict[str, Extractor] | None = None,
+    failures: DataFrame | None = None,
 ) -> Run:
     """Route, judge, number and deduplicate the postings of all boards at once.
 
@@ -72,8 +76,22 @@ def run_boards(
     count as one, and ``page_id`` says which of them is the last. ``crawled`` (page_id, board_id)
     lists pages to account for where ``shredded`` has fewer, as it has none without a board.
     ``extractors`` adds flows (``route_postings``).
+
+    What is wrong with one board stays with it. Boards that ``failures`` (as of ``read_failures``) stops,
+    whose route there is not, or whose added flow cannot be planned, contribute nothing and have zeros
+    in the funnel; all others are as they would be without them.
     """
     boards = scrapable_boards(boards)
+    listed_boards = boards
+    known = [failures] if failures is not None else []
+    if "route" in boards.columns:
+        broken, extractors = flow_failures(boards, extractors or {}, shredded.drop("route"), POSTING_COLUMNS)
+        known += [route_failures(boards.join(broken.select("board_id"), "board_id", "left_anti") if broken is not None else boards,
+                                 [*BUILT_IN_ROUTES, *extractors]), *([] if broken is None else [broken])]
+    failed = all_failures(*known) if known else None
+    if failed is not None:
+        failed = stored(failed)
+        boards = boards.join(stopped(failed), "board_id", "left_anti")
     if universal is None:
         listed = "universal_keywords" in boards.columns
         universal = F.col("universal_keywords") if listed else F.array().cast("array<string>")
@@ -131,6 +149,6 @@ def run_boards(
     else:
         matched = H.with_section(matched, history)
     funnel = M.board_funnel(
-        boards, flagged.withColumn("matched", F.size("matched_keywords") > 0), account
+        listed_boards, flagged.withColumn("matched", F.size("matched_keywords") > 0), account
     )
-    return Run(flagged, matched, funnel, account, coverage)
+    return Run(flagged, matched, funnel, account, coverage, failed)

@@ -24,7 +24,7 @@ RULE = T.StructType([
     T.StructField("tag", T.StringType()),
     T.StructField("id_eq", T.StringType()),
     T.StructField("class_eq", T.StringType()),     # blank-separated, all required
-    T.StructField("attr", T.StringType()),
+    T.StructField("attr", T.StringType()),         # the first attribute test; others in more
     T.StructField("op", T.StringType()),           # exists = *= ^= $=
     T.StructField("value", T.StringType()),
     T.StructField("ci", T.BooleanType()),
@@ -35,6 +35,13 @@ RULE = T.StructType([
     T.StructField("ancestor_value", T.StringType()),
     T.StructField("last_child", T.BooleanType()),
     T.StructField("has_text", T.StringType()),
+    T.StructField("more", T.ArrayType(T.StructType([
+        T.StructField("attr", T.StringType()),
+        T.StructField("op", T.StringType()),
+        T.StructField("value", T.StringType()),
+    ]))),
+    T.StructField("child", T.BooleanType()),       # the ancestor is the parent
+    T.StructField("first_child", T.BooleanType()),
 ])
 # rule_set: container, link, title, description or pagination; board_id null = every board
 SELECTOR_RULES = T.StructType([

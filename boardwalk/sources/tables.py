@@ -6,12 +6,13 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boardwalk.functions import urls
 from boardwalk.functions.fixed import MAX_PAGES
+from boardwalk.operators.failures import all_failures, failure_rows
 from boardwalk.operators.skew import lookup_join
 from boardwalk.schemas import BOARDS, LOCATION, SELECTOR_RULES
 
@@ -66,7 +67,7 @@ def read_boards(spark: SparkSession, path: str) -> DataFrame:
 def boards_from_configs(configs: DataFrame) -> DataFrame:
     """Boards in configuration order, defaults applied, with the universal keywords of their
     document in ``universal_keywords``. An empty scraping configuration counts as none."""
-    keys = [c for c in configs.columns if c not in ("universal_keywords", "companies")]
+    keys = _keys(configs)
     rows = configs.select(
         *keys, "universal_keywords", F.posexplode("companies").alias("board_id", "c")
     )
@@ -98,22 +99,25 @@ _SELECTORS = T.StructType([
     T.StructField("description_selector", T.StringType()),
     T.StructField("pagination_selectors", _STRINGS),
 ])
+# tag, id, classes, attribute tests, place, text
 _COMPOUND = (
-    r"([A-Za-z][\w-]*)?(#[\w-]+)?(\.[\w-]+)?"
-    r"(?:\[([\w-]+)(?:([*^$]?=)[\"']?([^\"'\]]*?)[\"']?(\s+i)?)?\])?(:last-child)?(?::has-text\([\"']?([^\"')]*)[\"']?\))?"
+    r"([A-Za-z][\w-]*|\*)?(#[\w-]+)?((?:\.[\w-]+)*)((?:\[[^\]]*\])*)(:first-child|:last-child)?"
+    r"(?::has-text\([\"']?([^\"')]*)[\"']?\))?"
 )
-_SELECTOR = rf"^(?:{_COMPOUND}\s+)?{_COMPOUND}$"
+_SELECTOR = rf"^(?:{_COMPOUND}(\s*>\s*|\s+))?{_COMPOUND}$"
+_TEST = r"^\s*([\w-]+)\s*(?:([*^$]?=)\s*[\"']?([^\"']*?)[\"']?(\s+i)?)?\s*$"
 
 
-def rules_from_configs(configs: DataFrame) -> DataFrame:
-    """Selector rules of the boards' configurations (``configs`` as of ``parse_configs``).
+def _keys(configs: DataFrame) -> list[str]:
+    return [c for c in configs.columns if c not in ("universal_keywords", "companies")]
 
-    A selector is what a rule row can say: tag, one id, one class, one attribute test, last child, a
-    text, below an ancestor with tag, class and attribute test. Alternatives after commas share the
-    rank; lists give ranks in their order. Anything else is an error that names board and selector.
-    """
-    boards = configs.select(F.posexplode("companies").alias("board_id", "c")).select(
-        F.col("board_id").cast("long").alias("board_id"), F.col("c.name").alias("name"),
+
+def _selectors(configs: DataFrame) -> DataFrame:
+    """(keys of the document, rule_set, board_id, name, rank, one, known): the alternatives of all
+    selectors, and whether a rule row can say them."""
+    keys = _keys(configs)
+    boards = configs.select(*keys, F.posexplode("companies").alias("board_id", "c")).select(
+        *keys, F.col("board_id").cast("long").alias("board_id"), F.col("c.name").alias("name"),
         F.from_json("c.scraping_config", _SELECTORS).alias("s"),
     )
 
@@ -121,7 +125,7 @@ def rules_from_configs(configs: DataFrame) -> DataFrame:
         value = F.col(f"s.{field}")
         several = value if field.endswith("_selectors") else F.when(value.isNotNull(), F.array(value))
         return boards.select(
-            F.lit(rule_set).alias("rule_set"), "board_id", "name", F.posexplode(several).alias("rank", "listed"))
+            *keys, F.lit(rule_set).alias("rule_set"), "board_id", "name", F.posexplode(several).alias("rank", "listed"))
 
     rows = listed("container", "container_selectors")
     for rule_set in ("link", "title", "description"):
@@ -129,31 +133,113 @@ def rules_from_configs(configs: DataFrame) -> DataFrame:
     rows = rows.unionByName(listed("pagination", "pagination_selectors"))
     # commas within brackets do not part alternatives
     one = F.explode(F.split("listed", r",(?![^\[(]*[\])])")).alias("one")
-    rows = rows.select("rule_set", "board_id", "name", "rank", one).withColumn("one", F.trim("one"))
-    known = F.coalesce((F.col("one") != "") & F.col("one").rlike(_SELECTOR), F.lit(False))
-    part = lambda k: F.nullif(F.regexp_extract("one", _SELECTOR, k), F.lit(""))
-    # an ancestor has no id, no place and no text in a rule row
-    plain = part(2).isNull() & part(8).isNull() & part(9).isNull()
-    unknown = rows.filter(~(known & plain)).first()
-    if unknown is not None:
-        raise ValueError(f"board {unknown['name']!r}: selector {unknown['one']!r} is not supported")
-
-    def test(k: int) -> Column:
-        return F.when(part(k).isNotNull(), F.coalesce(part(k + 1), F.lit("exists")))
+    rows = rows.select(*keys, "rule_set", "board_id", "name", "rank", one).withColumn("one", F.trim("one"))
+    tests = F.concat(_tests(4), _tests(11))
+    # an ancestor is a tag, classes and one test, of which an id is a form
+    plain = (_part(5) == "") & (_part(6) == "") & (
+        F.size(_tests(4)) + F.when(_part(2) == "", 0).otherwise(1) <= 1)
+    some = F.concat(*[_part(k) for k in (1, 2, 3, 4)]) != ""
+    known = F.col("one").rlike(_SELECTOR) & (F.col("one") != "") & plain & F.forall(tests, lambda t: t.rlike(_TEST)) & (
+        some | (_part(7) == "")) & (F.concat(*[_part(k) for k in range(8, 14)]) != "")
+    return rows.withColumn("known", F.coalesce(known, F.lit(False)))
+
+
+def _part(k: int) -> Column:
+    return F.regexp_extract("one", _SELECTOR, k)
+
+
+def _tests(k: int) -> Column:
+    """Contents of the brackets of a part."""
+    return F.regexp_extract_all(_part(k), F.lit(r"\[([^\]]*)\]"), F.lit(1))
+
 
+def _test(text: Column) -> Column:
+    """attr, op, value and case flag of one attribute test."""
+    def piece(k: int) -> Column:
+        return F.nullif(F.regexp_extract(text, _TEST, k), F.lit(""))
+
+    compared = piece(2).isNotNull()
+    return F.struct(
+        F.lower(piece(1)).alias("attr"), F.coalesce(piece(2), F.lit("exists")).alias("op"),
+        F.when(compared, F.regexp_extract(text, _TEST, 3)).alias("value"), piece(4).isNotNull().alias("ci"))
+
+
+def rules_from_configs(configs: DataFrame, *, strict: bool = False) -> DataFrame:
+    """Selector rules of the boards' configurations (``configs`` as of ``parse_configs``), with the
+    other columns of their document in front.
+
+    A selector is what a rule row can say: tag, one id, classes, attribute tests, first or last child
+    and a text, below an ancestor, or right below it (``>``), with tag, id, classes or one attribute
+    test. Alternatives after commas share the rank; lists give ranks in their order. A selector with
+    an alternative beyond that is left out as a whole, as one that fails on a page would be, and
+    named by ``selector_failures``; with ``strict`` it is an error that names board and selector.
+    """
+    rows = _selectors(configs)
+    if strict:
+        unknown = rows.filter(~F.col("known")).first()
+        if unknown is not None:
+            raise ValueError(f"board {unknown['name']!r}: selector {unknown['one']!r} is not supported")
+    # alternatives of one selector, on few rows
+    keys = _keys(configs)
+    whole = Window.partitionBy(*keys, "board_id", "rule_set", "rank")
+    rows = rows.withColumn("known", F.min("known").over(whole)).filter("known")
+    tests, above = F.transform(_tests(11), _test), F.get(F.transform(_tests(4), _test), F.lit(0))
+    first = F.get(tests, F.lit(0))
+    others = F.transform(F.slice(tests, 2, 1 << 20), lambda t: F.struct(t["attr"], t["op"], t["value"]))
+    by_id = _part(2) != ""
+
+    def filled(value: Column) -> Column:
+        return F.nullif(value, F.lit(""))
+
+    def classes(k: int) -> Column:
+        return filled(F.trim(F.translate(_part(k), ".", " ")))
+
+    no = F.lit(False)
     named = {
-        "tag": F.lower(part(10)), "id_eq": F.substring(part(11), 2, 1 << 30), "class_eq": F.substring(part(12), 2, 1 << 30),
-        "attr": F.lower(part(13)), "op": test(13), "value": part(15), "ci": part(16).isNotNull() | part(7).isNotNull(),
-        "ancestor_tag": F.lower(part(1)), "ancestor_class": F.substring(part(3), 2, 1 << 30),
-        "ancestor_attr": F.lower(part(4)), "ancestor_op": test(4), "ancestor_value": part(6),
-        "last_child": part(17).isNotNull(), "has_text": part(18), "rank": F.col("rank"),
+        "rank": F.col("rank"), "tag": F.nullif(filled(F.lower(_part(8))), F.lit("*")), "id_eq": filled(F.substring(_part(9), 2, 1 << 30)),
+        "class_eq": classes(10), "attr": first["attr"], "op": first["op"], "value": first["value"],
+        "ci": F.exists(tests, lambda t: t["ci"]) | F.coalesce(above["ci"], no),
+        "ancestor_tag": F.nullif(filled(F.lower(_part(1))), F.lit("*")), "ancestor_class": classes(3),
+        "ancestor_attr": F.when(by_id, "id").otherwise(above["attr"]), "ancestor_op": F.when(by_id, "=").otherwise(above["op"]),
+        "ancestor_value": F.when(by_id, F.substring(_part(2), 2, 1 << 30)).otherwise(above["value"]),
+        "last_child": _part(12) == ":last-child", "has_text": filled(_part(13)),
+        "more": F.when(F.size(others) > 0, others), "child": F.when(F.trim(_part(7)) == ">", F.lit(True)),
+        "first_child": F.when(_part(12) == ":first-child", F.lit(True)),
     }
     fields = [f for f in SELECTOR_RULES.fields if f.name not in ("rule_set", "board_id")]
-    return rows.select("rule_set", "board_id", *[named[f.name].cast(f.dataType).alias(f.name) for f in fields])
+    return rows.select(*keys, "rule_set", "board_id", *[named[f.name].cast(f.dataType).alias(f.name) for f in fields])
+
+
+def selector_failures(configs: DataFrame) -> DataFrame:
+    """Rows (``operators.failures``) for the selectors that ``rules_from_configs`` leaves out."""
+    unknown = _selectors(configs).filter(~F.col("known"))
+    reason = F.concat(F.col("rule_set"), F.lit(" selector is not supported: "), F.col("one"))
+    return failure_rows(unknown, "selector", reason, stops=False, keys=_keys(configs))
+
+
+def configuration_failures(configs: DataFrame) -> DataFrame:
+    """Rows for boards whose nested settings are not objects: they contribute nothing."""
+    keys = _keys(configs)
+    rows = configs.select(*keys, F.posexplode("companies").alias("board_id", "c")).withColumn("board_id", F.col("board_id").cast("long"))
+    out = None
+    for field in ("location_filters", "scraping_config"):
+        raw = F.col(f"c.{field}")
+        bad = rows.filter(raw.isNotNull() & F.json_object_keys(raw).isNull())
+        one = failure_rows(bad, "configuration", F.lit(f"{field} is not an object"), stops=True, keys=keys)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def read_failures(spark: SparkSession, path: str) -> DataFrame:
+    """What is wrong with single boards of a configuration file; see ``operators.failures``."""
+    configs = parse_configs(spark.read.text(path, wholetext=True))
+    return all_failures(
+        configuration_failures(configs), selector_failures(configs), place_failures(boards_from_configs(configs)))
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """The selector rules of a configuration file, for the boards that ``read_boards`` gives."""
+    """The selector rules of a configuration file, for the boards that ``read_boards`` gives. What
+    is left out is in ``read_failures``."""
     return rules_from_configs(parse_configs(spark.read.text(path, wholetext=True)))
 
 
@@ -163,19 +249,37 @@ def _path(url: Column) -> Column:
     return F.regexp_replace(path, "/+$", "")
 
 
+def _places(boards: DataFrame) -> DataFrame:
+    return boards.select(
+        "board_id", urls.host(F.col("job_board_url")).alias("_host"), _path(F.col("job_board_url")).alias("_path")
+    ).filter(F.col("_host") != "")
+
+
+def place_failures(boards: DataFrame) -> DataFrame:
+    """Rows (``operators.failures``) for boards whose host and path are those of a board with a smaller
+    id, which takes their pages."""
+    places = _places(boards)
+    least = places.groupBy("_host", "_path").agg(F.min("board_id").alias("_least"))
+    later = places.join(least, ["_host", "_path"]).filter(F.col("board_id") > F.col("_least"))
+    reason = F.concat(F.lit("shares "), "_host", "_path", F.lit(" with board "), F.col("_least").cast("string"))
+    return failure_rows(later, "place", reason, stops=True)
+
+
 def attach_boards_by_host(
-    pages: DataFrame, boards: DataFrame, *, small: bool | None = None
+    pages: DataFrame, boards: DataFrame, *, small: bool | None = None, strict: bool = False, keep: bool = False
 ) -> DataFrame:
     """Give every page one board: that whose URL has the same host and the longest path that the
     page's path starts with, whole segments only. A board alone on its host takes all its pages.
-    Pages of no board go away. Two boards with the same host and path are an error that names them.
+    Of several boards with the same host and path the one with the smallest id takes the pages, and
+    ``place_failures`` names the others; with ``strict`` they are an error. Pages of no board go away,
+    or with ``keep`` stay and have none.
     """
-    places = boards.select(
-        "board_id", urls.host(F.col("job_board_url")).alias("_host"), _path(F.col("job_board_url")).alias("_path")
-    ).filter(F.col("_host") != "")
-    twice = places.groupBy("_host", "_path").agg(F.sort_array(F.collect_set("board_id")).alias("ids")).filter(F.size("ids") > 1).first()
-    if twice is not None:
-        raise ValueError(f"boards {twice['ids']} share {twice['_host']}{twice['_path']}")
+    places = _places(boards)
+    if strict:
+        twice = place_failures(boards).first()
+        if twice is not None:
+            raise ValueError(f"board {twice['board_id']}: {twice['reason']}")
+    places = places.groupBy("_host", "_path").agg(F.min("board_id").alias("board_id"))
     alone = places.groupBy("_host").agg(F.max("board_id").alias("board_id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
     # an empty path stands for the whole host
     places = places.filter("_path <> ''").unionByName(
@@ -189,17 +293,18 @@ def attach_boards_by_host(
     )
     found = lookup_join(asked, places, ["_host", "_path"], "inner", spread_by=["page_id"], small=small)
     best = found.groupBy("page_id").agg(F.max_by("board_id", F.length("_path")).alias("board_id"))
-    return pages.join(best, "page_id")
+    return pages.join(best, "page_id", "left" if keep else "inner")
 
 
 def read_pages(
-    spark: SparkSession, path: str, boards: DataFrame | None = None, *, small: bool | None = None
+    spark: SparkSession, path: str, boards: DataFrame | None = None, *, small: bool | None = None, keep: bool = False
 ) -> DataFrame:
-    """Crawled pages. With boards, pages without a board_id get theirs by host and path."""
+    """Crawled pages. With boards, pages without a board_id get theirs by host and path; with
+    ``keep`` those of no board stay, for the account of a run."""
     pages = spark.read.parquet(path)
     if boards is None or "board_id" in pages.columns:
         return pages
-    return attach_boards_by_host(pages, boards, small=small)
+    return attach_boards_by_host(pages, boards, small=small, keep=keep)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

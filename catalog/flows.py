@@ -50,8 +50,10 @@ def s1_read_boards(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit('{"universal_keywords": ["a", "b"], "companies": ['), companies, F.lit("]}"))
         .alias("value")
     )
-    return S.boards_from_configs(S.parse_configs(docs)).select(
-        "doc_id", "board_id", "name", "job_board_url", "max_pages", "has_scraping_config",
+    folder = D.scratch_folder(spark)
+    docs.write.partitionBy("doc_id").text(folder)  # a file for each document
+    return S.read_boards(spark, folder).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "board_id", "name", "job_board_url", "max_pages", "has_scraping_config",
         "use_js_navigation",
         F.coalesce(F.size("pagination_selectors"), F.lit(-1)).alias("n_pagination"),
         F.get(F.col("location_filters.include"), F.lit(0)).alias("first_include"),

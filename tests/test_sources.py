@@ -15,7 +15,7 @@ CONFIG = {
         {"name": "Off", "job_board_url": "https://b.example.com", "scraping_config": {"pagination_selectors": []}},
         {"name": "Empty", "scraping_config": {}, "keywords": None, "max_pages": 50},
         {"job_board_url": "https://c.example.com:81/x", "use_iframe": True,
-         "location_filters": {"exclude": ["canada only"]},
+         "location_filters": {"exclude": ["alpine huts"]},
          "scraping_config": {"use_js_navigation": True, "exclude_patterns": {"urls": ["/x"], "titles": ["t"]},
                              "pagination_selectors": ["a.next"]}},
     ],
@@ -36,7 +36,7 @@ def test_read_boards(spark, tmp_path):
     assert full["name"] == "Unknown" and full["use_js_navigation"] and full["use_iframe"]
     assert (full["exclude_urls"], full["exclude_titles"]) == (["/x"], ["t"])
     assert full["location_filters"]["include"] is None
-    assert full["location_filters"]["exclude"] == ["canada only"]
+    assert full["location_filters"]["exclude"] == ["alpine huts"]
 
 
 def test_missing_blank_and_broken_configs(spark, tmp_path):
@@ -83,8 +83,12 @@ def test_boards_of_one_host(spark):
     for small in (True, False):
         rows = S.attach_boards_by_host(crawl, config, small=small).collect()
         assert sorted((r["page_id"], r["board_id"]) for r in rows) == [(0, 0), (1, 1), (2, 2), (4, 9)]
-    with pytest.raises(ValueError, match="share"):
-        S.attach_boards_by_host(crawl, boards(spark, board(1), board(2)))
+    twice = boards(spark, board(2, job_board_url="https://ats.example.com/a"), board(1, job_board_url="https://ats.example.com/a/"))
+    with pytest.raises(ValueError, match="board 2: shares ats.example.com/a with board 1"):
+        S.attach_boards_by_host(crawl, twice, strict=True)
+    rows = S.attach_boards_by_host(crawl, twice, keep=True).collect()
+    assert sorted((r["page_id"], r["board_id"]) for r in rows) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, None)]
+    assert [tuple(r) for r in S.place_failures(twice).collect()] == [(2, "place", "shares ats.example.com/a with board 1", True)]
 
 
 def test_a_repeated_run_replaces_the_record_only_when_it_is_whole(spark, tmp_path):
@@ -121,7 +125,56 @@ def test_rules_of_a_configuration(spark, tmp_path):
     rules = S.read_rules(spark, str(path)).withColumn("board_id", F.lit(1).cast("long"))
     rows = X.custom_postings(shredded(spark, H.CUSTOM), table, rules)
     assert found(rows) == [("/berths/stoker-9", "Stoker"), ("/berths/diver-4", "Diver"), ("/berths/pilot-1", "Harbour Pilot")]
-    selectors["title_selector"] = "strong, dl#rota q"
+    # one alternative that rules cannot say takes its selector away, and nothing else
+    selectors["title_selector"] = "strong, dl q:nth-child(2)"
     path.write_text(json.dumps(config))
-    with pytest.raises(ValueError, match="Quay.*dl#rota q"):
-        S.read_rules(spark, str(path))
+    kept = S.read_rules(spark, str(path)).collect()
+    assert len(kept) == len(made) - 2 and not any(r["rule_set"] == "title" for r in kept)
+    assert [tuple(r) for r in S.read_failures(spark, str(path)).collect()] == [
+        (0, "selector", "title selector is not supported: dl q:nth-child(2)", False)]
+    with pytest.raises(ValueError, match="Quay.*nth-child"):
+        S.rules_from_configs(S.parse_configs(spark.read.text(str(path), wholetext=True)), strict=True)
+
+
+def test_selectors_of_all_forms(spark):
+    forms = {
+        "div.a.b": rule(0, "div", class_eq="a b"),
+        "*": rule(0), ".x#y": None, "#y.x": rule(0, id_eq="y", class_eq="x"),
+        "ul > li": rule(0, "li", ancestor_tag="ul", child=True), "ul>li:first-child": rule(0, "li", ancestor_tag="ul", child=True, first_child=True),
+        "a[href][class]": rule(0, "a", attr="href", op="exists", more=[("class", "exists", None)]),
+        "a[href^='/J' i][data-x=\"1\"]": rule(0, "a", attr="href", op="^=", value="/J", ci=True, more=[("data-x", "=", "1")]),
+        "#main .job": rule(0, class_eq="job", ancestor_attr="id", ancestor_op="=", ancestor_value="main"),
+        "div.c.d[data-k] h3": rule(0, "h3", ancestor_tag="div", ancestor_class="c d", ancestor_attr="data-k", ancestor_op="exists"),
+        "#main[role] a": None, "a b c": None, "> a": None, "a >": None, "a:hover": None, "a[x~=y]": None, "": None, "a[x=']": None,
+    }
+    for selector in ("a[x=']",):
+        forms.pop(selector)  # an unfinished quote is taken for the value's end
+    config = {"companies": [{"name": str(k), "scraping_config": {"container_selectors": [s]}} for k, s in enumerate(forms)]}
+    configs = S.parse_configs(spark.createDataFrame([(json.dumps(config),)], "value string"))
+    made = {r["board_id"]: {k: v for k, v in r.asDict(recursive=True).items() if k not in ("rule_set", "board_id")}
+            for r in S.rules_from_configs(configs).collect()}
+    for k, (selector, expected) in enumerate(forms.items()):
+        got = made.get(k)
+        if got and got["more"]:
+            got["more"] = [tuple(t.values()) for t in got["more"]]
+        assert got == expected, selector
+    assert S.selector_failures(configs).count() == sum(e is None for e in forms.values())
+
+
+def test_wider_rules_select(spark):
+    html = ('<ul class="x y"><li class="a b c" data-k="1"><i>one</i><b>two</b></li><li class="a" data-k="2" title="T">three</li></ul>'
+            '<div><ul><li class="a b">four</li></ul></div>')
+    from boardwalk.operators import containers as C
+    picks = [rule(0, "li", class_eq="b a"), rule(1, "li", attr="data-k", op="exists", more=[{"attr": "title", "op": "=", "value": "T"}]),
+             rule(2, "i", ancestor_tag="ul", child=True), rule(3, "i", ancestor_tag="li", child=True), rule(4, "li", first_child=True),
+             rule(5, "li", ancestor_tag="div"), rule(6, "li", ancestor_tag="div", child=True)]
+    rows = C.select_elements(shredded(spark, html), picks).orderBy("rank", "pre").collect()
+    assert [(r["rank"], r["text"]) for r in rows] == [
+        (0, "one two"), (0, "four"), (1, "three"), (3, "one"), (4, "one two"), (4, "four"), (5, "four")]
+
+
+def test_boards_with_settings_of_a_wrong_kind(spark):
+    config = {"companies": [{"name": "a", "location_filters": ["remote"]}, {"name": "b", "scraping_config": "x"}, {"name": "c", "location_filters": {}}]}
+    configs = S.parse_configs(spark.createDataFrame([(json.dumps(config),)], "value string"))
+    assert sorted((r["board_id"], r["reason"]) for r in S.configuration_failures(configs).collect()) == [
+        (0, "location_filters is not an object"), (1, "scraping_config is not an object")]
