@@ -62,41 +62,3 @@ def lookup_join(
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def hot_key_join(
-    facts: DataFrame,
-    table: DataFrame,
-    key: str,
-    how: str,
-    *,
-    spread_by: list[str],
-    small: bool | None = None,
-    hot_rows: int = 1_000_000,
-) -> DataFrame:
-    """Join facts with a table that may be as large as they are, with unevenly used keys.
-
-    Only keys with more than ``hot_rows`` facts get salted, and only their few rows of
-    ``table`` are replicated. There can be no more hot keys than facts / hot_rows, so that list
-    is broadcast. ``table`` must be unique on the key.
-    """
-    if small is None:
-        small = fits_broadcast(table)
-    if small:
-        return facts.join(F.broadcast(table), key, how)
-    hot = (
-        facts.groupBy(key).count().filter(F.col("count") > hot_rows)
-        .select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
-    )
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    salted = (
-        facts.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
-        .drop("_salts")
-    )
-    copies = (
-        table.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -321,27 +322,36 @@ def read_navigations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_RUNS = "run long, written long, folder string"
+_RUNS = "run long, written long, folder string, buckets int"
 
 
 def _runs(root: str) -> str:
     return f"{root}/runs"
 
 
-def write_matches(matches: DataFrame, root: str, run: int) -> None:
+def write_matches(matches: DataFrame, root: str, run: int, *, buckets: int | None = None) -> None:
     """Store the matches of a run, new and seen alike, then record the run. Every attempt has a
     folder of its own, and the record names it: a run that fails half-way, or that is repeated and
-    then fails, leaves what was recorded before as it is."""
+    then fails, leaves what was recorded before as it is.
+
+    With ``buckets`` the run's URLs are stored once more, each once, in that many buckets by URL and
+    sorted, which is how the next run asks for them without moving them.
+    """
     spark = matches.sparkSession
     folder = f"run={run}-{uuid.uuid4().hex}"
     matches.write.parquet(f"{root}/matches/{folder}")
-    record = spark.createDataFrame([(run, time.time_ns(), folder)], _RUNS)
+    if buckets is not None:
+        urls_of = spark.read.schema(matches.schema).parquet(f"{root}/matches/{folder}").select("url").distinct()
+        # a catalogue entry is only the way to write buckets; the files are what counts
+        name = f"boardwalk_{uuid.uuid4().hex}"
+        urls_of.repartition(buckets, "url").write.bucketBy(buckets, "url").sortBy("url").option(
+            "path", f"{root}/history/{folder}").format("parquet").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")
+    record = spark.createDataFrame([(run, time.time_ns(), folder, buckets)], _RUNS)
     record.coalesce(1).write.mode("append").parquet(_runs(root))
 
 
-def read_matches(spark: SparkSession, root: str, run: int | None = None, before: int | None = None) -> DataFrame | None:
-    """The matches of a run as last recorded, of the last run, or of the last one before another;
-    None when there is none."""
+def _last_run(spark: SparkSession, root: str, run: int | None, before: int | None) -> Row | None:
     try:
         runs = spark.read.schema(_RUNS).parquet(_runs(root))
     except AnalysisException as error:
@@ -352,14 +362,32 @@ def read_matches(spark: SparkSession, root: str, run: int | None = None, before:
         runs = runs.filter(F.col("run") == run)
     if before is not None:
         runs = runs.filter(F.col("run") < before)
-    last = runs.orderBy(F.desc("run"), F.desc("written")).first()
+    return runs.orderBy(F.desc("run"), F.desc("written")).first()
+
+
+def read_matches(spark: SparkSession, root: str, run: int | None = None, before: int | None = None) -> DataFrame | None:
+    """The matches of a run as last recorded, of the last run, or of the last one before another;
+    None when there is none."""
+    last = _last_run(spark, root, run, before)
     return None if last is None else spark.read.parquet(f"{root}/matches/{last['folder']}")
 
 
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """URLs stored by ``write_matches``, as a table that knows its buckets. The entry is made anew in any
+    session that has none, from what the run's record says."""
+    name = "boardwalk_" + hashlib.sha256(path.encode()).hexdigest()[:32]
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (url STRING) USING parquet "
+              f"CLUSTERED BY (url) SORTED BY (url) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
 def read_history(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """URLs of the last recorded run only; empty when there is none. A run without matches
     leaves an empty history."""
-    last = read_matches(spark, root, before=before)
+    last = _last_run(spark, root, None, before)
     if last is None:
         return spark.createDataFrame([], "url string")
-    return last.select("url").distinct()
+    if last["buckets"] is not None:
+        return _bucketed(spark, f"{root}/history/{last['folder']}", last["buckets"])
+    return spark.read.parquet(f"{root}/matches/{last['folder']}").select("url").distinct()

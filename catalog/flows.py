@@ -104,6 +104,22 @@ def h2_sections_unbounded(spark: SparkSession, sf: str) -> DataFrame:
     return H.with_section(later, history, small=False)
 
 
+@query(f"WITH {_RUNS} SELECT url, board_id, company FROM runs WHERE NOT old AND url NOT IN (SELECT url FROM known)")
+def h1_new_unbounded(spark: SparkSession, sf: str) -> DataFrame:
+    """New matches against a history in buckets, which stays where it is."""
+    history, later = _order_runs(spark, sf)
+    folder = D.scratch_folder(spark)
+    S.write_matches(history, folder, 1, buckets=8)
+    return H.new_matches(later, S.read_history(spark, folder), small=False)
+
+
+@query(f"WITH {_RUNS} SELECT url, board_id, company FROM runs WHERE NOT old AND url IN (SELECT url FROM known)")
+def h2_seen_unbounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Seen matches against a history of any size, without buckets."""
+    history, later = _order_runs(spark, sf)
+    return H.seen_matches(later, history, small=False)
+
+
 @query("SELECT DISTINCT 'https://c.example.com/' || o_custkey AS url FROM orders WHERE NOT (" + _OLD + ")")
 def s6_write_history(spark: SparkSession, sf: str) -> DataFrame:
     history, later = _order_runs(spark, sf)

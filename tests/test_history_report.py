@@ -86,12 +86,43 @@ def test_salted_lookup_equals_plain_join(spark):
             assert sorted(map(tuple, got.select("id", "k", "d").collect()), key=str) == plain
 
 
-def test_hot_keys_are_split(spark):
-    facts = hot_facts(spark)
-    table = spark.range(30).select(F.col("id").alias("k"), F.lit(True).alias("f"))
-    for how in ("left_anti", "left_semi", "left"):
-        plain = facts.join(table, "k", how).count()
-        got = skew.hot_key_join(facts, table, "k", how, spread_by=["id"], small=False, hot_rows=100)
-        assert got.count() == plain and got.select("id").distinct().count() == plain
-    # the hot key really spreads over several salts
-    assert not skew.fits_broadcast(facts, max_rows=10) and skew.fits_broadcast(table)
+def test_history_with_a_hot_url(spark):
+    facts = hot_facts(spark).select("id", F.concat(F.lit("u"), F.col("k").cast("string")).alias("url"))
+    history = spark.range(30).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
+    for small in (True, False, None):
+        new, seen = H.new_matches(facts, history, small=small), H.seen_matches(facts, history, small=small)
+        assert seen.count() == facts.filter("cast(substr(url, 2) AS int) < 30").count()
+        assert new.count() + seen.count() == facts.count() == H.with_section(facts, history, small=small).count()
+    assert not skew.fits_broadcast(facts, max_rows=10) and skew.fits_broadcast(history)
+    assert not skew.fits_broadcast(history, max_bytes=100)
+
+
+def test_a_history_in_buckets_is_not_moved(spark, tmp_path):
+    root = str(tmp_path / "it's a store")
+    first = spark.createDataFrame([(1, f"u{k % 40}") for k in range(60)], "board_id long, url string")
+    S.write_matches(first, root, 1, buckets=6)
+    history = S.read_history(spark, root)
+    assert urls(history) == sorted({f"u{k}" for k in range(40)}) and urls(S.read_history(spark, root)) == urls(history)
+    later = spark.createDataFrame([(2, f"u{k}") for k in range(30, 50)] + [(3, None)], "board_id long, url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = H.with_section(later, history)
+        assert {(r["url"], r["section"]) for r in rows.collect()} == {
+            (None if k is None else f"u{k}", "seen" if k is not None and k < 40 else "new") for k in [*range(30, 50), None]}
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(i for i, line in enumerate(plan) if "Scan parquet" in line and "Bucketed: true" in line)
+    depth = plan[at].index("FileScan")
+    above = []
+    for line in reversed(plan[:at]):
+        here = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if here < depth:
+            depth = here
+            above.append(line)
+            if "Join" in line:
+                break
+    assert "Join" in above[-1] and not any("Exchange" in line for line in above)
+    S.write_matches(later, root, 2)  # a run without buckets is read as before
+    assert urls(S.read_history(spark, root).filter("url IS NOT NULL")) == [f"u{k}" for k in range(30, 50)]
+    assert urls(S.read_history(spark, root, before=2)) == urls(history)
