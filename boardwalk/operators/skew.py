@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
+# heavy keys: share of the facts that is looked at, keys a sketch keeps, keys that are salted at most
+SAMPLED = 0.1
+TRACKED = 10_000
+MOST_HEAVY = 1_000
 
 
 def _bytes(value: Column, kind: T.DataType) -> Column:
@@ -38,6 +43,23 @@ def fits_broadcast(
     return shape["rows"] <= max_rows and (shape["bytes"] or 0) <= max_bytes
 
 
+def heavy_keys(facts: DataFrame, on: list[str], tasks: int, sampled: float = SAMPLED) -> DataFrame | None:
+    """(_key, _salts) of the keys that hold more than a task's even share of the facts, None when
+    there are none. ``_key`` is the hash of the key columns.
+
+    A frequent-items sketch over a sample finds them: one aggregate whose state does not grow with the
+    number of keys. There are at most ``tasks`` of them, so the table may be broadcast. A key gets
+    twice as many salts as its share fills tasks. What it misses costs balance, never rows.
+    """
+    keys = facts.select(F.xxhash64(*on).alias("_key")).sample(sampled, seed=1)
+    top = min(max(tasks, 1), MOST_HEAVY)
+    found = keys.agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k(_key, {top}, {TRACKED})").alias("top")).first()
+    rows = [(t["item"], math.ceil(2 * t["count"] * tasks / found["n"])) for t in found["top"] or []
+            if t["item"] is not None and t["count"] * tasks > found["n"]]
+    return facts.sparkSession.createDataFrame(rows, "_key long, _salts int") if rows else None
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -46,19 +68,28 @@ def lookup_join(
     *,
     spread_by: list[str],
     small: bool | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join facts with a lookup table whose keys may be very unevenly used.
 
-    A lookup table within the measured bounds is broadcast and the facts do not move. A larger
-    one is replicated once per salt and both sides shuffle on (key, salt), so the rows of one
-    hot key spread over ``salts`` tasks. ``spread_by`` names fact columns that vary within a
-    key. ``small`` skips the measurement when the caller has already made it.
+    A lookup table within the measured bounds is broadcast and the facts do not move. With a larger
+    one both sides shuffle on (key, salt): keys that hold much of the facts (``heavy_keys``) are
+    spread over as many salts as their share asks for, and only their rows of the lookup table are
+    copied; all others have one salt. ``spread_by`` names fact columns that vary within a key. The
+    facts' keys are read once more for that, so facts should be stored. ``small`` skips the
+    measurement of the lookup table when the caller has already made it.
     """
     if small is None:
         small = fits_broadcast(lookup)
     if small:
         return facts.join(F.broadcast(lookup), on, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(facts, on, tasks)
+    if heavy is None:
+        return facts.join(lookup, on, how)
+    near, salts = F.broadcast(heavy), F.coalesce(F.col("_salts"), F.lit(1))
+    # a missing key has the hash of nulls, which the sketch counts like any other
+    spread = F.pmod(F.xxhash64(*spread_by), salts).cast("int")
+    salted = facts.withColumn("_key", F.xxhash64(*on)).join(near, "_key", "left").withColumn("_salt", spread)
+    copies = lookup.withColumn("_key", F.xxhash64(*on)).join(near, "_key", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("_key", "_salts").join(copies.drop("_key", "_salts"), [*on, "_salt"], how).drop("_salt")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardwalk.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS
+from boardwalk.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, SAMPLED
 
 GRAM = 4
 
@@ -34,10 +34,11 @@ def _own_grams(pattern: Column) -> Column:
 
 def _anchored(texts: Column, rows: DataFrame, patterns: DataFrame, by: list[str], sizes: list[int], small: bool) -> DataFrame:
     """Patterns with their anchor: of their runs the one that fewest texts hold, so that candidates
-    are few whatever the list is made of. Only runs of patterns are counted."""
+    are few whatever the list is made of. Runs of patterns are counted in a sample of the texts; what
+    it misses costs candidates, never hits."""
     listed = patterns.withColumn("_gram", F.explode(_own_grams(F.col("pattern"))))
     asked = listed.select("_gram").distinct()
-    held = rows.select(F.explode(_all_grams(texts, sizes)).alias("_gram"))
+    held = rows.sample(SAMPLED, seed=1).select(F.explode(_all_grams(texts, sizes)).alias("_gram"))
     counts = held.join(F.broadcast(asked) if small else asked, "_gram").groupBy("_gram").agg(F.count("*").alias("_held"))
     at = F.struct(F.coalesce("_held", F.lit(0)), -F.length("_gram"), "_gram")
     keys = [*by, "pattern"]
@@ -82,7 +83,8 @@ def literal_hits(
     out = list(dict.fromkeys([*keys, *by, *listed.columns]))
     texts = rows.select(*dict.fromkeys([*keys, *by]), text.alias("_text")).filter(F.col("_text").isNotNull())
     if not sizes:
-        return texts.join(listed, by).select(*out).limit(0) if by else texts.crossJoin(listed.limit(0)).select(*out)
+        kinds = {f.name: f.dataType for f in listed.schema.fields}
+        return texts.select(*[c if c in texts.columns else F.lit(None).cast(kinds[c]).alias(c) for c in out]).limit(0)
     anchors = _anchored(F.col("_text"), texts, listed, by, sizes, small)
     held = F.explode(_all_grams(F.col("_text"), sizes)).alias("_gram")
     found = F.contains("_text", F.col("pattern"))

@@ -10,9 +10,12 @@ from boardwalk.operators import matching as M
 from boardwalk.operators import paging as G
 from boardwalk.operators import titles as T
 from boardwalk.operators.shredding import shred, spread
+from boardwalk.plans import extraction as X
 from boardwalk.plans.run import run_boards, stage_shredded
 from boardwalk.schemas import LOCATION
+from boardwalk.session import stored
 from catalog import derived as D
+from catalog import postings
 from catalog.registry import registry
 
 QUERIES, ORACLE, query = registry()
@@ -210,11 +213,13 @@ def t7_many_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DOC_BOARD = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT)"
-# nine characters from a place of each document: patterns that do occur, many in a single text
+# pieces of benchmark passages, which some documents hold, and patterns that none does
 _CUTS_SQL = f"""
 docs AS (SELECT doc_id, {_DOC_BOARD} AS board_id, coalesce(lang, '') || ' ' || coalesce(text, '') AS body FROM documents),
-cuts AS (SELECT DISTINCT board_id, substr(body, 20 + CAST(doc_id % 50 AS INT), 9) AS pattern FROM docs
-         UNION SELECT DISTINCT board_id, 'Nowhere ' || i FROM docs, range(500) t(i))"""
+ids AS (SELECT DISTINCT board_id FROM docs),
+cuts AS (SELECT DISTINCT board_id, substr(text, CAST(1 + i * 9 AS INT), 9) AS pattern
+         FROM benchmark, range(20) t(i), ids WHERE length(text) > i * 9 AND item_id % 4 = board_id % 4
+         UNION SELECT board_id, 'Nowhere ' || i FROM ids, range(500) t(i))"""
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,11 +229,14 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cuts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf)
-    at = (F.lit(20) + F.col("doc_id") % 50).cast("int")
-    held = docs.select("board_id", F.substr(M.posting_text(), at, F.lit(9)).alias("pattern"))
-    absent = docs.select("board_id").distinct().crossJoin(spark.range(500)).select(
-        "board_id", D.fill("Nowhere {n}", n=F.col("id")).alias("pattern"))
+    ids = _documents(spark, sf).select("board_id").distinct()
+    at = F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")
+    items = D.table(spark, sf, "benchmark").select("text", (F.col("item_id") % 4).alias("q"), at)
+    pieces = items.filter(F.length("text") > F.col("i") * 9).select(
+        "q", F.substr("text", 1 + F.col("i") * 9, F.lit(9)).alias("pattern"))
+    held = ids.withColumn("q", F.col("board_id") % 4).join(pieces, "q").select("board_id", "pattern")
+    absent = ids.select("board_id", F.explode(F.sequence(F.lit(0), F.lit(499))).alias("i")).select(
+        "board_id", D.fill("Nowhere {n}", n=F.col("i")).alias("pattern"))
     return held.unionByName(absent).distinct()
 
 
@@ -279,6 +287,18 @@ def m3_loose_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return M.keyword_hits(postings, keywords, key=["board_id", "id"], strategy="token").select("id", "keyword")
 
 
+# --- pages of boards whose rules are too many to broadcast, one board with half of them ----------------
+
+@query(f"""
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 0 ELSE board_id END AS board_id, url, title, description
+FROM ({postings.ORACLE["x4_custom_postings"]})""")
+def x4_unbounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The way of large rule tables: pages shuffle once, and the board with half of them is split."""
+    pages = D.part_shredded(spark, sf).withColumn("board_id", F.when(F.col("page_id") % 2 == 0, 0).otherwise(F.col("board_id")))
+    found = X.custom_postings(stored(pages), D.part_boards(spark, sf), D.custom_rules(spark), small=False)
+    return found.select(*postings._COLUMNS)
+
+
 # --- a run whose boards have lists of all lengths -------------------------------------------------
 
 _FAR_WORDS = 5_000

@@ -126,3 +126,30 @@ def test_a_history_in_buckets_is_not_moved(spark, tmp_path):
     S.write_matches(later, root, 2)  # a run without buckets is read as before
     assert urls(S.read_history(spark, root).filter("url IS NOT NULL")) == [f"u{k}" for k in range(30, 50)]
     assert urls(S.read_history(spark, root, before=2)) == urls(history)
+
+
+def test_heavy_keys_get_salts_by_their_share(spark):
+    facts = spark.range(40_000).select(
+        "id", F.when(F.col("id") % 2 == 0, F.lit(7)).when(F.col("id") % 8 == 1, F.lit(8)).otherwise(F.col("id") % 5000 + 100).alias("k"))
+    found = {r["_key"]: r["_salts"] for r in skew.heavy_keys(facts, ["k"], 16).collect()}
+    hashes = {r["k"]: r["h"] for r in spark.createDataFrame([(7,), (8,)], "k long").select("k", F.xxhash64("k").alias("h")).collect()}
+    assert set(found) == set(hashes.values())
+    assert 12 <= found[hashes[7]] <= 20 and 2 <= found[hashes[8]] <= 6
+    assert skew.heavy_keys(facts.filter("k >= 100"), ["k"], 16) is None and skew.heavy_keys(facts.limit(0), ["k"], 16) is None
+
+
+def test_the_rows_of_a_heavy_key_are_spread(spark):
+    facts = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 3000).alias("k"))
+    lookup = spark.range(3000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = skew.lookup_join(facts, lookup, ["k"], "left", spread_by=["id"], small=False)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        assert joined.filter("v = 'x'").count() == 40_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8]
