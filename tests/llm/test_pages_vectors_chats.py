@@ -165,7 +165,7 @@ def test_chats_need_no_python(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations", "labels"):
+    for table in ("documents", "conversations", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     expected = con.execute(queries.ORACLE[name]).df()
     got = queries.QUERIES[name](spark, sf).toPandas()
