@@ -73,11 +73,11 @@ def _location_by_index(postings: DataFrame, boards: DataFrame, text: Column, sma
     postings, so these move at most once."""
     patterns = location_patterns(boards).groupBy("board_id", "pattern").agg(
         F.bool_or("excludes").alias("excludes"), F.bool_or(~F.col("excludes")).alias("includes"))
-    keyed = postings.withColumn("_key", F.unhex(F.sha2(text.cast("binary"), 256)))
-    hits = literal_hits(keyed, F.lower(text), patterns, keys=["_key"], by=["board_id"], small=small).groupBy(
-        "board_id", "_key").agg(F.bool_or("includes").alias("_in"), F.bool_or("excludes").alias("_out"))
+    keyed = postings.withColumn("_text_key", F.unhex(F.sha2(text.cast("binary"), 256)))
+    hits = literal_hits(keyed, F.lower(text), patterns, keys=["_text_key"], by=["board_id"], small=small).groupBy(
+        "board_id", "_text_key").agg(F.bool_or("includes").alias("_in"), F.bool_or("excludes").alias("_out"))
     asked = boards.filter(F.size("location_filters.include") > 0).select("board_id", F.lit(True).alias("_asked"))
-    rows = lookup_join(keyed, asked, ["board_id"], "left", spread_by=["_key"], small=small).join(hits, ["board_id", "_key"], "left")
+    rows = lookup_join(keyed, asked, ["board_id"], "left", spread_by=["_text_key"], small=small).join(hits, ["board_id", "_text_key"], "left")
     no = F.lit(False)
     missed = F.coalesce("_asked", no) & ~F.coalesce("_in", no)
     return rows.withColumn("dropped", missed | F.coalesce("_out", no)).select(*postings.columns, "dropped")

@@ -83,13 +83,17 @@ def lookup_join(
     if small:
         return facts.join(F.broadcast(lookup), on, how)
     tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = heavy_keys(facts, on, tasks)
+    heavy = heavy_keys(facts, on, tasks, SAMPLED)
     if heavy is None:
         return facts.join(lookup, on, how)
-    near, salts = F.broadcast(heavy), F.coalesce(F.col("_salts"), F.lit(1))
-    # a missing key has the hash of nulls, which the sketch counts like any other
-    spread = F.pmod(F.xxhash64(*spread_by), salts).cast("int")
-    salted = facts.withColumn("_key", F.xxhash64(*on)).join(near, "_key", "left").withColumn("_salt", spread)
-    copies = lookup.withColumn("_key", F.xxhash64(*on)).join(near, "_key", "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return salted.drop("_key", "_salts").join(copies.drop("_key", "_salts"), [*on, "_salt"], how).drop("_salt")
+    # names of its own, as callers' tables come with all sorts of columns
+    near = F.broadcast(heavy.select(F.col("_key").alias("_heavy_key"), F.col("_salts").alias("_heavy_salts")))
+    salts = F.coalesce(F.col("_heavy_salts"), F.lit(1))
+
+    def marked(table: DataFrame, salt: Column) -> DataFrame:
+        keyed = table.withColumn("_heavy_key", F.xxhash64(*on)).join(near, "_heavy_key", "left")
+        return keyed.withColumn("_salt", salt).drop("_heavy_key", "_heavy_salts")
+
+    salted = marked(facts, F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
+    copies = marked(lookup, F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -109,11 +109,11 @@ def flag_literals(
     """Add ``name``: does the row's text contain any pattern? An empty pattern hits every text. Only
     digests of texts with a hit are brought back to the rows. No text is no hit."""
     by = by or []
-    keyed = rows.withColumn("_key", F.unhex(F.sha2(text.cast("binary"), 256)))
-    hits = literal_hits(keyed, text, patterns.select(*by, "pattern"), keys=["_key"], by=by, small=small)
-    hits = hits.select(*by, "_key").distinct().withColumn("_hit", F.lit(True))
+    keyed = rows.withColumn("_text_key", F.unhex(F.sha2(text.cast("binary"), 256)))
+    hits = literal_hits(keyed, text, patterns.select(*by, "pattern"), keys=["_text_key"], by=by, small=small)
+    hits = hits.select(*by, "_text_key").distinct().withColumn("_hit", F.lit(True))
     empty = patterns.filter("pattern = ''")
-    flagged = keyed.join(hits, [*by, "_key"], "left")
+    flagged = keyed.join(hits, [*by, "_text_key"], "left")
     if by:
         whole = empty.select(*by).distinct().withColumn("_whole", F.lit(True))
         flagged = flagged.join(whole, by, "left")

@@ -147,14 +147,14 @@ def _staged(spark: SparkSession, sf: str, boards: DataFrame) -> DataFrame:
 @query(flows._RUN_SQL + """
 SELECT b.board_id, b.name, count(f.url) AS listings, count(f.url) FILTER (f.dropped) AS dropped,
        count(f.url) FILTER (NOT f.dropped AND f.keywords <> '') AS matched
-FROM boards b LEFT JOIN flagged f ON f.board_id = b.board_id AND b.board_id % 7 NOT IN (2, 3) GROUP BY 1, 2""")
+FROM boards b LEFT JOIN flagged f ON f.board_id = b.board_id AND b.board_id % 7 NOT IN (1, 2) GROUP BY 1, 2""")
 def m6_failing_board(spark: SparkSession, sf: str) -> DataFrame:
     """A run in which some boards fail: they have zeros, and all others what they have without them."""
     b = F.col("board_id")
     boards = D.part_boards(spark, sf)
     shredded = _staged(spark, sf, boards)
     told = failure_rows(boards.filter(b % 7 == 2), "configuration", F.lit("unreadable"), stops=True)
-    boards = boards.withColumn("route", F.when(b % 7 == 3, "nowhere"))
+    boards = boards.withColumn("route", F.when(b % 7 == 1, "nowhere"))
     run = run_boards(shredded, boards, D.custom_rules(spark), D.universal(), failures=told)
     return run.funnel.select("board_id", "name", "listings", "dropped", "matched")
 
@@ -163,13 +163,13 @@ def m6_failing_board(spark: SparkSession, sf: str) -> DataFrame:
 WITH {D.PARTS_SQL}
 SELECT DISTINCT board_id, CASE board_id % 7 WHEN 2 THEN 'configuration' ELSE 'route' END AS step,
        CASE board_id % 7 WHEN 2 THEN 'unreadable' ELSE 'no flow is named nowhere' END AS reason, true AS stops
-FROM parts WHERE board_id % 7 IN (2, 3)""")
+FROM parts WHERE board_id % 7 IN (1, 2)""")
 def m6_run_failures(spark: SparkSession, sf: str) -> DataFrame:
     """The reasons of such a run, one row a board."""
     b = F.col("board_id")
     boards = D.part_boards(spark, sf)
     told = failure_rows(boards.filter(b % 7 == 2), "configuration", F.lit("unreadable"), stops=True)
-    boards = boards.withColumn("route", F.when(b % 7 == 3, "nowhere"))
+    boards = boards.withColumn("route", F.when(b % 7 == 1, "nowhere"))
     shredded = shred(D.part_pages(spark, sf)).withColumn("route", F.lit("default"))
     return run_boards(shredded, boards, D.custom_rules(spark), D.universal(), failures=told, follow_pages=False).failures
 

@@ -3,6 +3,7 @@ import pytest
 import documents as H
 from boardwalk.functions.fixed import rule
 from boardwalk.operators import containers as C
+from boardwalk.operators import skew
 from boardwalk.operators.shredding import shred
 from boardwalk.plans import extraction as X
 from boardwalk.schemas import NAVIGATIONS
@@ -218,7 +219,8 @@ def test_routes(spark):
     assert {r["title"] for r in rows.filter("board_id = 5").collect()} == {"T2", "T3"}
 
 
-def test_unbounded_lookup_gives_the_same_with_one_shuffle(spark):
+def test_unbounded_lookup_gives_the_same_with_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SAMPLED", 1.0)  # so that the only board is seen to be heavy
     config = boards(spark, board(1, has_scraping_config=True, exclude_titles=["diver"]))
     picks = rules(spark, *CUSTOM_RULES)
     near = X.custom_postings(shredded(spark, H.CUSTOM), config, picks, small=True)

@@ -140,6 +140,7 @@ def test_heavy_keys_get_salts_by_their_share(spark):
 
 def test_the_rows_of_a_heavy_key_are_spread(spark):
     facts = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 3000).alias("k"))
+    facts = facts.withColumns({"_key": F.lit("mine"), "_salts": F.lit("too")})
     lookup = spark.range(3000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
     before = {k: spark.conf.get(k) for k in settings}
@@ -148,7 +149,7 @@ def test_the_rows_of_a_heavy_key_are_spread(spark):
     try:
         joined = skew.lookup_join(facts, lookup, ["k"], "left", spread_by=["id"], small=False)
         sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
-        assert joined.filter("v = 'x'").count() == 40_000
+        assert joined.filter("v = 'x' AND _key = 'mine' AND _salts = 'too'").count() == 40_000
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
