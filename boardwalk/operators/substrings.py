@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boardwalk.functions.binding import let
 from boardwalk.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, SAMPLED
 
 GRAM = 4
@@ -22,9 +23,20 @@ def grams(text: Column, size: int) -> Column:
 
 
 def _all_grams(text: Column, sizes: list[int]) -> Column:
-    """Runs of several lengths; they cannot be confused, as their lengths differ."""
-    parts = [grams(text, s) for s in sizes]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    """Runs of several lengths; they cannot be confused, as their lengths differ. The shorter ones are
+    the beginnings of the longest, so a text is gone through once; a filling behind it gives its last
+    characters runs of full length."""
+    longest = max(sizes)
+    if len(sizes) == 1:
+        return grams(text, longest)
+
+    def of_size(runs: Column, size: int) -> Column:
+        return F.array_distinct(F.transform(runs, lambda g: F.substring(g, 1, size)))
+
+    def beginnings(runs: Column) -> Column:
+        return F.concat(runs, *[of_size(runs, s) for s in sizes if s < longest])
+
+    return let(grams(F.concat(text, F.lit("\u0000" * (longest - 1))), longest), beginnings)
 
 
 def _own_grams(pattern: Column) -> Column:
