@@ -12,14 +12,17 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_PLAIN_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_NAMED = re.compile(r"</?[a-zA-Z]")
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{10,}|[xX][0-9a-fA-F]{10,});?")
 _ATTRIBUTE = re.compile(r"(id|class|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -31,6 +34,7 @@ _BLOCK = frozenset("""address article aside blockquote body button caption cente
     p pre search section summary table tbody td tfoot th thead tr ul""".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PROSE = frozenset("p blockquote pre li dd dt td figcaption".split())
+_ONE_AT_A_TIME = frozenset("li dt dd tr td th option".split())
 _SHELL = frozenset("nav footer aside form button menu dialog search fieldset".split())
 _BODY_TAG = frozenset("article main".split())
 _SHELL_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
@@ -51,11 +55,13 @@ _TIE = 1.5
 
 
 class _Element:
-    __slots__ = ("tag", "serial", "depth", "parent", "shell", "body", "link", "content")
+    __slots__ = ("tag", "serial", "depth", "parent", "owner", "shell", "body", "link", "content")
 
     def __init__(self, tag: str, serial: int, parent: _Element | None, attributes: str):
         self.tag, self.serial, self.parent = tag, serial, parent
         self.depth = parent.depth + 1 if parent else 0
+        # the nearest element that makes a block
+        self.owner: _Element = self if parent is None or tag in _BLOCK else parent.owner
         self.shell = parent.shell if parent else False
         self.body = parent.body if parent else False
         self.content = parent.content if parent else False
@@ -98,34 +104,70 @@ class Block:
         self.element = element
 
     def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
+        return " ".join("".join(self.parts).split())
 
 
-def _owner(element: _Element) -> _Element:
-    """The nearest element that makes a block."""
-    while element.parent is not None and element.tag not in _BLOCK:
-        element = element.parent
-    return element
+def _short_reference(found: re.Match[str]) -> str:
+    body = found[0].rstrip(";")[2:]
+    base = "x" if body[0] in "xX" else ""
+    digits = body[len(base):].lstrip("0")
+    # beyond every code point, and beyond what int() takes
+    return "\ufffd" if len(digits) > 7 else html.unescape(f"&#{base}{digits or 0};")
+
+
+def unescaped(chunk: str) -> str:
+    """Character references of one run of text decoded; numbers may have any length."""
+    if "&" not in chunk:
+        return chunk
+    return html.unescape(_LONG_REFERENCE.sub(_short_reference, chunk))
+
+
+def _next_token(page: str, at: int, last: int, quotes: bool) -> tuple[re.Match[str] | None, bool]:
+    """The next tag or comment from ``at`` on, and whether quotation marks still count. ``last`` is the
+    place of the last ``>``: a ``<`` behind it begins no tag. Where a tag finds no end because of its
+    quotation marks, its ``<`` is text, and marks count for nothing from there on. So the search to
+    the end of the page is made once, and the time is linear."""
+    while (at := page.find("<", at)) >= 0:
+        if at < last or page.startswith("<!--", at):
+            token = (_TOKEN if quotes else _PLAIN_TOKEN).match(page, at)
+            if token is not None:
+                return token, quotes
+            quotes = quotes and _NAMED.match(page, at) is None
+        at += 1
+    return None, quotes
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. Broken markup is taken as it comes: an end tag closes what is open
-    inside its element, one without a start tag is ignored, and a paragraph ends where a block starts."""
+    inside its element, one without a start tag is ignored, a paragraph ends where a block starts, and
+    a tag that never ends is text."""
     root = _Element("html", 0, None, "")
     current, serial = root, 0
+    opened: Counter[str] = Counter()  # open elements by tag
     out: list[Block] = []
     block: Block | None = None
     at, size = 0, len(page)
+    last, quotes = page.rfind(">"), True
     lower: str | None = None
+
+    def leave(element: _Element) -> _Element:
+        """Close all that is open inside an open element, and itself."""
+        node = current
+        while True:
+            opened[node.tag] -= 1
+            if node is element:
+                return node.parent
+            node = node.parent
+
     while at < size:
-        token = _TOKEN.search(page, at)
+        token, quotes = _next_token(page, at, last, quotes)
         chunk = page[at:token.start()] if token else page[at:]
         if chunk:
             if block is None and not chunk.isspace():
-                block = Block(_owner(current))
+                block = Block(current.owner)
                 out.append(block)
             if block is not None:
-                block.parts.append(chunk)
+                block.parts.append(unescaped(chunk))
                 block.size += len(chunk)
                 if current.link:
                     block.links += len(chunk)
@@ -137,11 +179,11 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if token[1]:
-            node = current
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None:
-                current = node.parent
+            if opened[tag] > 0:
+                node = current
+                while node.tag != tag:
+                    node = node.parent
+                current = leave(node)
             if tag in _BLOCK:
                 block = None
             continue
@@ -151,11 +193,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _BLOCK:
             block = None
-            node = current
-            while node.parent is not None and node.tag not in _BLOCK:
-                node = node.parent
-            if node.tag == "p" or (node.tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                current = node.parent
+            node = current.owner
+            if node is not root and (node.tag == "p" or (node.tag == tag and tag in _ONE_AT_A_TIME)):
+                current = leave(node)
         if tag in _VOID or token[3].endswith("/"):
             continue
         if tag in _RAW:
@@ -166,6 +206,7 @@ def blocks(page: str) -> list[Block]:
             continue
         serial += 1
         current = _Element(tag, serial, current, token[3])
+        opened[tag] += 1
     return out
 
 

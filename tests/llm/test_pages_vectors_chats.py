@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -35,6 +36,34 @@ def test_broken_and_empty_pages():
     assert html_main.main_text("</div></p><article>x" + "<div>" * 3000 + "deep" + "</div>" * 3000) == "x deep"
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000, "<!" * 400_000, "<div>" * 500 + "</b>" * 200_000, '<a ">" ' * 120_000, "<" + "a" * 800_000,
+    "<i>" * 60_000 + "<p>x</p>" * 60_000, "<p title=it's>word</p>" * 40_000, "<a '" * 200_000 + ">",
+    "<p " + "id='" * 200_000 + ">x</p>", "<!--" * 200_000, "&#" + "9" * 800_000 + ";",
+], ids=["tags", "declarations", "ends", "quoted_ends", "name", "inline", "marks", "open_marks", "attributes", "comments", "number"])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.monotonic()
+    html_main.main_text(page)
+    # what grew with the square took minutes to hours at this length
+    assert time.monotonic() - began < 20
+
+
+def test_tags_without_an_end_are_text():
+    assert html_main.main_text("<article><p>one <b c=\"d>two</b> three</p><p>four</p></article>") == (
+        'one <b c="d>two three four')
+    assert html_main.main_text("<article><p>one</p><p>two <b three") == "one two <b three"
+
+
+def test_references_are_of_one_run_of_text():
+    def text(inner):
+        return html_main.main_text(f"<article><p>{inner}</p></article>")
+
+    assert text("a &am<b>p;</b> b") == "a &amp; b"
+    assert text("a &#" + "0" * 6000 + "65; &#x" + "0" * 20 + "42; b") == "a A B b"
+    assert text("a &#" + "9" * 6000 + "; b") == "a \ufffd b"
+    assert text("a &lt;b&gt; &nbsp; &copy b") == "a <b> \u00a9 b"
+
+
 def test_doubtful_blocks_follow_their_surroundings():
     page = "<article><p>" + "long text. " * 20 + "</p><p>see <a href=x>a link</a></p><p>" + "more text. " * 20 + "</p></article>"
     assert "see a link" in html_main.main_text(page)
