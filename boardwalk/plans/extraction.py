@@ -374,9 +374,10 @@ def route_postings(
     flow by their ``route`` column; a name without a flow is an error.
 
     ``each`` is applied to the postings of every flow where they arise, before any of them is moved
-    (a run judges them there and drops the descriptions). It must keep ``page_id``. With it, what
-    frames give is stored once; if its pages are few enough to be broadcast they are struck out before
-    the default flow reads them, else their postings are removed afterwards.
+    (a run judges them there and drops the descriptions). It must keep ``page_id``. What frames give
+    is stored once; if its pages are few enough to be broadcast they are struck out before the default
+    flow reads them, else their postings are removed afterwards. Several flows read ``shredded``:
+    store it first (``plans.run.stage_shredded``, ``stage_frames``), so that each document is parsed once.
     """
     if "route" in boards.columns:
         flows = [*BUILT_IN_ROUTES, *(extractors or {})]
@@ -398,16 +399,14 @@ def route_postings(
         if "route" not in frames.columns:
             frames = route_pages(frames, boards, small=small)
         inside = finish(frame_postings(frames.filter(F.col("route") == "frame").drop("route")))
-        afterwards = True
-        if each is not None:
-            inside, seen = stored_with(inside, rows=F.count("*"))
-            if seen["rows"] <= BROADCAST_ROWS:
-                done = F.broadcast(inside.select("page_id").distinct())
-                pages["frame"], afterwards = pages["frame"].join(done, "page_id", "left_anti"), False
+        inside, seen = stored_with(inside, rows=F.count("*"))
+        done = inside.select("page_id").distinct()
+        afterwards = seen["rows"] > BROADCAST_ROWS
+        if not afterwards:
+            pages["frame"] = pages["frame"].join(F.broadcast(done), "page_id", "left_anti")
     parts = {name: flow(pages[name]).select(*POSTING_COLUMNS) for name, flow in routes.items()}
     finished = [] if inside is None else [inside]
     if afterwards:
-        done = inside.select("page_id").distinct()
         finished.append(finish(parts.pop("frame")).join(done, "page_id", "left_anti"))
     if navigations is not None and "navigation" not in (extractors or {}):
         if "route" not in navigations.columns:

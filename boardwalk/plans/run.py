@@ -26,6 +26,14 @@ def stage_shredded(pages: DataFrame, boards: DataFrame, path: str) -> DataFrame:
     return pages.sparkSession.read.parquet(path)
 
 
+def stage_frames(frames: DataFrame, boards: DataFrame, path: str) -> DataFrame:
+    """Shred the frames of frame boards once and store them, with their route. Frames of other boards
+    are read by no flow and are not parsed."""
+    routed = route_pages(frames, boards).filter(F.col("route") == "frame")
+    shred(routed).write.mode("overwrite").parquet(path)
+    return frames.sparkSession.read.parquet(path)
+
+
 @dataclass(frozen=True)
 class Run:
     """Tables of one run. ``postings`` has one row per board and URL with its flags. ``pages`` accounts

@@ -10,6 +10,7 @@ from boardwalk.operators import containers as C
 from boardwalk.operators import titles as T
 from boardwalk.operators.shredding import shred, spread
 from boardwalk.plans import extraction as X
+from boardwalk.plans.run import stage_frames, stage_shredded
 from catalog import derived as D
 from catalog.pages import navigation_log, part_frames
 from catalog.registry import registry
@@ -233,9 +234,10 @@ def x7_route_postings(spark: SparkSession, sf: str) -> DataFrame:
         "use_js_navigation": b % 4 == 3,
         "use_iframe": b % 4 != 0,
     })
+    staged = stage_shredded(D.part_pages(spark, sf), boards, D.scratch_folder(spark))
+    frames = stage_frames(spread(part_frames(spark, sf)), boards, D.scratch_folder(spark))
     rows = X.route_postings(
-        D.part_shredded(spark, sf), boards, D.custom_rules(spark),
-        frames=_frames(spark, sf), navigations=navigation_log(spark, sf),
+        staged, boards, D.custom_rules(spark), frames=frames, navigations=navigation_log(spark, sf)
     )
     return rows.select("board_id", "url", "title", "description")
 

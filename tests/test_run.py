@@ -11,6 +11,7 @@ from boardwalk.operators import paging as G
 from boardwalk.operators.shredding import shred
 from boardwalk.plans import extraction as X
 from boardwalk.plans import run as R
+from boardwalk.schemas import FRAMES
 from helpers import HOME, board, boards, frames, pages, rules
 
 NO_HISTORY = "url string"
@@ -144,3 +145,23 @@ def test_a_failing_board_leaves_the_others_as_they_are(spark):
         (4, "route", "flow short: AnalysisException"), (5, "configuration", "unreadable"), (6, "selector", "left out")]
     funnel = {r["board_id"]: r["listings"] for r in run.funnel.collect()}
     assert {k for k, n in funnel.items() if n == 0} == {2, 3, 4, 5} and len(funnel) == 6
+
+
+@pytest.mark.parametrize("bound", [X.BROADCAST_ROWS, 0])
+def test_staged_documents_are_parsed_once(spark, tmp_path, monkeypatch, bound):
+    config = boards(spark, board(1), board(2, use_iframe=True), board(3, use_iframe=True))
+    crawled = pages(spark, H.LISTING, H.LISTING, H.LISTING)
+    inner = spark.createDataFrame(
+        [(page, page, 1, "https://x.example.com/embed/list", H.FRAME) for page in (1, 2)], FRAMES)
+    plain = X.route_postings(shred(crawled), config, rules(spark), frames=shred(inner))
+    expected = sorted(map(str, plain.collect()))
+    monkeypatch.setattr(X, "BROADCAST_ROWS", bound)
+    staged = R.stage_shredded(crawled, config, str(tmp_path / "pages"))
+    framed = R.stage_frames(inner, config, str(tmp_path / "frames"))
+    assert [r["board_id"] for r in framed.collect()] == [2]  # no flow reads frames of other boards
+    rows = X.route_postings(staged, config, rules(spark), frames=framed)
+    assert sorted(map(str, rows.collect())) == expected
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    if bound:  # pages of frame boards are struck out where they lie, before postings arise
+        assert re.search(r"BroadcastHashJoin \[page_id#\d+L\], \[page_id#\d+L\], LeftAnti", plan)
