@@ -6,8 +6,10 @@ candidates are robust-pruned to short adjacency lists. The lists of all blocks a
 block gets the vectors of its members' neighbours elsewhere. Every member of a cluster is then
 searched in all blocks of that cluster: greedy search from the block's medoid (and from the node
 itself where it is a member), then range expansion over everything near enough. Each pair found is
-verified in double precision, so recall is the only thing that is approximate; ``recall`` audits it
-against brute force.
+verified in double precision, so recall is the only thing that is approximate. It is audited within
+the operator: the nodes of all ids divisible by ``AUDITED`` are compared with every node by brute
+force. While too few of their links were found, the graph is built again with twice the overlap, and
+what it finds is added.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ DEGREE = 24
 ALPHA = 1.2
 BEAM = 24
 SLACK = 0.05  # range expansion passes through nodes that are this much too far
-AUDITED = 1_000  # queries of the audit
+AUDITED = 100  # ids divisible by this are the queries of the audit
+AUDIT_BLOCK = 10_000  # audit queries, on average, that travel to the tasks of one job
+TARGET = 0.95  # recall below which the graph is built again
 
 
 def _nodes(vectors: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -258,8 +262,57 @@ def links(nodes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
             .applyInPandas(_search, "id long, found array<long>, root long"))
 
 
+def _near_counts(names: np.ndarray, wanted: np.ndarray):
+    """Per part of the nodes, how many links of all queries together lie in it."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
+        for frame in frames:
+            if not len(frame):
+                continue
+            unit = _unit(np.stack(frame.vector.to_numpy()))
+            for low in range(0, len(names), 512):
+                total += int((unit @ wanted[low:low + 512].T >= COSINE).sum())
+            total -= int(np.isin(names, frame.id.to_numpy()).sum())  # each query and itself
+        yield pd.DataFrame({"n": [total]})
+
+    return run
+
+
+def audit(nodes: DataFrame, members: DataFrame, pairs: DataFrame) -> float:
+    """Recall of ``pairs`` (id, other): the share of the links between different vectors, with one end
+    an audited node, that are among them. Brute force goes over all nodes, in blocks of queries."""
+    queries = members.filter(F.col("vec_id") % AUDITED == 0).select("id").distinct()
+    queries = stored(queries.join(nodes.select("id", "vector"), "id"))
+    blocks = math.ceil(queries.count() / AUDIT_BLOCK)
+    links_of = 0
+    for number in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toPandas()
+        if len(block):
+            count = _near_counts(block.id.to_numpy(), _unit(np.stack(block.vector.to_numpy())))
+            links_of += nodes.select("id", "vector").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
+    if not links_of:
+        return 1.0
+    both = pairs.union(pairs.select("other", "id")).join(queries.select("id"), "id", "left_semi")
+    # at the very limit the two ways to multiply may round apart
+    return min(1.0, both.distinct().count() / links_of)
+
+
+def audited_links(nodes: DataFrame, members: DataFrame, overlap: int) -> tuple[DataFrame, float]:
+    """``links``, with more overlap until the audit is content or every node is in every cluster, and
+    the recall at the end."""
+    most = min(MOST_CLUSTERS, math.ceil(nodes.count() / CLUSTER))
+    found = stored(links(nodes, overlap))
+    while True:
+        recall = audit(nodes, members, found.select("id", F.explode("found").alias("other")))
+        if recall >= TARGET or overlap >= most:
+            return found, recall
+        overlap *= 2
+        found = found.unionByName(stored(links(nodes, overlap)))
+
+
 def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row of ``embeddings``.
+    """``vec_id, n_links, component_id, kept, recall`` of every row of ``embeddings``. ``recall`` is what
+    the audit measured over all vectors of the same length; null for those that link with nothing.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do
     vectors of different lengths link. Equal vectors link. Rows that repeat an id with an equal
@@ -270,7 +323,7 @@ def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     parts = []
     for size in sizes:
         nodes, members = _nodes(ready, size)
-        found = stored(links(nodes, overlap))
+        found, recall = audited_links(nodes, members, overlap)
         pairs = found.select("id", F.explode("found").alias("other"))
         # an edge is a link both ways, whichever end found it
         both = pairs.union(pairs.select("other", "id")).distinct()
@@ -282,43 +335,19 @@ def near_duplicates(embeddings: DataFrame, overlap: int = OVERLAP) -> DataFrame:
             roots.withColumnRenamed("root", "component"), "id", "left")
         parts.append(members.join(own, "id").select(
             "vec_id", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "id").alias("component_id")))
+            F.coalesce("component", "id").alias("component_id"), F.lit(recall).alias("recall")))
     everything = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
     if not parts:
-        out = everything.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id"))
+        out = everything.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+                                F.lit(None).cast("double").alias("recall"))
     else:
         known = parts[0]
         for part in parts[1:]:
             known = known.unionByName(part)
-        known = known.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+        known = known.groupBy("vec_id").agg(
+            F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"), F.min("recall").alias("recall"))
         out = everything.join(known, "vec_id", "left").select(
             "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-
-
-def recall(embeddings: DataFrame, judged: DataFrame, queries: int = AUDITED) -> float:
-    """Share of the links of audited queries that were found, by their number of links against brute
-    force over all vectors. Queries are up to ``queries`` ids divisible by 100, chosen by hash; they
-    are compared with all rows, block by block."""
-    ready = comparable(embeddings).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    asked = ready.filter(F.col("vec_id") % 100 == 0).orderBy(F.xxhash64("vec_id")).limit(queries).toPandas()
-    if not len(asked):
-        return 1.0
-    names = asked.vec_id.to_numpy()
-    wanted = [np.asarray(v) for v in asked.embedding]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(len(names), np.int64)
-        for frame in frames:
-            for size in {len(w) for w in wanted}:
-                rows = frame[frame.embedding.map(len) == size]
-                which = np.array([k for k, w in enumerate(wanted) if len(w) == size])
-                if len(rows):
-                    near = _unit(np.stack(rows.embedding.to_numpy())) @ _unit(np.stack([wanted[k] for k in which])).T
-                    counts[which] += ((near >= COSINE) & (rows.vec_id.to_numpy()[:, None] != names[which][None, :])).sum(axis=0)
-        yield pd.DataFrame({"vec_id": names, "n": counts})
-
-    truth = ready.mapInPandas(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    both = truth.join(judged.dropDuplicates(["vec_id"]), "vec_id").agg(F.sum("n").alias("all"), F.sum("n_links").alias("found")).first()
-    return 1.0 if not both["all"] else both["found"] / both["all"]
+            F.coalesce("component_id", "vec_id").alias("component_id"), "recall")
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return out.select("vec_id", "n_links", "component_id", kept, "recall")
