@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardwalk.session import tune
+
 _RANDOM = np.random.default_rng(20240229)
 _TABLE = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C55
@@ -125,8 +127,8 @@ def windows(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of an input table, whatever else it holds."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    """The named columns of an input table, whatever else it holds, in a session with bounded Arrow batches."""
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def narrow(df: DataFrame, *columns: str) -> DataFrame:
