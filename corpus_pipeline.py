@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, quality rules, line dedup, near-duplicates, packing.
 
 Each stage takes what its predecessor kept and returns the columns of ``documents``; the last packs
-what is left. ``run`` writes every stage as Parquet in the shared folder and reads it again, so a
+what is left. Line dedup comes before near-dedup, so a copy may lose all its lines there: documents
+that lost lines and are left with fewer words than the base rules ask for go with them. A document
+that lost none stays, whatever its length. ``run`` writes every stage as Parquet in the shared folder and reads it again, so a
 lost executor costs no finished stage.
 """
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from boardwalk.llm import line_dedup, near_dup, packing, quality, toxicity
 from boardwalk.llm.common import table
-from boardwalk.session import stored
+from boardwalk.session import stored, tune
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeats(docs)
+    return line_dedup.without_repeats(docs, least_words=quality.MIN_WORDS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
