@@ -91,15 +91,21 @@ def op13_orchard_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHATS_SQL = """
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-whole AS (SELECT conv_id, list({'t': turn, 'r': role, 'x': text} ORDER BY turn, role, text) AS all_turns
-          FROM turns GROUP BY conv_id),
-prefixes AS (SELECT DISTINCT all_turns[1:k] AS p
-             FROM (SELECT all_turns, unnest(range(1, len(all_turns))) AS k FROM whole)),
-apart AS (SELECT all_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY all_turns)
+places AS (SELECT conv_id, turn, list({'r': role, 'x': text} ORDER BY role NULLS FIRST, text NULLS FIRST) AS said
+           FROM turns GROUP BY conv_id, turn),
+whole AS (SELECT conv_id, list({'t': turn, 's': said} ORDER BY turn NULLS FIRST) AS all_places
+          FROM places GROUP BY conv_id),
+prefixes AS (SELECT DISTINCT all_places[1:k] AS p
+             FROM (SELECT all_places, unnest(range(1, len(all_places))) AS k FROM whole)),
+apart AS (SELECT all_places, CASE WHEN count(conv_id) = count(*) THEN min(conv_id) END AS conv_id,
+                 count(*) AS n_copies
+          FROM whole GROUP BY all_places),
+kept AS (SELECT conv_id, n_copies, flatten(list_transform(all_places, lambda y: y.s)) AS all_turns
+         FROM apart ANTI JOIN prefixes ON all_places = p)
 SELECT conv_id, CAST(len(all_turns) AS BIGINT) AS n_turns, n_copies,
-       array_to_string(list_transform(all_turns, lambda y: '<|' || y.r || '|>' || chr(10) || y.x || '<|end|>'),
-                       chr(10)) AS text
-FROM apart LEFT JOIN prefixes ON all_turns = p WHERE p IS NULL
+       array_to_string(list_transform(all_turns, lambda y: '<|' || coalesce(y.r, 'unknown') || '|>' || chr(10)
+                                                           || coalesce(y.x, '') || '<|end|>'), chr(10)) AS text
+FROM kept
 """
 
 _AUDIT_SQL = r"""

@@ -220,6 +220,24 @@ def test_maximal_conversations(spark):
     assert chat_format.format_chats(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_chats_with_ties_and_nulls_equal_their_sql(spark):
+    draw = random.Random(8)
+    logs = {1: [(0, "a", "x"), (1, "b", "y")], 2: [(0, "a", "x"), (1, "b", "y"), (1, "c", "z")],
+            3: [(0, "a", "x"), (1, "b", "y"), (2, "c", "z")], 4: [(1, "a", "x"), (2, "b", "y")]}
+    for name in [None, *range(10, 200)]:
+        base = [(draw.choice([None, 0, 0, 1, 1, 2, 3]), draw.choice([None, "", "a"]), draw.choice([None, "", "x"]))
+                for _ in range(draw.randint(1, 4))]
+        logs[name] = base
+    frame = spark.createDataFrame([(i, *t) for i, turns in logs.items() for t in turns], TURNS)
+    con = duckdb.connect()
+    con.register("conversations", frame.toArrow())
+    expected = con.execute(queries._CHATS_SQL).fetchall()
+    got = chat_format.format_chats(frame).select("conv_id", "n_turns", "n_copies", "text").collect()
+    assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in got)
+    # two turns with one number are one place: neither is a prefix without the other
+    assert {2, 3} <= {r.conv_id for r in got} and not {1} & {r.conv_id for r in got}
+
+
 def test_chats_need_no_python(spark, sf):
     plan = queries.op10_chat_formatting(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
