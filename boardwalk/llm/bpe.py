@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,7 @@ from pyspark.sql import DataFrame
 
 from boardwalk.llm.common import narrow
 
-_PLACE = 40  # bits of a key that hold the place
-_NONE = 1 << 120
+_RANKS = 1 << 24  # ranks are below
 CACHED = 300_000  # entries a task remembers, about 200 bytes each
 
 
@@ -29,7 +29,10 @@ CACHED = 300_000  # entries a task remembers, about 200 bytes each
 def load_ranks(path: str) -> dict[bytes, int]:
     """Bytes to rank from a file of base64 strings and numbers."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    if max(ranks.values(), default=0) >= _RANKS:
+        raise ValueError(f"ranks must be below {_RANKS}")
+    return ranks
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -40,50 +43,42 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     size = len(piece)
     if size < 2:
         return [ranks[piece]] if size else []
-    leaves = 1 << (size - 1).bit_length()
-    tree = [_NONE] * (2 * leaves)
-    get = ranks.get
+    # a leaf for each pair; a key is rank * leaves + place, small enough to be one machine word
+    leaves = 1 << (size - 2).bit_length()
+    get, none = ranks.get, _RANKS * leaves
+    tree = [none] * (2 * leaves)
     for i in range(size - 1):
-        rank = get(piece[i:i + 2])
-        if rank is not None:
-            tree[leaves + i] = rank << _PLACE | i
+        tree[leaves + i] = get(piece[i:i + 2], _RANKS) * leaves + i
     for node in range(leaves - 1, 0, -1):
-        a, b = tree[2 * node], tree[2 * node + 1]
+        a, b = tree[node + node], tree[node + node + 1]
         tree[node] = a if a < b else b
     following = list(range(1, size + 1))  # start of the next live part; size at the end
     before = list(range(-1, size - 1))
-    mask = (1 << _PLACE) - 1
 
     def update(at: int, value: int) -> None:
         node = leaves + at
-        tree[node] = value
-        while node > 1:
+        while tree[node] != value:
+            tree[node] = value
+            if node == 1:
+                return
             other = tree[node ^ 1]
             if other < value:
                 value = other
             node >>= 1
-            if tree[node] == value:
-                return
-            tree[node] = value
 
-    def pair(at: int) -> int:
-        middle = following[at]
-        if middle >= size:
-            return _NONE
-        rank = get(piece[at:following[middle]])
-        return _NONE if rank is None else rank << _PLACE | at
-
-    while tree[1] != _NONE:
-        at = tree[1] & mask
+    while (least := tree[1]) < none:
+        at = least & (leaves - 1)
         gone = following[at]
         after = following[at] = following[gone]
         if after < size:
             before[after] = at
-        if tree[leaves + gone] != _NONE:
-            update(gone, _NONE)
-        update(at, pair(at))
-        if before[at] >= 0:
-            update(before[at], pair(before[at]))
+            update(gone, none)
+            update(at, get(piece[at:following[after]], _RANKS) * leaves + at)
+        else:
+            update(at, none)
+        left = before[at]
+        if left >= 0:
+            update(left, get(piece[left:after], _RANKS) * leaves + left)
     out, at = [], 0
     while at < size:
         out.append(ranks[piece[at:following[at]]])
@@ -91,6 +86,11 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Memo(dict):
     """Piece to its ids as bytes, computed when missing. Bounded: when half is full, the older half
     goes and its entries in use come back from there."""
@@ -117,7 +117,7 @@ class Codec:
         ranks = self.ranks = load_ranks(path)
         self.find = regex.compile(pattern).findall
         self.vocabulary = {rank: content for content, rank in ranks.items()}
-        self.memo = Memo(lambda piece: np.array(encode_piece(piece.encode(), ranks), "<u4").tobytes())
+        self.memo = Memo(lambda piece: as_bytes(encode_piece(piece.encode(), ranks)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
