@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from boardwalk.llm.bpe import CACHED, Memo
+from boardwalk.llm.bpe import CACHED, Memo, as_bytes
 from boardwalk.session import stored
 
 CAPACITY = 2048
@@ -56,21 +56,25 @@ class WordIds:
     the ids of a text are those of its words, so each word is encoded once.
 
     Words of the first 256 code points go straight to the tokenizer's model: there its normalizer
-    only lowers letters. All others, and those with a special token, go through the tokenizer.
+    only lowers letters. All others, and those with a special token, go through the tokenizer. A word
+    of ASCII letters is one part of its own letters.
     """
 
     def __init__(self, path: str, limit: int = CACHED):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters_special = any(t.isalpha() for t in self.special)
         self.memo = Memo(self._one, limit)
 
     def _one(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and not self.letters_special:
+            return as_bytes([t.id for t in self.model.tokenize(word.lower())])
         if max(word, default="a") < "\u0100" and not any(t in word for t in self.special):
             ids = [t.id for part in _split(word.lower()) for t in self.model.tokenize(part)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return as_bytes(ids)
 
     def __call__(self, text: str) -> bytes:
         words = text.split(" ") if _NOT_SPACE.search(text) else text.split()
