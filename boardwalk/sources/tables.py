@@ -54,6 +54,20 @@ def parse_configs(texts: DataFrame) -> DataFrame:
     )
 
 
+_CONFIGS = "doc_id long, value string"
+
+
+def write_configs(texts: DataFrame, path: str) -> None:
+    """Store many configuration documents (doc_id, value), one a line: the number of files follows the
+    partitions, not the documents."""
+    texts.select("doc_id", "value").write.json(path)
+
+
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that ``write_configs`` stored, parsed as by ``parse_configs``, with their doc_id."""
+    return parse_configs(spark.read.schema(_CONFIGS).json(path))
+
+
 def read_boards(spark: SparkSession, path: str) -> DataFrame:
     """One row per board of a configuration file; a missing or blank file has no boards."""
     try:
@@ -122,16 +136,17 @@ def _selectors(configs: DataFrame) -> DataFrame:
         F.from_json("c.scraping_config", _SELECTORS).alias("s"),
     )
 
-    def listed(rule_set: str, field: str) -> DataFrame:
+    def listed(rule_set: str, field: str) -> Column:
         value = F.col(f"s.{field}")
         several = value if field.endswith("_selectors") else F.when(value.isNotNull(), F.array(value))
-        return boards.select(
-            *keys, F.lit(rule_set).alias("rule_set"), "board_id", "name", F.posexplode(several).alias("rank", "listed"))
-
-    rows = listed("container", "container_selectors")
-    for rule_set in ("link", "title", "description"):
-        rows = rows.unionByName(listed(rule_set, f"{rule_set}_selector"))
-    rows = rows.unionByName(listed("pagination", "pagination_selectors"))
+        return F.struct(F.lit(rule_set).alias("rule_set"), several.alias("several"))
+
+    # all rule sets of a board at once, so that documents are read and parsed once
+    sets = [listed("container", "container_selectors")]
+    sets += [listed(rule_set, f"{rule_set}_selector") for rule_set in ("link", "title", "description")]
+    sets.append(listed("pagination", "pagination_selectors"))
+    rows = boards.select(*keys, "board_id", "name", F.explode(F.array(*sets)).alias("_set")).select(
+        *keys, F.col("_set.rule_set").alias("rule_set"), "board_id", "name", F.posexplode("_set.several").alias("rank", "listed"))
     # commas within brackets do not part alternatives
     one = F.explode(F.split("listed", r",(?![^\[(]*[\])])")).alias("one")
     rows = rows.select(*keys, "rule_set", "board_id", "name", "rank", one).withColumn("one", F.trim("one"))

@@ -178,3 +178,19 @@ def test_boards_with_settings_of_a_wrong_kind(spark):
     configs = S.parse_configs(spark.createDataFrame([(json.dumps(config),)], "value string"))
     assert sorted((r["board_id"], r["reason"]) for r in S.configuration_failures(configs).collect()) == [
         (0, "location_filters is not an object"), (1, "scraping_config is not an object")]
+
+
+def test_many_configurations_take_few_files(spark, tmp_path):
+    """Files follow the partitions, not the documents; texts with line breaks and blank ones as ever."""
+    one = F.concat(F.lit('{"companies":\n [{"name": "c'), F.col("id").cast("string"), F.lit('"}]}'))
+    texts = spark.range(0, 300, 1, 2).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, one).otherwise(" ").alias("value"))
+    S.write_configs(texts, str(tmp_path / "c"))
+    assert len(list((tmp_path / "c").rglob("part-*"))) == 2
+    got = S.boards_from_configs(S.read_configs(spark, str(tmp_path / "c"))).select("doc_id", "name").collect()
+    assert {(r[0], r[1]) for r in got} == {(i, f"c{i}") for i in range(300) if i % 3}
+
+
+def test_selectors_are_read_in_one_scan(spark):
+    configs = S.parse_configs(spark.createDataFrame([("{}",)], "value string"))
+    plan = S.selector_failures(configs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
