@@ -1,74 +1,88 @@
-"""Literal substrings from long lists: an index of short runs of characters instead of a scan.
+"""Literal substrings from long lists: an index of short runs of bytes instead of a scan.
 
-Every pattern is known by one run of up to ``GRAM`` of its characters, its anchor. A text that holds
-the pattern holds the anchor, so an equality join of the texts' runs with the anchors finds all
-candidates, and a substring test keeps the right ones. The cost of a text follows its length and the
-patterns it nearly holds, not the length of the list.
+Every pattern is known by one run of up to ``runs.RUN`` of its bytes in UTF-8, its anchor. A text that
+holds the pattern holds the anchor, so an equality join of the texts' runs with the anchors finds all
+candidates, and a substring test keeps the right ones. Runs that are no anchor are left out where the
+texts lie, by a set of fixed size, so few runs become rows. The cost of a text follows its length and
+the patterns it nearly holds, not the length of the list.
 """
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from boardwalk.functions.binding import let
+from boardwalk.functions import runs as R
 from boardwalk.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, SAMPLED
+from boardwalk.session import stored, tune
 
-GRAM = 4
+# executors get the helper with the job and need no installed package
+cloudpickle.register_pickle_by_value(R)
 
+# size of a set of runs as a power of two: bits for each run, up to 8 MB in all
+LEAST_BITS, MOST_BITS, BITS_PER_RUN = 16, 26, 64
+_GRAMS = T.StructField("_grams", T.ArrayType(T.LongType()))
 
-def grams(text: Column, size: int) -> Column:
-    """The different runs of ``size`` characters of a text, in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
+def _with_grams(table: DataFrame, run) -> DataFrame:
+    """The table through a Python stage that adds lists of runs; Arrow batches are bounded."""
+    tune(table.sparkSession)
+    return table.mapInArrow(run, T.StructType([*table.schema.fields, _GRAMS]))
 
-def _all_grams(text: Column, sizes: list[int]) -> Column:
-    """Runs of several lengths; they cannot be confused, as their lengths differ. The shorter ones are
-    the beginnings of the longest, so a text is gone through once; a filling behind it gives its last
-    characters runs of full length."""
-    longest = max(sizes)
-    if len(sizes) == 1:
-        return grams(text, longest)
 
-    def of_size(runs: Column, size: int) -> Column:
-        return F.array_distinct(F.transform(runs, lambda g: F.substring(g, 1, size)))
+def _run_set(grams: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """A set of the runs in ``_grams``, of which there are ``count``, and its size as a power of two.
+    What comes to the driver is the set, not the runs."""
+    bits = min(max((BITS_PER_RUN * max(count, 1)).bit_length(), LEAST_BITS), MOST_BITS)
+    rows = (grams.select("_grams").mapInArrow(lambda batches: R.set_words(batches, bits), "word long, held long")
+            .groupBy("word").agg(F.bit_or("held").alias("held")).toPandas())
+    words = np.zeros(1 << bits >> 6, np.uint64)
+    words[rows["word"].to_numpy()] = rows["held"].to_numpy(np.int64).view(np.uint64)
+    return words, bits
 
-    def beginnings(runs: Column) -> Column:
-        return F.concat(runs, *[of_size(runs, s) for s in sizes if s < longest])
 
-    return let(grams(F.concat(text, F.lit("\u0000" * (longest - 1))), longest), beginnings)
+def _held(texts: DataFrame, run_set: tuple[np.ndarray, int], sizes: list[int]) -> DataFrame:
+    """Texts (``_text``) that hold runs of the set, with these in ``_grams``."""
+    words, bits = run_set
+    return _with_grams(texts, lambda batches: R.held_runs(batches, "_text", words, bits, sizes))
 
 
-def _own_grams(pattern: Column) -> Column:
-    """Runs a pattern may be known by; a short pattern is its own run."""
-    return F.when(F.length(pattern) <= GRAM, F.array(pattern)).otherwise(grams(pattern, GRAM))
+def _unbroadcast(table: DataFrame, small: bool) -> DataFrame:
+    """Sizes the planner guesses for tables that were exploded are too small by far; only what was
+    measured is broadcast."""
+    return table if small else table.hint("merge")
 
 
-def _anchored(texts: Column, rows: DataFrame, patterns: DataFrame, by: list[str], sizes: list[int], small: bool) -> DataFrame:
-    """Patterns with their anchor: of their runs the one that fewest texts hold, so that candidates
-    are few whatever the list is made of. Runs of patterns are counted in a sample of the texts; what
-    it misses costs candidates, never hits."""
-    listed = patterns.withColumn("_gram", F.explode(_own_grams(F.col("pattern"))))
-    asked = listed.select("_gram").distinct()
-    held = rows.sample(SAMPLED, seed=1).select(F.explode(_all_grams(texts, sizes)).alias("_gram"))
-    counts = held.join(F.broadcast(asked) if small else asked, "_gram").groupBy("_gram").agg(F.count("*").alias("_held"))
-    at = F.struct(F.coalesce("_held", F.lit(0)), -F.length("_gram"), "_gram")
+def _anchored(texts: DataFrame, patterns: DataFrame, by: list[str], sizes: list[int], count: int, small: bool) -> DataFrame:
+    """Patterns with their anchor: of their runs the one that fewest texts hold, and of these the one
+    that fewest patterns share, so that candidates are few whatever the list is made of. Runs of
+    patterns are counted in a sample of the texts; what it misses costs candidates, never hits."""
+    own = stored(_with_grams(patterns, lambda batches: R.own_runs(batches, "pattern")))
+    listed = own.withColumn("_gram", F.explode("_grams")).drop("_grams")
+    sampled = _held(texts.select("_text").sample(SAMPLED, seed=1), _run_set(own, count), sizes)
+    seen = sampled.select(F.explode("_grams").alias("_gram"), F.lit(1).alias("held"), F.lit(0).alias("shared")).unionByName(
+        listed.select("_gram", F.lit(0).alias("held"), F.lit(1).alias("shared")))
+    counts = seen.groupBy("_gram").agg(F.sum("held").alias("_held"), F.sum("shared").alias("_shared")).filter("_shared > 0")
     keys = [*by, "pattern"]
     carried = [c for c in patterns.columns if c not in keys]
-    return (listed.join(counts, "_gram", "left").groupBy(*keys)
-            .agg(F.min_by("_gram", at).alias("_gram"), *[F.first(c).alias(c) for c in carried]))
+    return (listed.join(_unbroadcast(counts, small), "_gram").groupBy(*keys)
+            .agg(F.min_by("_gram", F.struct("_held", "_shared", "_gram")).alias("_gram"), *[F.first(c).alias(c) for c in carried]))
 
 
-def _measured(patterns: DataFrame) -> tuple[list[int], bool]:
-    """Lengths of runs the patterns need, and whether a table of them may be broadcast."""
-    size = F.least(F.length("pattern"), F.lit(GRAM))
+def _measured(patterns: DataFrame) -> tuple[list[int], int, int, bool]:
+    """Lengths of runs the patterns need, how many patterns and runs there are, and whether a table of
+    them may be broadcast."""
+    size = F.least(F.octet_length("pattern"), F.lit(R.RUN))
     row_bytes = F.octet_length("pattern") * 2 + F.lit(32)
     shape = patterns.agg(
-        F.sort_array(F.collect_set(size)).alias("sizes"), F.sum(F.length("pattern")).alias("runs"),
+        F.sort_array(F.collect_set(size)).alias("sizes"), F.count("*").alias("rows"), F.sum(F.octet_length("pattern")).alias("runs"),
         F.sum(row_bytes * F.length("pattern")).alias("bytes"),
     ).first()
     fits = (shape["runs"] or 0) <= BROADCAST_ROWS and (shape["bytes"] or 0) <= BROADCAST_BYTES
-    return list(shape["sizes"]), fits
+    return list(shape["sizes"]), shape["rows"], shape["runs"] or 0, fits
 
 
 def literal_hits(
@@ -90,23 +104,24 @@ def literal_hits(
     """
     by = by or []
     listed = patterns.filter(F.col("pattern") != "").dropDuplicates([*by, "pattern"])
-    sizes, fits = _measured(listed)
+    sizes, count, runs, fits = _measured(listed)
     small = fits if small is None else small
     out = list(dict.fromkeys([*keys, *by, *listed.columns]))
     texts = rows.select(*dict.fromkeys([*keys, *by]), text.alias("_text")).filter(F.col("_text").isNotNull())
     if not sizes:
         kinds = {f.name: f.dataType for f in listed.schema.fields}
         return texts.select(*[c if c in texts.columns else F.lit(None).cast(kinds[c]).alias(c) for c in out]).limit(0)
-    anchors = _anchored(F.col("_text"), texts, listed, by, sizes, small)
-    held = F.explode(_all_grams(F.col("_text"), sizes)).alias("_gram")
+    anchors = stored(_anchored(texts, listed, by, sizes, runs, small))
+    run_set = _run_set(anchors.select(F.array("_gram").alias("_grams")), count)
     found = F.contains("_text", F.col("pattern"))
     if small:
-        near = F.broadcast(anchors)
-        return texts.select("*", held).join(near, [*by, "_gram"]).filter(found).select(*out)
+        near = _held(texts, run_set, sizes).withColumn("_gram", F.explode("_grams")).drop("_grams")
+        return near.join(F.broadcast(anchors), [*by, "_gram"]).filter(found).select(*out)
     texts = texts.withColumn("_digest", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)))
-    runs = texts.select(*by, "_digest", held)
-    likely = runs.join(anchors, [*by, "_gram"]).drop("_gram").distinct()
-    return texts.join(likely, [*by, "_digest"]).filter(found).select(*out)
+    held = _held(texts.select(*by, "_digest", "_text"), run_set, sizes)
+    likely = held.select(*by, "_digest", F.explode("_grams").alias("_gram")).join(
+        _unbroadcast(anchors, small), [*by, "_gram"]).drop("_gram").distinct()
+    return texts.join(_unbroadcast(likely, small), [*by, "_digest"]).filter(found).select(*out)
 
 
 def flag_literals(

@@ -96,3 +96,26 @@ def test_many_loose_keywords_match_the_scan(spark):
     found = [sorted(map(tuple, M.keyword_hits(jobs, keywords, strategy=s, small=b).collect()))
              for s, b in (("scan", True), ("token", True), ("token", False))]
     assert found[0] == found[1] == found[2] and len(found[0]) > 8
+
+
+def test_candidates_do_not_grow_with_patterns_that_share_short_runs(spark):
+    """Numbers of many digits share their runs of four; a text has two runs of eight digits and so two candidates at most."""
+    n = F.lpad(F.col("id").cast("string"), 9, "0")
+    patterns = spark.range(0, 4000, 2).select(F.concat(F.lit("customer#"), n).alias("pattern"))
+    texts = spark.range(4000).select("id", F.concat(F.lit("order 12 customer#"), n).alias("body"))
+    hits = S.literal_hits(texts, F.col("body"), patterns, keys=["id"], small=False)
+    assert hits.count() == 2000
+    sizes, count, runs, _ = S._measured(patterns)
+    body = texts.select(F.col("body").alias("_text"))
+    anchors = S._anchored(body, patterns, [], sizes, runs, False).select("_gram")
+    held = S._held(body, S._run_set(anchors.select(F.array("_gram").alias("_grams")), count), sizes)
+    candidates = held.select(F.explode("_grams").alias("_gram")).join(anchors, "_gram").count()
+    assert 2000 <= candidates <= 2 * 4000
+
+
+def test_what_was_not_measured_small_is_not_broadcast(spark):
+    texts = spark.createDataFrame([(1, "abcdefghij")], "id long, body string")
+    patterns = spark.createDataFrame([("cdefghijk",), ("bcdefghi",)], "pattern string")
+    hits = S.literal_hits(texts, F.col("body"), patterns, keys=["id"], small=False)
+    assert "BroadcastExchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in hits.collect()] == [(1, "bcdefghi")]
