@@ -103,13 +103,19 @@ def run_boards(
     if universal is None:
         listed = "universal_keywords" in boards.columns
         universal = F.col("universal_keywords") if listed else F.array().cast("array<string>")
-    few = M.longest_list(universal) <= M.SCAN_KEYWORDS
-    near, far = boards.filter(few), boards.filter(~few)
+    # stored with the lengths of their lists: a filter on an expression goes down into the caller's plan,
+    # and would build the lists of a board for every row the boards are made of, at every use
+    sized = stored(boards.withColumn("_longest", M.longest_list(universal)))
+    boards, few = sized.drop("_longest"), F.col("_longest") <= M.SCAN_KEYWORDS
+    near, far = sized.filter(few).drop("_longest"), sized.filter(~few).drop("_longest")
     # what is broadcast of a board: its settings, and its lists if these are short
     settings = boards.drop("keywords", "location_filters", "universal_keywords")
     taken = row_bytes(settings) + F.when(few, row_bytes(boards.select("keywords", "location_filters"))).otherwise(0)
-    shape = boards.agg(F.count("*").alias("rows"), F.sum(taken).alias("bytes"), F.count_if(~few).alias("far")).first()
+    shape = sized.agg(F.count("*").alias("rows"), F.sum(taken).alias("bytes"), F.count_if(~few).alias("far")).first()
     some_far = shape["far"] > 0
+    if some_far:
+        # few boards may have millions of keywords: these are made in as many tasks as a shuffle has
+        far = stored(far.repartition(int(far.sparkSession.conf.get("spark.sql.shuffle.partitions")), "board_id"))
     small = shape["rows"] <= BROADCAST_ROWS and (shape["bytes"] or 0) <= BROADCAST_BYTES and fits_broadcast(rules)
 
     def judge(rows: DataFrame) -> DataFrame:

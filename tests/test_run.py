@@ -12,7 +12,7 @@ from boardwalk.operators.shredding import shred
 from boardwalk.plans import extraction as X
 from boardwalk.plans import run as R
 from boardwalk.schemas import FRAMES
-from helpers import HOME, board, boards, frames, pages, rules
+from helpers import HOME, board, boards, frames, pages, rules, shredded
 
 NO_HISTORY = "url string"
 
@@ -165,3 +165,21 @@ def test_staged_documents_are_parsed_once(spark, tmp_path, monkeypatch, bound):
     assert "MapInArrow" not in plan
     if bound:  # pages of frame boards are struck out where they lie, before postings arise
         assert re.search(r"BroadcastHashJoin \[page_id#\d+L\], \[page_id#\d+L\], LeftAnti", plan)
+
+
+def test_lists_of_boards_are_built_once(spark, monkeypatch):
+    """The length of a board's lists decides how it is judged; it is not worked out again at each use."""
+    from boardwalk.plans import run as P
+
+    seen = []
+
+    def watched(rows, near, *args, **kinds):
+        seen.append(near._jdf.queryExecution().optimizedPlan().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(P.M, "match_in_place", watched)
+    own = boards(spark, board(1, keywords=["a", "b"])).distinct()
+    with pytest.raises(StopIteration):
+        P.run_boards(shredded(spark, "<p>x</p>").withColumn("route", F.lit("default")), own, rules(spark), follow_pages=False,
+                     universal=F.array(F.lit("red")))
+    assert seen and all("array_distinct" not in plan and "Aggregate" not in plan for plan in seen)
