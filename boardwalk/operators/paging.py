@@ -11,7 +11,7 @@ from boardwalk.functions.binding import built_once, let
 from boardwalk.functions.fixed import MAX_PAGES, NEXT_PAGE_RULES, NEXT_PAGE_WORDS
 from boardwalk.functions.text import contains_any
 from boardwalk.operators import containers as C
-from boardwalk.session import stored_with
+from boardwalk.session import stored, stored_with
 
 
 def _next_url(nodes: Column, texts: Column, base_url: Column, found: Column) -> Column:
@@ -98,8 +98,7 @@ def _addresses(pages: DataFrame) -> DataFrame:
     )
 
 
-# what a round stores: jumps have an origin, visits a page_no
-_ROW = ("board_id", "max_pages", "origin", "address", "page_no")
+# a round stores (max_pages, origin, node, page_no): jumps have an origin, visits a page_no
 
 
 def _jumps(rows: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def page_chain(boards: DataFrame, pages: DataFrame, edges: DataFrame) -> DataFra
     for each address the one 2**k pages on; one join with these jumps gives the next visits and, jump
     after jump, the jumps of twice the length. So 150 pages take eight rounds. Jumps that lead out of
     a chain or past its limit are dropped, which leaves fewer each round; a round without any, or
-    without a new visit, is the last. Each round is stored, so plans stay small and a lost executor
+    without a new visit, is the last. Rounds move the numbers of addresses, not the addresses. Each round is stored, so plans stay small and a lost executor
     costs no finished round.
     """
     places = _addresses(pages)
@@ -130,18 +129,18 @@ def page_chain(boards: DataFrame, pages: DataFrame, edges: DataFrame) -> DataFra
         "board_id", F.col("job_board_url").alias("address"),
         F.coalesce("max_pages", F.lit(MAX_PAGES)).alias("max_pages"),
     ).filter((F.coalesce("address", F.lit("")) != "") & (F.col("max_pages") >= 1))
-    following = (
-        places.join(edges.select("page_id", "next_url"), "page_id")
-        .groupBy("board_id", "address").agg(F.min_by("next_url", "page_id").alias("next_url"))
-    )
+    led = places.join(edges.select("page_id", "next_url"), "page_id", "left")
+    # the earliest snapshot that has a next page; stored, so a number stays that of its address
+    nodes = stored(led.groupBy("board_id", "address").agg(
+        F.min_by("next_url", F.when(F.col("next_url").isNotNull(), F.col("page_id"))).alias("next_url")
+    ).withColumn("node", F.monotonically_increasing_id()))
+    known_at = nodes.select("board_id", "address", "node")
     none = F.lit(None)
-    jumps = following.join(starts.select("board_id", "max_pages"), "board_id").filter("max_pages > 1").select(
-        "board_id", "max_pages", F.col("address").alias("origin"), F.col("next_url").alias("address"),
-        none.cast("int").alias("page_no"),
-    )
-    first = starts.select(
-        "board_id", "max_pages", none.cast("string").alias("origin"), "address", F.lit(1).alias("page_no")
-    )
+    origins = nodes.select("board_id", F.col("next_url").alias("address"), F.col("node").alias("origin")).filter("address IS NOT NULL")
+    jumps = origins.join(starts.select("board_id", "max_pages"), "board_id").filter("max_pages > 1").join(
+        known_at, ["board_id", "address"]).select("max_pages", "origin", "node", none.cast("int").alias("page_no"))
+    first = starts.join(known_at, ["board_id", "address"]).select(
+        "max_pages", none.cast("long").alias("origin"), "node", F.lit(1).alias("page_no"))
     figures = {"jumps": F.count("origin"), "visits": F.count("page_no")}
     known, seen = stored_with(jumps.unionByName(first), **figures)
     visits, width = _visits(known), 1
@@ -150,14 +149,13 @@ def page_chain(boards: DataFrame, pages: DataFrame, edges: DataFrame) -> DataFra
         # a jump goes on where it ends, a visit where it is; only what stays within the limit
         asked = here.filter(F.col("max_pages") > 2 * width).unionByName(
             visits.filter(F.col("max_pages") >= F.col("page_no") + width))
-        onward = here.select("board_id", F.col("origin").alias("address"), F.col("address").alias("_after"))
-        found = asked.join(onward, ["board_id", "address"]).select(
-            "board_id", "max_pages", "origin", F.col("_after").alias("address"),
-            (F.col("page_no") + width).alias("page_no"),
-        )
+        onward = here.select(F.col("origin").alias("node"), F.col("node").alias("_after"))
+        found = asked.join(onward, "node").select(
+            "max_pages", "origin", F.col("_after").alias("node"), (F.col("page_no") + width).alias("page_no"))
         known, seen = stored_with(found, **figures)
         visits, width = visits.unionByName(_visits(known)), 2 * width
-    return visits.join(places, ["board_id", "address"]).select("board_id", "page_id", "page_no").distinct()
+    came = visits.select("node", "page_no").join(known_at, "node")
+    return came.join(places, ["board_id", "address"]).select("board_id", "page_id", "page_no").distinct()
 
 
 def page_account(boards: DataFrame, pages: DataFrame, chain: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from boardwalk.functions.fixed import rule
 from boardwalk.operators import paging as G
 from boardwalk.operators.shredding import shred
 from boardwalk.schemas import PAGES
+from boardwalk.session import stored_with
 from helpers import HOME, board, boards, rules, shredded
 
 
@@ -87,3 +88,21 @@ def test_all_snapshots_redirects_and_moves(spark):
     rows = G.page_chain(config, pages, edges)
     got = sorted((r["board_id"], r["page_no"], r["page_id"]) for r in rows.collect())
     assert got == [(1, 1, 0), (1, 1, 1), (1, 2, 2), (2, 1, 3), (3, 1, 4), (3, 2, 5)]
+
+
+def test_rounds_move_numbers_not_addresses(spark, monkeypatch):
+    """What a round of the walk stores has no text in it, whatever the length of the addresses."""
+    kinds = []
+
+    def watched(df, **figures):
+        kinds.append({f.dataType.simpleString() for f in df.schema.fields})
+        return stored_with(df, **figures)
+
+    monkeypatch.setattr(G, "stored_with", watched)
+    place = "https://x.example.com/list?at={}".format
+    pages = spark.createDataFrame([(i, 1, place(i)) for i in range(6)], "page_id long, board_id long, url string")
+    edges = spark.createDataFrame([(1, place(i), i, place(i + 1)) for i in range(6)], "board_id long, url string, page_id long, next_url string")
+    start = spark.createDataFrame([(1, place(1), 4)], "board_id long, job_board_url string, max_pages int")
+    got = sorted(map(tuple, G.page_chain(start, pages, edges).collect()))
+    assert got == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4)]
+    assert len(kinds) >= 2 and all("string" not in k for k in kinds)
