@@ -1,27 +1,26 @@
-"""Labelled rows for fitting: a bounded sample of them, chosen by a hash of the id."""
+"""Labelled rows for fitting: all of them, one for each id."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# at most so many labelled rows fit a classifier; their ids (8 bytes each) may then be broadcast
-LABELLED_ROWS = 50_000
+from boardwalk.operators.skew import lookup_join
 
 
-def sample(labels: DataFrame, label: str, rows: int = LABELLED_ROWS, where: Column | None = None) -> DataFrame:
-    """``(doc_id, label)`` of at most ``rows`` labelled documents, one row for each id.
+def known(labels: DataFrame, label: str, where: Column | None = None) -> DataFrame:
+    """``(doc_id, label)`` of every labelled document, one row for each id.
 
     Rows with a null id or label are no labels. If an id has several labels, the largest counts.
-    Ids are taken in the order of a hash, so the sample does not depend on how the table is stored.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
     if where is not None:
         own = own.filter(where)
-    return (own.groupBy("doc_id").agg(F.max("label").alias("label"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    return own.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def with_label(documents: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Documents with ``label``, null where the sample has none. The sample is bounded: broadcast."""
-    return documents.join(F.broadcast(sampled), "doc_id", "left")
+def with_label(documents: DataFrame, labelled: DataFrame, how: str = "left") -> DataFrame:
+    """Documents with ``label``, null where there is none (``how``: inner leaves those out). Labels
+    that are measured small are broadcast; with more of them the documents move once."""
+    others = [c for c in documents.columns if c != "doc_id"]
+    return lookup_join(documents, labelled, ["doc_id"], how, spread_by=others)

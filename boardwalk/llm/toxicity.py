@@ -133,8 +133,8 @@ def _needed(training: DataFrame, weights: dict[str, float], toxic: int) -> dict[
 
     Copies of one toxic text make all of its words look toxic. So entries are taken by the number of
     toxic rows they hold that no taken entry holds, as long as there are some; then those that occur
-    beside ``LEAST_COMPANY`` different sets of taken entries, which copies do not. The rows are those
-    of the bounded sample, each with the entries found in it.
+    beside ``LEAST_COMPANY`` different sets of taken entries, which copies do not. Rows with the same
+    entries are counted by Spark; each set of entries comes to the driver once, with its count.
     """
     if not weights:
         return {}
@@ -151,17 +151,20 @@ def _needed(training: DataFrame, weights: dict[str, float], toxic: int) -> dict[
                      for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if label == 1]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["entries"])
 
-    open_rows = [frozenset(r["entries"]) for r in training.mapInArrow(run, "entries array<int>").collect()]
+    sets = training.mapInArrow(run, "entries array<int>").groupBy("entries").agg(F.count(F.lit(1)).alias("n"))
+    open_rows = {frozenset(r["entries"]): r["n"] for r in sets.toLocalIterator()}
     least = max(LEAST_OWN_ROWS, LEAST_OWN_SHARE * toxic)
     every_row, taken = open_rows, set()
     while open_rows:
-        counts = Counter(k for row in open_rows for k in row)
+        counts: Counter = Counter()
+        for row, n in open_rows.items():
+            counts.update(dict.fromkeys(row, n))
         # ties go to the heavier entry, then to the first in order
         best = max(counts, key=lambda k: (counts[k], weights[names[k]], -k), default=None)
         if best is None or counts[best] < least:
             break
         taken.add(best)
-        open_rows = [row for row in open_rows if best not in row]
+        open_rows = {row: n for row, n in open_rows.items() if best not in row}
     company: dict[int, set] = {}
     for row in every_row:
         for k in row - taken:
@@ -262,12 +265,11 @@ def cut_of(training: DataFrame, weights: dict[str, float]) -> float:
     return float(max(cut, step / 2))
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = labelled.LABELLED_ROWS,
-        learn_from=None) -> tuple[dict[str, float], float]:
-    """Lexicon and cut from a bounded sample of the labelled documents. Without labels of both
-    kinds the lexicon is empty and every score 0."""
-    sampled = labelled.sample(labels, "toxic", rows, learn_from)
-    training = stored(narrow(documents, "doc_id", "text").join(F.broadcast(sampled), "doc_id").select("text", "label"))
+def fit(documents: DataFrame, labels: DataFrame, learn_from=None) -> tuple[dict[str, float], float]:
+    """Lexicon and cut from all labelled documents. Without labels of both kinds the lexicon is
+    empty and every score 0."""
+    known = stored(labelled.known(labels, "toxic", learn_from))
+    training = stored(labelled.with_label(narrow(documents, "doc_id", "text"), known, "inner").select("text", "label"))
     weights = lexicon(training)
     return weights, cut_of(training, weights) if weights else 1.0
 

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from boardwalk.llm import bpe, packing, quality, toxicity
 from boardwalk.llm.common import text_parts
+from boardwalk.operators import skew
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -216,3 +217,26 @@ def test_genetic_packing_is_valid_and_no_worse_than_best_fit(spark):
     assert len(evolved[0]) <= len(alone)
     assert sorted(i for b in evolved[0] for i in b) == list(range(120))
     assert all(sum(lengths[i] for i in b) <= 100 for b in evolved[0])
+
+
+def test_every_label_is_learned_from_however_many_there_are(spark):
+    """60,000 labels, more than the 50,000 rows that were once taken of them."""
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "'abcd' AS text")
+    known = spark.range(60_000).selectExpr("id AS doc_id", "cast(id % 2 as int) AS quality", "cast(0 as int) AS toxic")
+    counts = quality.ratios(rows, quality.labelled.known(known, "quality"))
+    bucket = int.from_bytes(b"abcd", "big") * 2654435761 % 2**32 >> 16
+    size = quality.BUCKETS
+    assert counts[bucket] == pytest.approx(np.log(30_001 / (30_000 + size)) - np.log(60_001 / (60_000 + size)))
+
+
+@pytest.mark.parametrize("bound", [500_000, 10])
+def test_labels_beyond_a_broadcast_give_the_same_verdicts(spark, monkeypatch, bound):
+    rows = [(k, prose(k, 40)) for k in range(40)] + [(100 + k, junk(prose(100 + k, 40))) for k in range(10)]
+    rows += [(200 + k, prose(k, 30) + " snarkface") for k in range(20)]
+    known = labels(spark, [(k, 1, 0) for k in range(40)] + [(100 + k, 0, 0) for k in range(10)]
+                   + [(200 + k, 1, 1) for k in range(20)])
+    monkeypatch.setattr(skew.fits_broadcast, "__defaults__", (bound, skew.BROADCAST_BYTES))
+    table = docs(spark, rows)
+    assert {r.doc_id for r in quality.judge(table, known).collect() if r.kept} == {k for k, _ in rows if not 100 <= k < 200}
+    assert {r.doc_id for r in quality.keep_good(table, known).collect()} == {k for k, _ in rows if not 100 <= k < 200}
+    assert {r.doc_id for r in toxicity.keep_clean(table, known).collect()} == {k for k, _ in rows if k < 200}
