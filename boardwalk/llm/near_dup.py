@@ -23,14 +23,16 @@ exactly, and only between classes that are still apart:
   again, and are dealt by (leader, difference). Let D be the shingles that only one of two texts has;
   a link has D <= (|A| + |B|) / 9. If A links with B, and B not with the leader L, then A and B share
   a shingle that L lacks, unless A is shorter than L and B only just beyond L's reach; then they lack
-  one of L's in common. Either is among the first ``n / 4 + 1`` of its kind in hash order, on both
-  sides (as many would have to be shared otherwise).
+  one of L's in common. Either is among the first ``n / 4 + 1`` of its kind in any common order, on
+  both sides (as many would have to be shared otherwise). Again those that fewest members have, or
+  lack, go first, and a shingle that one text alone holds is no key.
 
 Every link between members of a bucket is then within a class, without a cap and without all pairs.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -185,9 +187,11 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * matched(x, y) >= 4 * total
 
 
-def differences(leader: np.ndarray, own: np.ndarray, link: bool, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+def differences(leader: np.ndarray, own: np.ndarray, link: bool, shortest: int,
+                counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What a member of a large bucket is dealt by: shingles the leader lacks, and shingles of the
-    leader it lacks, where that matters. ``shortest``: shingles of the bucket's shortest member."""
+    leader it lacks, where that matters. ``shortest``: shingles of the bucket's shortest member;
+    ``counts``: texts that hold a shingle, by slot."""
     added = np.setdiff1d(own, leader, assume_unique=True)
     missing = np.setdiff1d(leader, own, assume_unique=True)
     apart = len(added) + len(missing)
@@ -197,20 +201,24 @@ def differences(leader: np.ndarray, own: np.ndarray, link: bool, shortest: int)
     moved = [np.uint64(_REORDERED)] if 4 * apart <= len(own) else []
     if len(own) >= len(leader) and not close:
         missing = missing[:0]
-    return np.append(_first(added, len(own)), moved).astype(np.uint64), _first(missing, len(own))
+    often = counts[_slot(added)].astype(int)
+    first = _first(added, often, len(own))
+    added = added[first[often[first] > 1]]  # once: no other text holds it
+    missing = missing[_first(missing, -counts[_slot(missing)].astype(int), len(own))]
+    return np.append(added, moved).astype(np.uint64), missing
 
 
-def _first(values: np.ndarray, own: int) -> np.ndarray:
-    size = own // 4 + 1
-    return values[np.argpartition(mix(values), size - 1)[:size]] if size < len(values) else values
-
+def _first(values: np.ndarray, rank: np.ndarray, own: int) -> np.ndarray:
+    """Places of the first ``own / 4 + 1`` values by rank, equal ones in hash order."""
+    return np.lexsort((mix(values), rank))[:own // 4 + 1]
 
 
 _CHECKED = "a long, b long, large boolean, n long, short boolean, linked boolean, added array<long>, missing array<long>"
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``a, b, large, shortest, text_a, text_b`` to the columns of ``_CHECKED``."""
+def _verify(batches: Iterator[pa.RecordBatch], counts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """``a, b, large, shortest, text_a, text_b`` to the columns of ``_CHECKED``; without ``counts`` no
+    differences."""
     for batch in batches:
         for start, stop, texts in text_parts(batch.column(4)):
             rows = stop - start
@@ -221,7 +229,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, (x, y, large, shortest) in enumerate(
                     zip(left, right, part.column(2).to_pylist(), part.column(3).to_pylist())):
                 links[k] = linked(x, y)
-                more, less = differences(x, y, links[k], shortest) if large else (y[:0], y[:0])
+                dealt = large and counts is not None
+                more, less = differences(x, y, links[k], shortest, counts) if dealt else (y[:0], y[:0])
                 added.append(more)
                 missing.append(less)
             bounds = [np.concatenate([[0], np.cumsum([len(p) for p in parts])]) for parts in (added, missing)]
@@ -237,11 +246,17 @@ def _candidates(buckets: DataFrame, small: int) -> DataFrame:
     are outside the bucket's largest class (``a < b``), else leader and member (large)."""
     # one shuffle serves the counts of classes, the sizes and the join with them
     buckets = buckets.repartition("key")
-    parts = buckets.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    parts = buckets.groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("c"), F.min("n").alias("n"),
+        *[F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark_{k}") for k in range(2)])
     rank = F.least(F.col("c"), F.lit(1 << 40)) * F.lit(1 << 20) + F.pmod(F.xxhash64("root"), F.lit(1 << 20))
     sizes = parts.groupBy("key").agg(
-        F.sum("c").alias("size"), F.max("c").alias("largest"), F.max_by("root", rank).alias("main"), F.min("n").alias("shortest"))
-    rows = stored(buckets.join(sizes.filter("size > largest"), "key").withColumn("open", F.col("root") != F.col("main")))
+        F.sum("c").alias("size"), F.max("c").alias("largest"), F.max_by("root", rank).alias("main"), F.min("n").alias("shortest"),
+        *[F.bit_xor(f"mark_{k}").alias(f"mark_{k}") for k in range(2)])
+    # texts that share one shingle often share more: of buckets with the same members, by 128 bits, one stays
+    apart = (sizes.filter("size > largest").groupBy("mark_0", "mark_1", "size")
+             .agg(F.min(F.struct("key", "largest", "main", "shortest")).alias("one")).select("size", "one.*"))
+    rows = stored(buckets.join(apart, "key").withColumn("open", F.col("root") != F.col("main")))
     few = rows.filter(F.col("size") - F.col("largest") <= small)
     asking = few.filter("open").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
     direct = (few.join(asking, "key")
@@ -267,7 +282,7 @@ def _roots(reps: DataFrame, texts_of: DataFrame, small: int) -> DataFrame:
     """
     spark = reps.sparkSession
     buckets = reps.select("id", "n", F.explode("sketch").alias("key"), F.col("id").alias("root"))
-    texts = roots = checked = None
+    texts = roots = checked = counts = None
     folders: list[str] = []
     while True:
         # later buckets are precise enough for more pairs a member; with the limit twice as high every
@@ -289,12 +304,18 @@ def _roots(reps: DataFrame, texts_of: DataFrame, small: int) -> DataFrame:
         rows = pairs.join(b, "b").join(a, "a").select("a", "b", "large", "shortest", "text_a", "text_b")
         number = len(folders)
         folders.append(f"{shared_folder(spark)}/near-dup-{uuid.uuid4().hex}")
-        rows.mapInArrow(_verify, _CHECKED).withColumn("round", F.lit(number)).write.parquet(folders[-1])
+        rows.mapInArrow(functools.partial(_verify, counts=counts), _CHECKED).withColumn(
+            "round", F.lit(number)).write.parquet(folders[-1])
         checked = spark.read.schema(f"{_CHECKED}, round int").parquet(*folders)
         roots = _merged(roots, spark.read.parquet(folders[-1]).filter("linked").select("a", "b"))
         placed = _placed(checked.filter("large"), roots)
-        buckets = stored(_by_rarity(placed, texts, roots) if number == 0 else
-                         _by_difference(placed.filter("round > 0"), number))
+        if number == 0:
+            # members of the first round are dealt by rarity, those of later ones by differences
+            own = _beside_open(placed, texts)
+            counts = _counts(own)
+            buckets = stored(_by_rarity(own, counts, roots))
+        else:
+            buckets = stored(_by_difference(placed.filter("round > 0"), number))
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -320,18 +341,29 @@ def _placed(checked: DataFrame, roots: DataFrame) -> DataFrame:
         F.coalesce("root_b", "b").alias("root"), (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("open"))
 
 
-def _by_rarity(placed: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Buckets of the rarest shingles of all that share a leader with an open member."""
+def _beside_open(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, open, text`` of all that share a leader with an open member. Of two members in different
+    classes at least one is open."""
     leaders = placed.filter("open").select("a").distinct()
-    ids = placed.join(leaders, "a", "left_semi").select("id").union(leaders.select("a")).distinct()
-    own = texts.join(ids, "id", "left_semi").select("id", "text")
-    found = (own.mapInArrow(_count_shingles, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas())
+    members = placed.join(leaders, "a", "left_semi").select("id", "open")
+    ids = members.unionByName(leaders.select(F.col("a").alias("id"), F.lit(False).alias("open")))
+    return stored(texts.join(ids.groupBy("id").agg(F.max("open").alias("open")), "id").select("id", "text", "open"))
+
+
+def _counts(own: DataFrame) -> np.ndarray:
+    """In how many texts a shingle of a slot is, up to 255."""
+    found = own.mapInArrow(_count_shingles, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
     counts = np.zeros(SLOTS, np.uint8)
     counts[found.slot.to_numpy()] = np.minimum(found.c.to_numpy(), 255)
-    rows = own.mapInArrow(_rarest(counts), "id long, n long, key long")
-    crowd = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    return (rows.join(crowd, "key", "left_semi").join(roots, "id", "left")
-            .select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+    return counts
+
+
+def _by_rarity(own: DataFrame, counts: np.ndarray, roots: DataFrame) -> DataFrame:
+    """Buckets of the rarest shingles, where an open member meets another class."""
+    rows = own.select("id", "text", "open").mapInArrow(_rarest(counts), "id long, open boolean, n long, key long")
+    rows = stored(rows.join(roots, "id", "left").select("key", "id", "n", "open", F.coalesce("root", "id").alias("root")))
+    crowd = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("open").alias("any_open"))
+    return rows.drop("open").join(crowd.filter("any_open AND low <> high").select("key"), "key", "left_semi")
 
 
 def _slot(values: np.ndarray) -> np.ndarray:
@@ -361,16 +393,20 @@ def _rarest(counts: np.ndarray):
                     which += [start + k] * len(first)
                     sizes += [len(own)] * len(first)
                     keys.append(own[first])
+                which = pa.array(which, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(which, pa.int64())), pa.array(sizes, pa.int64()),
-                     as_long(np.concatenate(keys))], ["id", "n", "key"])
+                    [batch.column(0).take(which), batch.column(2).take(which), pa.array(sizes, pa.int64()),
+                     as_long(np.concatenate(keys))], ["id", "open", "n", "key"])
 
     return run
 
 
 def _by_difference(placed: DataFrame, number: int) -> DataFrame:
     """Members by (leader, difference), where a link between classes may still be missing and a
-    member is new this round."""
+    member is new this round. Leaders without a new or without an open member have been dealt with."""
+    asked = placed.groupBy("a").agg(F.max("round").alias("last"), F.max("open").alias("any_open"))
+    placed = placed.join(asked.filter(F.col("any_open") & (F.col("last") == number)).select("a"), "a", "left_semi")
+
     def by(kind: str) -> DataFrame:
         return (placed.select("a", "id", "n", "short", "root", "open", "round", F.explode(kind).alias("one"))
                 .select(F.xxhash64(F.lit(kind), "a", "one").alias("key"), "id", "n", "root", "open", "round",

@@ -115,3 +115,37 @@ def test_short_texts_link_as_by_brute_force(spark):
     assert {(sizes[k], sizes[k - 1]) for k in range(1, 400, 2) if truth[k] == truth[k - 1]} == {(9, 8), (10, 9), (11, 10), (12, 11)}
     got = {r.doc_id: r.class_id for r in near_dup.classes(docs(spark, rows)).collect()}
     assert got == truth
+
+
+def test_members_are_not_dealt_by_what_no_other_text_holds(spark, monkeypatch):
+    """Far copies of one text: what each has of its own is no key, and dealt leaders are not dealt again."""
+    base = prose(7, 150)
+    rows = [(0, base)] + [(k, edited(base, k, 6)) for k in range(1, 40)] + [(100 + k, edited(base, 900 + k, 2)) for k in range(6)]
+    dealt = []
+    by_difference = near_dup._by_difference
+
+    def seen(placed, number):
+        dealt.append(placed.selectExpr("sum(size(added)) AS n", "count(*) AS c").first())
+        out = by_difference(placed, number)
+        # a leader without a new member has no part in this round
+        assert by_difference(placed.filter(f"round < {number}"), number).isEmpty()
+        return out
+
+    monkeypatch.setattr(near_dup, "_by_difference", seen)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs(spark, rows), small=1).collect()}
+    assert got == brute_classes(rows)
+    # a member has some 60 shingles the leader lacks, of which 37 are in the prefix
+    assert dealt and sum(d.n or 0 for d in dealt) <= 20 * sum(d.c for d in dealt)
+
+
+def test_buckets_with_the_same_members_are_one(spark):
+    rows = [(key, i, 20, i) for key in range(50) for i in (1, 2, 3)] + [(60, 1, 20, 1), (60, 4, 20, 4)]
+    buckets = spark.createDataFrame(rows, "key long, id long, n long, root long")
+    stored, seen = near_dup.stored, []
+    near_dup.stored = lambda df: seen.append(stored(df)) or seen[-1]
+    try:
+        pairs = {(r.a, r.b) for r in near_dup._candidates(buckets, 8).collect()}
+    finally:
+        near_dup.stored = stored
+    assert pairs == {(1, 2), (1, 3), (2, 3), (1, 4)}
+    assert seen[0].count() == 5
