@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -40,6 +41,11 @@ END_ID = 0
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
+# a sign before a stop or comma that ends a word: the tokenizer takes them as one part
+_SIGNS_IN_A_ROW = re.compile("[%s][.,][ \n]" % "".join(
+    re.escape(chr(k)) for k in range(256) if unicodedata.category(chr(k))[0] not in "LN"
+    and (not chr(k).isspace() or _NOT_SPACE.match(chr(k)))))
+
 # Fixed value: how the tokenizer file splits text; and the letters its byte-level step writes bytes as
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,6 +64,9 @@ class WordIds:
     Words of the first 256 code points go straight to the tokenizer's model: there its normalizer
     only lowers letters. All others, and those with a special token, go through the tokenizer. A word
     of ASCII letters is one part of its own letters.
+
+    Texts of the first 256 code points are lowered as a whole, and full stops and commas behind a letter
+    or digit are words of their own, as the tokenizer cuts there as well: so fewer words are rare.
     """
 
     def __init__(self, path: str, limit: int = CACHED):
@@ -76,7 +85,24 @@ class WordIds:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return as_bytes(ids)
 
+    def _apart(self, text: str) -> str:
+        """``text``, lowered and with stops and commas apart where that does not change its ids."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        if any([t in text for t in self.special]):
+            return text
+        text = text.lower()
+        if _SIGNS_IN_A_ROW.search(text):
+            return text
+        for sign in ".,":
+            for space in " \n":
+                text = text.replace(sign + space, f" {sign}{space}")
+        return text
+
     def __call__(self, text: str) -> bytes:
+        text = self._apart(text)
         words = text.split(" ") if _NOT_SPACE.search(text) else text.split()
         return b"".join(map(self.memo.__getitem__, words))
 

@@ -240,3 +240,13 @@ def test_labels_beyond_a_broadcast_give_the_same_verdicts(spark, monkeypatch, bo
     assert {r.doc_id for r in quality.judge(table, known).collect() if r.kept} == {k for k, _ in rows if not 100 <= k < 200}
     assert {r.doc_id for r in quality.keep_good(table, known).collect()} == {k for k, _ in rows if not 100 <= k < 200}
     assert {r.doc_id for r in toxicity.keep_clean(table, known).collect()} == {k for k, _ in rows if k < 200}
+
+
+def test_stops_and_commas_are_words_of_their_own_with_the_same_ids():
+    tokenizer, own = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    assert own("Harbour harbour, HARBOUR. harbour,\nharbour") == own("harbour harbour , harbour . harbour , harbour")
+    # a word is remembered once, however it is written
+    assert set(own.memo) == {"harbour", ",", "."}
+    for text in ["don't, it's. 'll, 9, x², y½. a_, b.. c.,  d,. \n.\n,\n é, É. «ß». »,  a<|endoftext|>, B", ". , .", "A.B, c.\n\nd,",
+                 "x\x1c, y\x85, z\xa0, . a", "Ω, a. B", "-, a", "ª, º. µ, ÿ. ×, ÷.", "a' , b '. '", "", "İ, K. x"]:
+        assert own(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
