@@ -16,9 +16,11 @@ pairs are verified. A larger bucket is not expanded into pairs. First all its me
 verified against one leader, the member that meets most others in buckets. What is left is found
 exactly, and only between classes that are still apart:
 
-* The members of such buckets are dealt by their rarest shingles. Texts that link share one of the
-  ``n / 5 + 1`` first of each in any common order of shingles; with the rarest first, most have no
-  partner there. (Rarity comes from counts in a table of fixed size, which can only cost work.)
+* The members of such buckets are dealt by their rarest shingles and by classes of sizes. Texts that
+  link share one of the ``n / 5 + 1`` first of each in any common order of shingles, of the ``n / 9 + 1``
+  first if they have the same size; with the rarest first, most have no partner there. A member that
+  could only link with shorter texts than its bucket holds leaves it. (Rarity comes from counts in a
+  table of fixed size, which can only cost work.)
 * Where still too many texts outside the largest class of a bucket meet, they get a leader
   again, and are dealt by (leader, difference). Let D be the shingles that only one of two texts has;
   a link has D <= (|A| + |B|) / 9. If A links with B, and B not with the leader L, then A and B share
@@ -51,11 +53,13 @@ SAMPLED = 6
 SIMILARITY = 0.8
 SMALL = 8
 LATER = 3
+NARROWED = 2  # times that members too large for the shortest of their bucket go
 BROADCAST_IDS = 1_000_000  # ids of candidates, 8 bytes each; more of them are joined by a shuffle
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS  # shingle counts, at most one row each to the driver
 
 _FACTORS = np.random.default_rng(7).integers(0, 2**64, SKETCHES, dtype=np.uint64) | np.uint64(1)
+_SIZES = np.unique((1.1 ** np.arange(300)).astype(np.int64))  # where classes of sizes begin
 _REORDERED = 0  # the difference that stands for "same shingles as the leader in another order"
 
 
@@ -198,14 +202,14 @@ def differences(leader: np.ndarray, own: np.ndarray, link: bool, shortest: int,
     beyond = 9 * apart - len(leader) - len(own)
     close = not link and beyond <= 8 * (len(leader) - max(shortest, 0.8 * len(own)))
     # same shingles in another order: no difference to share
-    moved = [np.uint64(_REORDERED)] if 4 * apart <= len(own) else []
+    moved = np.full(int(4 * apart <= len(own)), _REORDERED, np.uint64)
     if len(own) >= len(leader) and not close:
         missing = missing[:0]
     often = counts[_slot(added)].astype(int)
     first = _first(added, often, len(own))
     added = added[first[often[first] > 1]]  # once: no other text holds it
     missing = missing[_first(missing, -counts[_slot(missing)].astype(int), len(own))]
-    return np.append(added, moved).astype(np.uint64), missing
+    return np.append(added, moved), missing
 
 
 def _first(values: np.ndarray, rank: np.ndarray, own: int) -> np.ndarray:
@@ -360,10 +364,14 @@ def _counts(own: DataFrame) -> np.ndarray:
 
 def _by_rarity(own: DataFrame, counts: np.ndarray, roots: DataFrame) -> DataFrame:
     """Buckets of the rarest shingles, where an open member meets another class."""
-    rows = own.select("id", "text", "open").mapInArrow(_rarest(counts), "id long, open boolean, n long, key long")
-    rows = stored(rows.join(roots, "id", "left").select("key", "id", "n", "open", F.coalesce("root", "id").alias("root")))
-    crowd = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("open").alias("any_open"))
-    return rows.drop("open").join(crowd.filter("any_open AND low <> high").select("key"), "key", "left_semi")
+    rows = own.select("id", "text", "open").mapInArrow(_rarest(counts), "id long, open boolean, n long, reach long, key long")
+    rows = stored(rows.join(roots, "id", "left").select("key", "id", "n", "reach", "open", F.coalesce("root", "id").alias("root")))
+    for _ in range(NARROWED):
+        crowd = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                        F.max("open").alias("any_open"), F.min("n").alias("shortest"))
+        rows = stored(rows.join(crowd.filter("any_open AND low <> high").select("key", "shortest"), "key")
+                      .filter("reach >= shortest").drop("shortest"))
+    return rows.drop("open", "reach")
 
 
 def _slot(values: np.ndarray) -> np.ndarray:
@@ -385,22 +393,43 @@ def _rarest(counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop, texts in text_parts(batch.column(1)):
-                which, sizes, keys = [], [], []
+                which, sizes, reaches, keys = [], [], [], []
                 for k, own in enumerate(shingles(texts)):
-                    often = counts[_slot(own)]
-                    first = np.lexsort((own, often))[:len(own) // 5 + 1]
-                    first = first[often[first] > 1]  # once: no other text holds it
-                    which += [start + k] * len(first)
-                    sizes += [len(own)] * len(first)
-                    keys.append(own[first])
+                    dealt, reach = rare_keys(own, counts[_slot(own)])
+                    which += [start + k] * len(dealt)
+                    sizes += [len(own)] * len(dealt)
+                    reaches.append(reach)
+                    keys.append(dealt)
                 which = pa.array(which, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(which), batch.column(2).take(which), pa.array(sizes, pa.int64()),
-                     as_long(np.concatenate(keys))], ["id", "open", "n", "key"])
+                     pa.array(np.concatenate(reaches)), as_long(np.concatenate(keys))], ["id", "open", "n", "reach", "key"])
 
     return run
 
 
+def rare_keys(own: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a text's rarest shingles for each class of sizes its partners may have, and the size of
+    the largest partner of each key.
+
+    Texts of n and m shingles that link share 4 (n + m) / 9 of them, so the first they share, by
+    rarity, has so many less one behind it in both: at place p, m <= (5 n - 9 p) / 4.
+    """
+    n = len(own)
+    order = np.lexsort((own, often))[:n // 5 + 1]
+    place = np.flatnonzero(often[order] > 1)  # once: no other text holds it
+    values, reach = own[order[place]], (5 * n - 9 * place) // 4
+    class_of = np.searchsorted(_SIZES, reach, side="right")
+    mine, least = np.searchsorted(_SIZES, [n, -(-4 * n // 5)], side="right")
+    keys, reaches = [values[:0]], [reach[:0]]
+    for other in range(least, int(class_of.max(initial=0)) + 1):
+        fit = class_of >= other
+        both = int(min(mine, other)) * len(_SIZES) + int(max(mine, other)) + 1
+        keys.append(mix(values[fit] + np.uint64(both * 0x9E3779B97F4A7C15 % 2**64)))
+        reaches.append(reach[fit])
+    return np.concatenate(keys), np.concatenate(reaches).astype(np.int64)
+
+
 def _by_difference(placed: DataFrame, number: int) -> DataFrame:
     """Members by (leader, difference), where a link between classes may still be missing and a
     member is new this round. Leaders without a new or without an open member have been dealt with."""

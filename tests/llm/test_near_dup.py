@@ -149,3 +149,43 @@ def test_buckets_with_the_same_members_are_one(spark):
         near_dup.stored = stored
     assert pairs == {(1, 2), (1, 3), (2, 3), (1, 4)}
     assert seen[0].count() == 5
+
+
+def test_differences_are_exact_values():
+    counts = np.full(near_dup.SLOTS, 9, np.uint8)
+    leader = np.arange(100, dtype=np.uint64) + np.uint64(2**63)
+    for kept in (40, 98):  # far from the leader, and near enough to be the same in another order
+        own = np.append(leader[:kept], np.arange(100 - kept, dtype=np.uint64) + np.uint64(2**62 + 1))
+        added, _ = near_dup.differences(leader, own, False, 80, counts)
+        assert set(added.tolist()) - {near_dup._REORDERED} <= set(own[kept:].tolist())
+
+
+def test_texts_that_may_link_share_a_rare_key_within_each_others_reach():
+    draw = random.Random(6)
+    common = {v: 2 + v % 50 for v in range(2000)}
+    keys = lambda own: dict(zip(*(a.tolist() for a in near_dup.rare_keys(
+        np.array(own, np.uint64), np.array([common[v] for v in own])))))
+    close = 0
+    for _ in range(3000):
+        x = draw.sample(range(2000), draw.randrange(1, 120))
+        left = draw.sample(x, len(x) - draw.randrange(len(x) // 4 + 1))
+        y = left + draw.sample([v for v in range(2000) if v not in x], draw.randrange(len(x) // 8 + 1))
+        if y and 9 * len({*x} & {*y}) >= 4 * (len(x) + len(y)):
+            close += 1
+            a, b = keys(x), keys(y)
+            assert any(a[k] >= len(y) and b[k] >= len(x) for k in a.keys() & b.keys())
+    assert close > 300
+    # a text whose own shingles take most of its prefix cannot link with texts of its size
+    own = list(range(146))
+    common |= {v: 1 for v in range(18)}
+    assert max(keys(own).values()) < 143
+
+
+def test_far_copies_of_one_size_are_not_dealt(spark):
+    """Copies of one text, each with edits of its own that keep it apart from all others."""
+    base = prose(11, 150, vocabulary=3000)
+    own = [(k, edited(base, 50 + k, 7)) for k in range(40)]
+    texts = spark.createDataFrame([(i, t, True) for i, t in own], "id long, text string, open boolean")
+    roots = spark.createDataFrame([], "id long, root long")
+    assert len(set(brute_classes(own).values())) == 40
+    assert near_dup._by_rarity(texts, near_dup._counts(texts), roots).count() <= 40
