@@ -29,6 +29,9 @@ exactly, and only between classes that are still apart:
   both sides (as many would have to be shared otherwise). Again those that fewest members have, or
   lack, go first, and a shingle that one text alone holds is no key.
 
+Shingles or differences before the first that two texts share are in one of them only. So its place
+bounds the sizes of partners, and pairs beyond the bounds of either are not verified.
+
 Every link between members of a bucket is then within a class, without a cap and without all pairs.
 """
 
@@ -196,6 +199,13 @@ def differences(leader: np.ndarray, own: np.ndarray, link: bool, shortest: int,
     """What a member of a large bucket is dealt by: shingles the leader lacks, and shingles of the
     leader it lacks, where that matters. ``shortest``: shingles of the bucket's shortest member;
     ``counts``: texts that hold a shingle, by slot."""
+    added, _, missing, _ = placed_differences(leader, own, link, shortest, counts)
+    return added, missing
+
+
+def placed_differences(leader: np.ndarray, own: np.ndarray, link: bool, shortest: int,
+                       counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the place of each among all of its kind, by rank."""
     added = np.setdiff1d(own, leader, assume_unique=True)
     missing = np.setdiff1d(leader, own, assume_unique=True)
     apart = len(added) + len(missing)
@@ -207,9 +217,10 @@ def differences(leader: np.ndarray, own: np.ndarray, link: bool, shortest: int,
         missing = missing[:0]
     often = counts[_slot(added)].astype(int)
     first = _first(added, often, len(own))
-    added = added[first[often[first] > 1]]  # once: no other text holds it
+    added_at = np.flatnonzero(often[first] > 1)  # once: no other text holds it
+    added = added[first[added_at]]
     missing = missing[_first(missing, -counts[_slot(missing)].astype(int), len(own))]
-    return np.append(added, moved), missing
+    return np.append(added, moved), np.append(added_at, np.zeros(len(moved), int)), missing, np.arange(len(missing))
 
 
 def _first(values: np.ndarray, rank: np.ndarray, own: int) -> np.ndarray:
@@ -217,7 +228,7 @@ def _first(values: np.ndarray, rank: np.ndarray, own: int) -> np.ndarray:
     return np.lexsort((mix(values), rank))[:own // 4 + 1]
 
 
-_CHECKED = "a long, b long, large boolean, n long, short boolean, linked boolean, added array<long>, missing array<long>"
+_CHECKED = "a long, b long, large boolean, n long, short boolean, linked boolean, added array<long>, missing array<long>, added_at array<int>, missing_at array<int>"
 
 
 def _verify(batches: Iterator[pa.RecordBatch], counts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -229,20 +240,22 @@ def _verify(batches: Iterator[pa.RecordBatch], counts: np.ndarray | None) -> Ite
             left = shingles(texts)
             right = [s for _, _, t in text_parts(batch.column(5).slice(start, rows)) for s in shingles(t)]
             part = batch.slice(start, rows)
-            links, added, missing = np.zeros(rows, bool), [], []
+            links, dealt_by = np.zeros(rows, bool), []
+            none = (np.zeros(0, np.uint64), np.zeros(0, int)) * 2
             for k, (x, y, large, shortest) in enumerate(
                     zip(left, right, part.column(2).to_pylist(), part.column(3).to_pylist())):
                 links[k] = linked(x, y)
                 dealt = large and counts is not None
-                more, less = differences(x, y, links[k], shortest, counts) if dealt else (y[:0], y[:0])
-                added.append(more)
-                missing.append(less)
+                dealt_by.append(placed_differences(x, y, links[k], shortest, counts) if dealt else none)
+            added, added_at, missing, missing_at = zip(*dealt_by)
             bounds = [np.concatenate([[0], np.cumsum([len(p) for p in parts])]) for parts in (added, missing)]
+            places = [pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32)))
+                      for own, parts in zip(bounds, (added_at, missing_at))]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), part.column(2), pa.array([len(y) for y in right], pa.int64()),
                  pa.array([len(y) < len(x) for x, y in zip(left, right)], pa.bool_()), pa.array(links),
-                 list_of_long(np.concatenate(added), bounds[0]), list_of_long(np.concatenate(missing), bounds[1])],
-                ["a", "b", "large", "n", "short", "linked", "added", "missing"])
+                 list_of_long(np.concatenate(added), bounds[0]), list_of_long(np.concatenate(missing), bounds[1]), *places],
+                ["a", "b", "large", "n", "short", "linked", "added", "missing", "added_at", "missing_at"])
 
 
 def _candidates(buckets: DataFrame, small: int) -> DataFrame:
@@ -260,14 +273,10 @@ def _candidates(buckets: DataFrame, small: int) -> DataFrame:
     # texts that share one shingle often share more: of buckets with the same members, by 128 bits, one stays
     apart = (sizes.filter("size > largest").groupBy("mark_0", "mark_1", "size")
              .agg(F.min(F.struct("key", "largest", "main", "shortest")).alias("one")).select("size", "one.*"))
-    rows = stored(buckets.join(apart, "key").withColumn("open", F.col("root") != F.col("main")))
+    rows = stored(_of_buckets(buckets, sizes, apart).withColumn("open", F.col("root") != F.col("main")))
     few = rows.filter(F.col("size") - F.col("largest") <= small)
-    asking = few.filter("open").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    direct = (few.join(asking, "key")
-              # a link needs sizes within the similarity of each other; of two open members one asks
-              .filter("root <> x_root AND 10 * least(n, x_n) >= 8 * greatest(n, x_n) AND (NOT open OR x < id)")
-              .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), F.lit(False).alias("large"),
-                      F.lit(0).cast("long").alias("shortest")).distinct())
+    direct = _direct(few).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"), F.lit(False).alias("large"),
+                                 F.lit(0).cast("long").alias("shortest")).distinct()
     many = rows.filter(F.col("size") - F.col("largest") > small)
     met = many.groupBy("id").agg(F.sum("size").alias("met"))
     # ties by a hash, so that the leader does not depend on the order of rows
@@ -278,6 +287,31 @@ def _candidates(buckets: DataFrame, small: int) -> DataFrame:
     return direct.unionByName(stars.select("a", "b", "large", "shortest"))
 
 
+def _of_buckets(buckets: DataFrame, sizes: DataFrame, apart: DataFrame) -> DataFrame:
+    """Rows of the buckets that stay. Where keys bound the sizes of partners, the widest bounds a member has
+    in buckets of the same members count, as any of these may hold the first shingle that two texts share."""
+    if "reach" not in buckets.columns:
+        return buckets.join(apart, "key")
+    marks = ["mark_0", "mark_1", "size"]
+    same = sizes.filter("size > largest").select(F.col("key").alias("any_key"), *marks).join(
+        sizes.select("key", *marks[:2]).join(apart, "key"), marks)
+    rows = buckets.withColumnRenamed("key", "any_key").join(same.drop(*marks[:2]), "any_key")
+    fixed = ["key", "id", "n", "root", "size", "largest", "main", "shortest"]
+    return rows.groupBy(*fixed).agg(F.max("reach").alias("reach"), F.min("least").alias("least"))
+
+
+def _direct(few: DataFrame) -> DataFrame:
+    """Members of small buckets, ``id``, and open members they may link with, ``x``; repeated where texts
+    share several buckets."""
+    bounds = ["reach", "least"] if "reach" in few.columns else []
+    asking = few.filter("open").select("key", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"),
+                                       *[F.col(c).alias(f"x_{c}") for c in bounds])
+    met = few.join(asking, "key").filter(
+        # a link needs sizes within the similarity of each other; of two open members one asks
+        "root <> x_root AND 10 * least(n, x_n) >= 8 * greatest(n, x_n) AND (NOT open OR x < id)")
+    return met.filter("n BETWEEN x_least AND x_reach AND x_n BETWEEN least AND reach") if bounds else met
+
+
 def _roots(reps: DataFrame, texts_of: DataFrame, small: int) -> DataFrame:
     """``(id, root)`` of the representatives (``id, n, sketch``) that link with any other.
 
@@ -341,7 +375,7 @@ def _placed(checked: DataFrame, roots: DataFrame) -> DataFrame:
     """Leaders and members with their classes so far. ``open``: not of the leader's class."""
     of = {s: roots.select(F.col("id").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
     return checked.join(of["a"], "a", "left").join(of["b"], "b", "left").select(
-        "a", F.col("b").alias("id"), "n", "short", "round", "added", "missing",
+        "a", F.col("b").alias("id"), "n", "short", "round", "added", "missing", "added_at", "missing_at",
         F.coalesce("root_b", "b").alias("root"), (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("open"))
 
 
@@ -371,7 +405,7 @@ def _by_rarity(own: DataFrame, counts: np.ndarray, roots: DataFrame) -> DataFram
                                         F.max("open").alias("any_open"), F.min("n").alias("shortest"))
         rows = stored(rows.join(crowd.filter("any_open AND low <> high").select("key", "shortest"), "key")
                       .filter("reach >= shortest").drop("shortest"))
-    return rows.drop("open", "reach")
+    return rows.drop("open").withColumn("least", F.expr("(4 * n + 4) div 5"))
 
 
 def _slot(values: np.ndarray) -> np.ndarray:
@@ -437,15 +471,21 @@ def _by_difference(placed: DataFrame, number: int) -> DataFrame:
     placed = placed.join(asked.filter(F.col("any_open") & (F.col("last") == number)).select("a"), "a", "left_semi")
 
     def by(kind: str) -> DataFrame:
-        return (placed.select("a", "id", "n", "short", "root", "open", "round", F.explode(kind).alias("one"))
-                .select(F.xxhash64(F.lit(kind), "a", "one").alias("key"), "id", "n", "root", "open", "round",
-                        (F.lit(kind == "added") | F.col("short")).alias("fit")))
+        # the first added one that two texts share has all before it in one of them only, and the other
+        # lacks that many less than it has more; the first missing one likewise, the other way round
+        reach, least = ("(5 * n - 9 * at) div 4", "(4 * n + 4) div 5") if kind == "added" else ("5 * n div 4", "(4 * n + 9 * at + 4) div 5")
+        return (placed.select("a", "id", "n", "short", "root", "open", "round", F.explode(F.arrays_zip(kind, f"{kind}_at")).alias("one"))
+                .select("*", F.col(f"one.{kind}").alias("value"), F.col(f"one.{kind}_at").alias("at"))
+                .select(F.xxhash64(F.lit(kind), "a", "value").alias("key"), "id", "n", "root", "open", "round",
+                        (F.lit(kind == "added") | F.col("short")).alias("fit"),
+                        F.expr(reach).alias("reach"), F.expr(least).alias("least")))
 
     rows = by("added").unionByName(by("missing"))
     keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("open").alias("any_open"),
                                    F.max("fit").alias("fit"), F.max("round").alias("last"))
     keys = keys.filter(F.expr("low <> high AND any_open AND fit") & (F.col("last") == number)).select("key")
-    return rows.select("key", "id", "n", "root").join(keys, "key", "left_semi").distinct()
+    return rows.join(keys, "key", "left_semi").groupBy("key", "id", "n", "root").agg(
+        F.max("reach").alias("reach"), F.min("least").alias("least"))
 
 
 def classes(documents: DataFrame, small: int = SMALL) -> DataFrame:

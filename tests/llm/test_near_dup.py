@@ -189,3 +189,37 @@ def test_far_copies_of_one_size_are_not_dealt(spark):
     roots = spark.createDataFrame([], "id long, root long")
     assert len(set(brute_classes(own).values())) == 40
     assert near_dup._by_rarity(texts, near_dup._counts(texts), roots).count() <= 40
+
+
+def test_texts_that_may_link_share_a_difference_within_each_others_bounds():
+    draw = random.Random(8)
+    counts = np.full(near_dup.SLOTS, 9, np.uint8)
+    leader = list(range(200))
+
+    def keys(own):
+        added, added_at, missing, missing_at = near_dup.placed_differences(
+            np.array(leader, np.uint64), np.array(own, np.uint64), False, 0, counts)
+        n = len(own)
+        return ({v: (-(-4 * n // 5), (5 * n - 9 * p) // 4) for v, p in zip(added.tolist(), added_at.tolist()) if v}
+                | {("missing", v): (-(-(4 * n + 9 * p) // 5), 5 * n // 4) for v, p in zip(missing.tolist(), missing_at.tolist())})
+
+    close = 0
+    for _ in range(1500):
+        x = draw.sample(range(200), draw.randrange(100, 150)) + draw.sample(range(300, 2000), draw.randrange(30, 90))
+        left = draw.sample(x, len(x) - draw.randrange(len(x) // 8))
+        y = left + draw.sample([v for v in range(2000) if v not in x], draw.randrange(len(x) // 8))
+        if 9 * len({*x} & {*y}) >= 4 * (len(x) + len(y)):
+            close += 1
+            a, b = keys(x), keys(y)
+            assert any(a[k][0] <= len(y) <= a[k][1] and b[k][0] <= len(x) <= b[k][1] for k in a.keys() & b.keys())
+    assert close > 300
+
+
+def test_pairs_beyond_the_bounds_of_all_their_keys_are_not_verified(spark):
+    """30 texts share 40 keys, so far behind in their order that none can link; 3 share a near one besides."""
+    rows = [(key, i, 100, 97, 80, i) for key in range(40) for i in range(30)] + [(90, i, 100, 110, 80, i) for i in range(3)]
+    # buckets with the same members are one, with the widest bounds of any
+    rows += [(key, i, 100, 97 if key == 95 else 110, 80, i) for key in (95, 96) for i in (50, 51)]
+    buckets = spark.createDataFrame(rows, "key long, id long, n long, reach long, least long, root long")
+    assert {(r.a, r.b) for r in near_dup._candidates(buckets, 40).collect()} == {(0, 1), (0, 2), (1, 2), (50, 51)}
+    assert near_dup._candidates(buckets.drop("reach", "least"), 40).count() == 30 * 29 / 2 + 1
