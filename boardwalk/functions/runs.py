@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 RUN = 8
-# bytes of text that are looked at in one go
-BLOCK = 1 << 20
+# bytes of text that are looked at in one go, so that eight bytes for each stay in a core's cache
+BLOCK = 1 << 15
+# up to this power of two a set is spread to a byte for each run, which is looked up in one step
+SPREAD_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,6 +85,7 @@ def held_runs(
     batches: Iterator[pa.RecordBatch], column: str, words: np.ndarray, bits: int, sizes: list[int]
 ) -> Iterator[pa.RecordBatch]:
     """Texts that hold runs of a set, with these."""
+    spread = np.unpackbits(words.astype("<u8").view(np.uint8), bitorder="little").view(bool) if bits <= SPREAD_BITS else None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -93,7 +96,10 @@ def held_runs(
             for size in sizes:
                 short = whole & _mask(size) if size < RUN else whole
                 slots = _slots(short, bits)
-                in_set = (words[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1)
+                if spread is None:
+                    in_set = (words[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1)
+                else:
+                    in_set = spread.take(slots.view(np.int64))
                 at = np.flatnonzero(in_set)
                 of = np.searchsorted(offsets, at + start, side="right") - 1
                 inside = at + start + size <= offsets[of + 1]

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from boardwalk.functions import runs
 from boardwalk.operators import matching as M
 from boardwalk.operators import substrings as S
 from boardwalk.operators import titles as T
@@ -119,3 +122,18 @@ def test_what_was_not_measured_small_is_not_broadcast(spark):
     hits = S.literal_hits(texts, F.col("body"), patterns, keys=["id"], small=False)
     assert "BroadcastExchange" not in hits._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in hits.collect()] == [(1, "bcdefghi")]
+
+
+def test_runs_are_found_across_blocks_by_either_kind_of_set():
+    """Sets of few and of many bits, and texts longer than a block that stays in a core's cache."""
+    assert runs.BLOCK * 8 <= 1 << 19
+    bodies = ["ab" * 20_000 + "needle in" + "ba" * 30_000, "", "needle i", "x" * (runs.BLOCK - 3) + "needle in"]
+    wanted = np.array([int.from_bytes(b"needle i", "little"), int.from_bytes(b"ne", "little")], np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(bodies)], ["_text"])
+    for bits in (20, runs.SPREAD_BITS + 1):
+        sets = next(runs.set_words(iter([pa.RecordBatch.from_arrays([pa.array([wanted.view(np.int64)])], ["_grams"])]), bits))
+        words = np.zeros(1 << bits >> 6, np.uint64)
+        words[sets.column(0).to_numpy()] = sets.column(1).to_numpy().view(np.uint64)
+        found = next(runs.held_runs(iter([batch]), "_text", words, bits, [2, 8]))
+        assert found.column(0).to_pylist() == [bodies[0], bodies[2], bodies[3]]
+        assert all({*wanted.tolist()} <= {*own} for own in found.column(1).to_pylist())
