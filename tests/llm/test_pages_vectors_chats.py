@@ -182,6 +182,87 @@ def test_low_recall_builds_the_graph_again(spark, monkeypatch):
     assert judged[0].recall >= vectors.TARGET
 
 
+def test_regions_in_parts_and_waves_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CLUSTER", 40)
+    monkeypatch.setattr(vectors, "REGION", (1, 2))
+    monkeypatch.setattr(vectors, "LARGEST", 60)  # regions are dealt into parts that search each other
+    monkeypatch.setattr(vectors, "WAVE_MB", 1e-4)
+    draw = np.random.default_rng(5)
+    centers = [unit(draw) for _ in range(4)]
+    rows = [(k, (centers[k % 4] + 0.3 * unit(draw)).tolist()) for k in range(320)] + [(1000 + k, unit(draw).tolist()) for k in range(40)]
+    rows += [(2000 + k, rows[5][1]) for k in range(9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(frame).collect()}
+    expected = brute(rows)
+    assert all(got[i][0] <= expected[i][0] for i in expected)
+    assert sum(g[0] for g in got.values()) >= 0.98 * sum(e[0] for e in expected.values())
+    assert sum(got[i][1] == expected[i][1] for i in expected) >= 0.99 * len(expected)
+
+
+def test_searches_go_on_in_regions_of_near_nodes():
+    """A link whose ends share no region is found by way of a node that is in both."""
+    import pyarrow as pa
+
+    turn = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    region_of = np.array([0, 1], np.int32)
+    left, middle, right = (1, turn(0), [0, 0]), (2, turn(12), [0, 1]), (3, turn(24), [1, 1])
+
+    def rows(region, *nodes, role=vectors.BOTH, starts=None):
+        return pa.RecordBatch.from_pylist([
+            {"region": region, "part": 0, "asked": 0, "id": i, "vector": v, "clusters": c, "role": role, "starts": starts}
+            for i, v, c in nodes], pa.schema([("region", pa.int32()), ("part", pa.int32()), ("asked", pa.int32()), ("id", pa.int64()),
+                                              ("vector", pa.list_(pa.float64())), ("clusters", pa.list_(pa.int32())),
+                                              ("role", pa.int32()), ("starts", pa.list_(pa.int64()))]))
+
+    search = vectors._search(region_of)
+    out = [r for b in search(iter([rows(0, left, middle)])) for r in b.to_pylist()]
+    assert [(r["id"], r["found"], r["root"]) for r in out if r["region"] is None] == [(1, [2], 1), (2, [1], 1)]
+    (ahead,) = [r for r in out if r["region"] is not None]
+    assert (ahead["id"], ahead["region"], ahead["found"]) == (1, 1, [2])
+    out = [r for b in search(iter([rows(1, middle, right, role=vectors.HELD), rows(1, left, role=vectors.ASKED, starts=[2])]))
+           for r in b.to_pylist()]
+    assert [(r["id"], r["found"], r["root"]) for r in out] == [(1, [2, 3], 1), (2, [1], 1), (3, [1], 1)]
+
+
+def test_vectors_need_disk_in_proportion(spark, monkeypatch):
+    """Stored tables and shuffle files at their most, for nodes whose neighbours lie in many blocks."""
+    import pathlib
+    import threading
+
+    monkeypatch.setattr(vectors, "CLUSTER", 150)
+    draw = np.random.default_rng(6)
+    rows = [(k, [float(np.float32(v)) for v in unit(draw, 64)]) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(2)
+    places = [pathlib.Path(f.getPath()) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    places.append(pathlib.Path(spark.conf.get("spark.checkpoint.dir")))
+
+    def used():
+        total = 0
+        for place in places:
+            for path in place.rglob("*"):
+                try:
+                    total += path.stat().st_size * path.is_file()
+                except OSError:  # gone meanwhile
+                    pass
+        return total
+
+    before, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.2):
+            most[0] = max(most[0], used() - before)
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        assert vectors.near_duplicates(frame).count() == len(rows)
+    finally:
+        over.set()
+        thread.join()
+    # lists, copies of neighbours and searches that were moved took some 60 times the vectors
+    assert 0 < most[0] <= 12 * 256 * len(rows)
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [math.nan, 1.0]),
             (6, [math.inf, 1.0]), (7, [1.0, None]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [1.0, 0.0]),
